@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, mixing, packing, quality, topk, window_dedup
+from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, suffix_dedup, topk, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", aside.alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = window_dedup.dedup_windows(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,6 +65,38 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+_OP2 = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM texts),
+strings AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS byte, CASE WHEN 2 * i + 198 <= len(h) THEN md5(substr(h, 2 * i - 1, 200)) END AS m FROM places),
+earlier AS (SELECT doc_id, i, byte, CASE WHEN m IS NOT NULL AND row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS again FROM strings),
+marked AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM earlier),
+edges AS (SELECT *, gone - coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS up FROM marked),
+sums AS (SELECT doc_id, sum(gone) AS n, count(*) FILTER (up = 1) AS k, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM edges GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts LEFT JOIN sums USING (doc_id)
+"""
+
+_OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s
+  FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS c FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+tokens AS (SELECT c, len(s) AS n, unnest(s) AS t FROM classes),
+pairs AS (
+  SELECT a.c AS x, b.c AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k FROM tokens a JOIN tokens b ON a.t = b.t AND a.c < b.c GROUP BY a.c, b.c),
+links AS (SELECT x, y FROM pairs WHERE 100 * k >= 80 * (nx + ny - k)),
+sides AS (SELECT x AS p, y AS q FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT c AS p, c AS q FROM classes UNION SELECT reach.p, sides.q FROM reach JOIN sides ON reach.q = sides.p),
+least AS (SELECT p AS c, min(q) AS component_id FROM reach GROUP BY p)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(least.component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN least ON least.c = classes.c
+"""
+
 _OP4 = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -87,9 +128,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 
 def queries() -> dict:
-    names = (op1_language_id, op4_substring_dedup, op5_source_mixing, op6_html_extraction, op7_best_fit_packing, op8_exact_top_k, op9_exact_dedup, op10_quality_classifier)
+    names = (op1_language_id, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_substring_dedup, op5_source_mixing, op6_html_extraction, op7_best_fit_packing, op8_exact_top_k, op9_exact_dedup, op10_quality_classifier)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
+    return {"op2_suffix_array_dedup": _OP2, "op3_ngram_jaccard_join": _OP3, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
