@@ -122,7 +122,7 @@ def meek_arrows(edges: DataFrame, rule: int) -> DataFrame:
     src - l -> dst, k and l not adjacent. 4: src - k -> l -> dst, k and dst not
     adjacent.
     """
-    e = edges.select("src", "dst").distinct()
+    e = _local(edges.select("src", "dst").distinct())
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     lines = e.join(back, ["src", "dst"], "left_semi")
     arrows = e.join(back, ["src", "dst"], "left_anti")

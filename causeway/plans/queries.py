@@ -78,7 +78,7 @@ def ci_fisherz_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _power_sql(source: str, x: str, y: str, z: str | None, term: str) -> str:
-    part = "PARTITION BY z" if z else ""
+    part = "PARTITION BY g.z" if z else ""
     join = "c.z = g.z AND " if z else ""
     sep = "," if z else ""
     return f"""WITH rows AS (SELECT {f'{z} AS z,' if z else ''} {x} AS x, {y} AS y FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
@@ -182,7 +182,7 @@ def graph_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
 
     m = moments.moments(per_order(spark, sf_dir), ["c", "q"])
-    return spark.createDataFrame([(round(scores.graph_reward(m, np.array([[0, 1], [0, 0]])), 5),)], "reward double")
+    return spark.createDataFrame([(round(float(scores.graph_reward(m, np.array([[0, 1], [0, 0]]))), 5),)], "reward double")
 
 
 @query(f"""WITH {PER_ORDER}, u AS (SELECT (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS u FROM per_order),
@@ -394,7 +394,7 @@ def unshielded_colliders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(near.select(F.col("src").alias("i"), F.col("dst").alias("j")), ["i", "j"], "left_anti").select("i", "k", "j")
 
 
-@query(f"""WITH e AS ({_DAG}), near AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT n_nationkey AS i, m AS j, [(n_nationkey + m) % 25, (n_nationkey * m) % 25] AS sep FROM nation, range(25) r(m) WHERE n_nationkey < m),
+@query(f"""WITH e AS ({_DAG}), near AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT n_nationkey AS i, m::INTEGER AS j, [(n_nationkey + m) % 25, (n_nationkey * m) % 25] AS sep FROM nation, range(25) r(m) WHERE n_nationkey < m),
 seps AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.src = s.i AND near.dst = s.j))
 SELECT i, x.dst AS k, j FROM seps JOIN near x ON x.src = i JOIN near y ON y.src = j AND y.dst = x.dst WHERE NOT list_contains(sep, x.dst)""")
 def separated_v_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +405,8 @@ def separated_v_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.v_structures(e, s.join(near.select(F.col("src").alias("i"), F.col("dst").alias("j")), ["i", "j"], "left_anti"))
 
 
-_MIXED = f"m AS (SELECT src, dst FROM ({_DAG}) UNION SELECT dst, src FROM ({_DAG}) WHERE (src + dst) % 3 <> 0), lines AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM m b WHERE b.src = m.dst AND b.dst = m.src)), arrows AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.src = m.dst AND b.dst = m.src)), near AS (SELECT src, dst FROM m UNION SELECT dst, src FROM m)"
+_DENSE = f"{_DAG} UNION SELECT n_nationkey, (n_nationkey * 2 + 3) % 25 FROM nation WHERE n_nationkey < (n_nationkey * 2 + 3) % 25 UNION SELECT n_nationkey, (n_nationkey + 1) % 25 FROM nation WHERE n_nationkey < (n_nationkey + 1) % 25 UNION SELECT n_nationkey, (n_nationkey + 2) % 25 FROM nation WHERE n_nationkey < (n_nationkey + 2) % 25"
+_MIXED = f"m AS (SELECT src, dst FROM ({_DENSE}) UNION SELECT dst, src FROM ({_DENSE}) WHERE (src * 5 + dst * 3) % 7 < 4), lines AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM m b WHERE b.src = m.dst AND b.dst = m.src)), arrows AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.src = m.dst AND b.dst = m.src)), near AS (SELECT src, dst FROM m UNION SELECT dst, src FROM m)"
 _MEEK = {
     1: "SELECT DISTINCT g.src, g.dst FROM lines g JOIN arrows k ON k.dst = g.src WHERE k.src <> g.dst AND NOT EXISTS (SELECT 1 FROM near WHERE near.src = k.src AND near.dst = g.dst)",
     2: "SELECT DISTINCT g.src, g.dst FROM lines g JOIN arrows a ON a.src = g.src JOIN arrows b ON b.src = a.dst AND b.dst = g.dst",
@@ -415,8 +416,8 @@ _MEEK = {
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = dag(spark, sf_dir)
-    return e.union(graph.reverse(e).filter((F.col("src") + F.col("dst")) % 3 != 0)).distinct()
+    e = _edges(spark, sf_dir, (3, 1, True, False), (7, 4, True, False), (2, 3, True, False), (1, 1, True, False), (1, 2, True, False))
+    return e.union(graph.reverse(e).filter((F.col("dst") * 5 + F.col("src") * 3) % 7 < 4)).distinct()
 
 
 def _add_meek(rule: int) -> None:
@@ -462,7 +463,7 @@ def order_cover_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.cover_rate(dag(spark, sf_dir), order_to_graph(spark, sf_dir)), 6)
 
 
-@query(f"""WITH RECURSIVE e AS ({_CYCLIC}), cuts AS (SELECT 0.0 AS w UNION SELECT DISTINCT weight FROM e), reach AS (SELECT w, src, dst FROM cuts JOIN e ON weight > w UNION SELECT reach.w, reach.src, e.dst FROM reach JOIN e ON reach.dst = e.src AND e.weight > reach.w),
+@query(f"""WITH RECURSIVE e AS ({_CYCLIC}), cuts AS (SELECT 0::DOUBLE AS w UNION SELECT DISTINCT weight FROM e), reach AS (SELECT w, src, dst FROM cuts JOIN e ON weight > w UNION SELECT reach.w, reach.src, e.dst FROM reach JOIN e ON reach.dst = e.src AND e.weight > reach.w),
 best AS (SELECT min(w) AS w FROM cuts WHERE w NOT IN (SELECT w FROM reach WHERE src = dst)) SELECT src, dst, weight FROM e, best WHERE weight > best.w""")
 def threshold_to_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
