@@ -14,6 +14,7 @@ pieces looks up each piece's interval by (length, rank).
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -52,15 +53,14 @@ class Encoder:
         self.slow = Tokenizer.from_file(path)
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
-        try:
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
 
-            with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except (ImportError, OSError):
-            pass
+            with open(ranks, "rb") as f:
+                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
