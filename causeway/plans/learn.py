@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators.frame import event_seconds
-from causeway.plans import base, constraint, continuous, hawkes, lingam, pairwise, score  # noqa: F401  (they register learners)
+from causeway.plans import base, constraint, continuous, hawkes, lingam, neural, pairwise, score  # noqa: F401  (they register learners)
 from causeway.plans.queries import per_order, query, table
 
 NAMES = ["c", "q", "e", "t"]
@@ -40,6 +40,8 @@ _add("learn_notears_basis", "notearsbasis", True, k=2, threshold=0.1, max_iter=1
 _add("learn_golem", "golem", True, steps=1500, threshold=0.1)
 _add("learn_masked_regression", "maskedregression", True, max_iter=10, rho_max=1e8)
 _add("learn_order_search", "ordersearch", True, rounds=40, threshold=0.1)
+_add("learn_notears_network", "notearsnetwork", True, max_iter=3, rounds=3, threshold=0.2)
+_add("learn_graph_autoencoder", "graphautoencoder", True, max_iter=3, rounds=3)
 _add("learn_graph_search", "graphsearch", True, rounds=60, threshold=0.1)
 
 
@@ -69,6 +71,44 @@ def bootstrap_lingam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lingam.median_effects(found, 3).select("src", "dst", F.round("effect", 3).alias("effect"), F.round("probability", 3).alias("probability"))
 
 
+@query()
+def learn_anm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 50).cast("double").alias("b"), F.sqrt(F.abs("s_acctbal")).alias("r"))
+    return pairwise.ANM(alpha=0.01).learn(rows, ["a", "b", "r"]).edges(spark).select("src_name", "dst_name")
+
+
+@query()
+def simulate_linear_sem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causeway.sources import simulate
+
+    return simulate.sample(spark, simulate.random_dag("erdos_renyi", 6, 8, 1), 500, seed=1)
+
+
+@query()
+def simulate_causal_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causeway.sources import series
+
+    return series.causal_series(spark, 20, 64)
+
+
+@query("SELECT a.i::DOUBLE AS angle, l.j::DOUBLE AS light FROM range(-40, 44) a(i), range(60, 148) l(j) WHERE l.j <> 100")
+def pendulum_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causeway.sources import simulate
+
+    return simulate.pendulum(spark).select("angle", "light")
+
+
+@query("""WITH s AS (SELECT user_id AS series, list(value::DOUBLE ORDER BY ts, value) AS v FROM events GROUP BY user_id),
+k AS (SELECT series, v, unnest(range(1, 5)) AS k FROM s)
+SELECT series, k::INTEGER AS k, list_resize(v[-least(k, len(v)):], 4, 0.0) AS segment FROM k""")
+def growing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causeway.operators import frame
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.struct("ts", "value").alias("o"), "value")
+    long = frame.segments(e, "u", "o", ["value"], 4).select("series", F.posexplode("segments").alias("k", "segment"))
+    return long.select("series", (F.col("k") + 1).alias("k"), "segment")
+
+
 _REPLICATES = "r AS (SELECT l_suppkey % 10 AS replicate, l_returnflag AS src, l_linestatus AS dst, regr_slope(l_extendedprice, l_quantity) AS weight, regr_slope(l_quantity, l_extendedprice) AS effect FROM lineitem GROUP BY ALL)"
 
 

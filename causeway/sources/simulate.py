@@ -225,3 +225,31 @@ def _thp_test(spark: SparkSession, span: float = 25000.0):
 
 datasets.register("iid_test", _iid_test)
 datasets.register("thp_test", _thp_test)
+
+
+def vector_sample(spark: SparkSession, w: np.ndarray, n: int, size: int, kind: int = 1, scale: float = 1.0, seed: int = 0) -> DataFrame:
+    """Rows (row, x0 .. x{d-1}) of vector-valued variables (array<double>): each element follows
+    2 sin(W'(x + 0.5)) + W'(x + 0.5) (kind 1), W' cos(x + 1) (kind 2) or 2 sin(W' cos(x + 1) + 0.5) + W' cos(x + 1) (kind 3) of its parents."""
+    order = order_of(w != 0)
+    if order is None:
+        raise ValueError("the graph has a cycle")
+    df = spark.range(n).withColumnRenamed("id", "row")
+    for j in order:
+        cells = []
+        for k in range(size):
+            at = {i: F.element_at(F.col(f"x{i}"), k + 1) for i in np.flatnonzero(w[:, j]).tolist()}
+            inner = sum((float(w[i, j]) * (x + 0.5 if kind == 1 else F.cos(x + 1)) for i, x in at.items()), F.lit(0.0))
+            value = 2 * F.sin(inner) + inner if kind == 1 else inner if kind == 2 else 2 * F.sin(inner + 0.5) + inner
+            cells.append((value if at else F.lit(0.0)) + noise("gauss", scale, seed + 101 * k, F.col("row"), j))
+        df = df.withColumn(f"x{j}", F.array(*cells))
+    return df.select("row", *[f"x{j}" for j in range(len(w))])
+
+
+def flow(spark: SparkSession) -> DataFrame:
+    """Water that leaves a vessel: ball radius, water height, hole height, and how far the jet reaches."""
+    ball = spark.range(5, 35).select((F.col("id") / 30.0).alias("ball"))
+    water = spark.range(10, 40).select((F.col("id") / 10.0).alias("water"))
+    hole = spark.range(6, 15).select((F.col("id") / 10.0).alias("hole"))
+    height = F.col("water") + F.pow("ball", 3) / 10
+    grid = ball.join(water, F.lit(True)).join(hole, F.lit(True)).filter(height > F.col("hole"))
+    return grid.withColumn("height", height).withColumn("reach", F.sqrt(2 * 0.98 * F.greatest(height - F.col("hole"), F.lit(0.0))) * F.sqrt(2 * F.col("hole") / 9.8))
