@@ -253,3 +253,17 @@ def flow(spark: SparkSession) -> DataFrame:
     height = F.col("water") + F.pow("ball", 3) / 10
     grid = ball.join(water, F.lit(True)).join(hole, F.lit(True)).filter(height > F.col("hole"))
     return grid.withColumn("height", height).withColumn("reach", F.sqrt(2 * 0.98 * F.greatest(height - F.col("hole"), F.lit(0.0))) * F.sqrt(2 * F.col("hole") / 9.8))
+
+
+def second_order_sample(spark: SparkSession, w: np.ndarray, n: int, scale: float = 1.0, seed: int = 0) -> DataFrame:
+    """Rows whose means are linear in the parents and in their products of two, with the same edge weights."""
+    order = order_of(w != 0)
+    if order is None:
+        raise ValueError("the graph has a cycle")
+    rng, df = np.random.default_rng(seed), spark.range(n).withColumnRenamed("id", "row")
+    for j in order:
+        parents = np.flatnonzero(w[:, j]).tolist()
+        first = sum((float(w[i, j]) * F.col(f"x{i}") for i in parents), F.lit(0.0))
+        second = sum((float(rng.uniform(0.5, 1.5) * rng.choice([-1, 1])) * F.col(f"x{a}") * F.col(f"x{b}") for k, a in enumerate(parents) for b in parents[k:]), F.lit(0.0))
+        df = df.withColumn(f"x{j}", first + second + noise("gauss", scale, seed, F.col("row"), j))
+    return df.select("row", *[f"x{j}" for j in range(len(w))])

@@ -75,6 +75,7 @@ def test_series(spark):
 
 def test_grids_and_vectors(spark):
     assert simulate.pendulum(spark).count() == 84 * 87
+    assert simulate.second_order_sample(spark, np.array([[0, 1.0], [0, 0]]), 10).count() == 10
     assert simulate.flow(spark).agg(F.min("reach")).first()[0] >= 0
     w = np.array([[0, 1.0], [0, 0]])
     for kind in (1, 2, 3):
