@@ -7,11 +7,16 @@
    postings and expected verifications cost least; the more its shingles are
    shared, the longer its prefix and the more matches it asks for.
 3. Postings are packed by bucket; shingles that one class alone has vanish there.
-   First every posting list proposes pairs with two of its members only, and what
-   these pairs link is merged into components. Then all pairs of a list whose
-   members are not yet in one component are counted, and those with enough
-   matches are verified too. So a group of near copies costs a number of pairs in
-   proportion to its members, and yet no link between components is missed.
+   First every posting list proposes pairs with a few of its members only, those
+   with the fewest shingles of their own, and what these pairs link is merged into
+   components. Then the matches of all pairs whose members are not in one component
+   are counted, in packed arrays, and pairs with enough are verified too. So a group
+   of near copies verifies a number of pairs in proportion to its members, and yet
+   no link between components is missed.
+
+A pair's prefixes bound its intersection from above: what they share, and what lies
+beyond the prefix that ends first. The matches asked of a pair follow from that and
+from both sizes.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ from .kernels import Words, mix, prefix_hash, span_hash, window_starts
 U64 = np.uint64
 #: Sketch: so many rows of so many counters, in pieces. Its size does not depend on the corpus.
 SKETCH_ROWS, SKETCH_BITS, PIECE = 2, 19, 1 << 17
-MATCHES = (1, 2, 4, 8, 16, 32)
+#: Of a shingle's other sets, how many are expected where the sketch shows none.
+UNSEEN = 0.25
+HUBS = 3
 MOST_MARKS = 1 << 27
 
 
@@ -116,19 +123,21 @@ def prefix(s: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarr
     order = np.lexsort((s, code))
     s, code = s[order], code[order]
     n, t = len(s), int(overlap_wanted(len(s), percent))
-    shared = np.cumsum(np.exp2(code / 2) - 1 + 0.5)  # other sets expected at each shingle: half of one where the sketch shows none
-    best = None
-    for matches in MATCHES:
-        if matches > t:
-            break
-        length = n - t + matches
-        cost = length + (1 + n / 4) * shared[length - 1] / matches
-        if best is None or cost < best[0]:
-            best = (cost, length, matches)
-    return s[: best[1]], best[2]
+    shared = np.cumsum(np.exp2(code / 2) - 1 + UNSEEN)
+    steps = np.unique(np.minimum(2 ** np.arange(t.bit_length() + 1), t))
+    length = n - t + steps
+    # Matches asked of a pair of this size, and with them the candidates to verify.
+    asked = np.maximum(steps, union_bound(n, n, percent) - (n - length))
+    k = int(np.argmin(length + (1 + n / 4) * shared[length - 1] / asked))
+    return s[: length[k]], int(steps[k])
 
 
-POSTED = "bucket int, tokens binary, owner binary, c1 binary, n binary, need binary"
+def union_bound(a, b, percent: int):
+    """Shingles that sets of a and b must share to be similar enough."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+POSTED = "bucket int, tokens binary, owner binary, c1 binary, n binary, need binary, posted binary"
 
 
 def _post(rows: DataFrame, words: int, percent: int, frequency, n_buckets: int) -> DataFrame:
@@ -143,84 +152,102 @@ def _post(rows: DataFrame, words: int, percent: int, frequency, n_buckets: int)
             c1 = np.array([k[0] for k in sets], dtype=np.int64)
             n = np.array([len(s) for s in sets.values()], dtype=np.int32)
             found = [prefix(s, table, percent) for s in sets.values()]
-            need = np.array([m for _, m in found], dtype=np.uint8)
+            need = np.array([m for _, m in found], dtype=np.int32)
+            posted = np.array([len(p) for p, _ in found], dtype=np.int32)
             owner = np.repeat(np.arange(len(found), dtype=np.uint32), [len(p) for p, _ in found])
             token = np.concatenate([p for p, _ in found])
             bucket = (token % U64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, token, owner = bucket[order], (token[order] >> U64(32)).astype(np.uint32), owner[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            out: dict[str, list] = {k: [] for k in ("bucket", "tokens", "owner", "c1", "n", "need")}
+            out: dict[str, list] = {k: [] for k in ("bucket", "tokens", "owner", "c1", "n", "need", "posted")}
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own, at = np.unique(owner[a:b], return_inverse=True)
-                for k, v in zip(out, (int(bucket[a]), token[a:b].tobytes(), at.astype(np.uint32).tobytes(), c1[own].tobytes(), n[own].tobytes(), need[own].tobytes()), strict=True):
+                for k, v in zip(out, (int(bucket[a]), token[a:b].tobytes(), at.astype(np.uint32).tobytes(), c1[own].tobytes(), n[own].tobytes(), need[own].tobytes(), posted[own].tobytes()), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()], list(out))
 
     return rows.mapInArrow(post, POSTED)
 
 
-LISTS = "bucket int, lists binary, owner binary, c1 array<long>, n binary, need binary"
+LISTS = "bucket int, lists binary, owner binary, c1 binary, n binary, need binary, posted binary, own binary"
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """The bucket's posting lists of two classes or more."""
-    parts = {k: table.column(k).to_pylist() for k in ("tokens", "owner", "c1", "n", "need")}
+    """The bucket's posting lists of two classes or more. own: the postings that a class has alone."""
+    parts = {k: table.column(k).to_pylist() for k in ("tokens", "owner", "c1", "n", "need", "posted")}
     c1s = [np.frombuffer(x, dtype=np.int64) for x in parts["c1"]]
     shift = np.cumsum([0, *map(len, c1s)])
-    c1, n, need = np.concatenate(c1s), np.concatenate([np.frombuffer(x, dtype=np.int32) for x in parts["n"]]), np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in parts["need"]])
+    c1 = np.concatenate(c1s)
+    n, need, posted = (np.concatenate([np.frombuffer(x, dtype=np.int32) for x in parts[k]]) for k in ("n", "need", "posted"))
     token = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in parts["tokens"]])
     owner = np.concatenate([np.frombuffer(x, dtype=np.uint32).astype(np.int64) + s for x, s in zip(parts["owner"], shift, strict=False)])
     c1, first, number = np.unique(c1, return_index=True, return_inverse=True)
-    n, need, owner = n[first], need[first], number[owner]
+    n, need, posted, owner = n[first], need[first], posted[first], number[owner]
     both = np.unique((token.astype(U64) << U64(32)) | owner.astype(U64))
     token, owner = (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype(np.int64)
     new = np.concatenate([[True], token[1:] != token[:-1]])
     of = np.cumsum(new) - 1
     several = (np.bincount(of) > 1)[of]
+    own = np.bincount(owner[~several], minlength=len(c1)).astype(np.int32)
     owner, of = owner[several], np.cumsum(new[several]) - 1
     used, owner = np.unique(owner, return_inverse=True)
-    return pa.table(
-        {
-            "bucket": table.column("bucket").slice(0, 1),
-            "lists": pa.array([of.astype(np.uint32).tobytes()], pa.binary()),
-            "owner": pa.array([owner.astype(np.uint32).tobytes()], pa.binary()),
-            "c1": pa.array([c1[used]], pa.list_(pa.int64())),
-            "n": pa.array([n[used].tobytes()], pa.binary()),
-            "need": pa.array([need[used].tobytes()], pa.binary()),
-        }
-    )
+    packed = {"lists": of.astype(np.uint32), "owner": owner.astype(np.uint32), "c1": c1[used], "n": n[used], "need": need[used], "posted": posted[used], "own": own[used]}
+    return pa.table({"bucket": table.column("bucket").slice(0, 1)} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()})
 
 
-PAIRS = "a long, b long, matches long, need int"
+PAIRS = "a long, b long"
+COUNTED = "part int, a binary, b binary, matches binary, need binary"
 
 
 class _Lists:
     def __init__(self, row: dict):
-        self.of = np.frombuffer(row["lists"], dtype=np.uint32).astype(np.int64)
-        self.owner = np.frombuffer(row["owner"], dtype=np.uint32).astype(np.int64)
-        self.c1 = np.array(row["c1"], dtype=np.int64)
-        self.n = np.frombuffer(row["n"], dtype=np.int32).astype(np.int64)
-        self.need = np.frombuffer(row["need"], dtype=np.uint8).astype(np.int64)
+        self.of, self.owner = (np.frombuffer(row[k], dtype=np.uint32).astype(np.int64) for k in ("lists", "owner"))
+        self.c1 = np.frombuffer(row["c1"], dtype=np.int64)
+        self.n, self.need, self.posted, self.own = (np.frombuffer(row[k], dtype=np.int32).astype(np.int64) for k in ("n", "need", "posted", "own"))
         self.starts = np.searchsorted(self.of, np.arange(self.of[-1] + 1 if len(self.of) else 0))
         self.sizes = np.diff(np.append(self.starts, len(self.of)))
 
     def similar_sizes(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         return 100 * np.minimum(self.n[a], self.n[b]) >= percent * np.maximum(self.n[a], self.n[b])
 
-    def count(self, pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(pairs, return_inverse=True)
-        return keys, np.bincount(back, weights=counts).astype(np.int64)
+    def asked(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Matches without which a pair cannot be similar enough."""
+        beyond = np.maximum(self.n[a] - self.posted[a], self.n[b] - self.posted[b])
+        return np.maximum(np.minimum(self.need[a], self.need[b]), union_bound(self.n[a], self.n[b], percent) - beyond)
 
-    def pairs(self, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    def packed(self, keys: np.ndarray, counts: np.ndarray, percent: int, parts: int) -> pa.Table:
+        """COUNTED rows: pairs of classes (as numbers within the bucket) by their hash."""
         a, b = keys // len(self.c1), keys % len(self.c1)
         low, high = np.minimum(self.c1[a], self.c1[b]), np.maximum(self.c1[a], self.c1[b])
-        need = np.minimum(self.need[a], self.need[b]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(counts), pa.array(need)], ["a", "b", "matches", "need"])
+        part = (mix(low.view(U64) ^ mix(high.view(U64))) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        asked = self.asked(a, b, percent)
+        columns = [x[order].astype(k) for x, k in ((low, np.int64), (high, np.int64), (counts, np.int32), (asked, np.int32))]
+        at = part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]) if len(at) else np.zeros(1, dtype=np.int64)
+        rows = list(zip(cuts[:-1], cuts[1:], strict=True))
+        out = {"part": pa.array(at[cuts[:-1]] if rows else [], pa.int32())}
+        return pa.table(out | {k: pa.array([x[i:j].tobytes() for i, j in rows], pa.binary()) for k, x in zip(("a", "b", "matches", "need"), columns, strict=True)})
+
+
+def _summed(pairs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(pairs, return_inverse=True)
+    return keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
 
 
-def _star_pairs(percent: int):
-    """Every list's members with two of them, the same two wherever both stand."""
+def _enough(table: pa.Table) -> pa.Table:
+    """Pairs of one hash class whose matches, summed over all buckets, are as many as asked."""
+    a, b, matches, need = (np.concatenate([np.frombuffer(x, dtype=k) for x in table.column(c).to_pylist()]) for c, k in (("a", np.int64), ("b", np.int64), ("matches", np.int32), ("need", np.int32)))
+    order = np.lexsort((b, a))
+    a, b, matches, need = a[order], b[order], matches[order], need[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, dtype=np.int64)
+    good = new[np.add.reduceat(matches, new) >= need[new]] if len(new) else new
+    return pa.table({"a": a[good], "b": b[good]})
+
+
+def _star_pairs(percent: int, parts: int):
+    """Every list's members with a few of them, the same ones wherever they stand."""
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,48 +256,88 @@ def _star_pairs(percent: int):
                 if not len(x.of):
                     continue
                 made = []
-                for salt in (U64(1), U64(2)):
-                    rank = np.argsort(np.argsort(mix(x.c1.view(U64) ^ salt)))
-                    hub_rank = np.minimum.reduceat(rank[x.owner], x.starts)
-                    hub = np.argsort(rank)[hub_rank][x.of]
+                for salt in range(HUBS):
+                    order = np.lexsort((mix(x.c1.view(U64) ^ U64(salt)), x.own // (1 + salt)))
+                    rank = np.empty(len(order), dtype=np.int64)
+                    rank[order] = np.arange(len(order))
+                    hub = order[np.minimum.reduceat(rank[x.owner], x.starts)][x.of]
                     ok = (hub != x.owner) & x.similar_sizes(hub, x.owner, percent)
-                    made.append(np.minimum(hub, x.owner)[ok] * len(x.c1) + np.maximum(hub, x.owner)[ok])
-                # A pair may be proposed through both members; it counts once a list.
-                every = [x.count(m) for m in made]
-                keys, counts = x.count(np.concatenate([k for k, _ in every]))[0], None
+                    made.append(_summed(np.minimum(hub, x.owner)[ok] * len(x.c1) + np.maximum(hub, x.owner)[ok]))
+                # A pair that is proposed through several hubs counts once a list.
+                keys = np.unique(np.concatenate([k for k, _ in made]))
                 counts = np.zeros(len(keys), dtype=np.int64)
-                for k, c in every:
+                for k, c in made:
                     at = np.searchsorted(keys, k)
                     counts[at] = np.maximum(counts[at], c)
-                yield x.pairs(keys, counts)
+                # Lists in which another hub stood before are missing, so a third of the matches is enough here.
+                yield from x.packed(keys, 3 * counts, percent, parts).to_batches()
 
     return star
 
 
-def _cross_pairs(percent: int, step: int = 2_000_000):
-    """All pairs of every list whose members are in different components."""
+def _split_classes(parts: int):
+    """(part, bucket, c1) of every bucket's classes, by their hash."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c1 = np.frombuffer(packed, dtype=np.int64)
+                part = c1 % parts
+                for p in np.unique(part):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([bucket], pa.int32()), pa.array([c1[part == p].tobytes()], pa.binary())], ["part", "bucket", "c1"])
+
+    return split
+
+
+def _label(key: tuple, classes: pa.Table, labels: pa.Table) -> pa.Table:
+    """(bucket, c1, label) of the classes that have a label."""
+    known = labels.column("c1").to_numpy()
+    order = np.argsort(known)
+    known, label = known[order], labels.column("label").to_numpy()[order]
+    out: dict[str, list] = {"bucket": [], "c1": [], "label": []}
+    for bucket, packed in zip(classes.column("bucket").to_pylist(), classes.column("c1").to_pylist(), strict=True):
+        c1 = np.frombuffer(packed, dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, c1), max(len(known) - 1, 0))
+        hit = known[at] == c1 if len(known) else np.zeros(len(c1), dtype=bool)
+        out["bucket"].append(bucket)
+        out["c1"].append(c1[hit].tobytes())
+        out["label"].append(label[at[hit]].tobytes())
+    return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "c1": pa.array(out["c1"], pa.binary()), "label": pa.array(out["label"], pa.binary())})
+
+
+def _cross_pairs(percent: int, parts: int, step: int = 2_000_000, long: int = 48, dense: int = 1 << 13):
+    """All pairs of every list whose members are in different components, with their matches.
+
+    Lists of few members are enumerated. Long ones, which near copies and common
+    passages make, are counted together as products of 0/1 matrices, a tile at a time.
+    """
 
     def cross(key: tuple, lists: pa.Table, labels: pa.Table) -> pa.Table:
         x = _Lists(lists.to_pylist()[0])
+        c = len(x.c1)
         label = x.c1.copy()
-        apart = np.ones(len(label), dtype=bool)  # has no component: differs from all
-        if labels.num_rows:
-            at = np.searchsorted(x.c1, labels.column("c1").to_numpy())
-            label[at] = labels.column("label").to_numpy()
+        apart = np.ones(c, dtype=bool)  # has no component: differs from all
+        for known, named in zip(labels.column("c1").to_pylist(), labels.column("label").to_pylist(), strict=True):
+            at = np.searchsorted(x.c1, np.frombuffer(known, dtype=np.int64))
+            label[at] = np.frombuffer(named, dtype=np.int64)
             apart[at] = False
-        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
         held: list[np.ndarray] = []
 
-        def merge() -> None:
-            nonlocal keys, counts
-            k, c = x.count(np.concatenate(held)) if held else (keys[:0], counts[:0])
-            if len(keys):
-                k, c = x.count(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            keys, counts = k, c
-            held.clear()
+        def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return ((label[a] != label[b]) | apart[a] | apart[b]) & x.similar_sizes(a, b, percent)
 
+        def merge() -> None:
+            if held:
+                done.append(_summed(np.concatenate(held)))
+                held.clear()
+            if len(done) > 8:
+                done[:] = [_summed(np.concatenate([k for k, _ in done]), np.concatenate([n for _, n in done]))]
+
+        members_of_long = np.unique(x.owner[x.sizes[x.of] > long]) if len(x.of) else np.zeros(0, dtype=np.int64)
+        limit = long if len(members_of_long) else len(x.of)
         waiting = 0
-        for size in np.unique(x.sizes):
+        for size in np.unique(x.sizes[x.sizes <= limit]):
             starts = x.starts[x.sizes == size]
             rows = max(1, step // int(size * size))
             for i in range(0, len(starts), rows):
@@ -282,23 +349,61 @@ def _cross_pairs(percent: int, step: int = 2_000_000):
                     if not len(members):
                         break
                     a, b = members[:, :-j].ravel(), members[:, j:].ravel()
-                    ok = ((label[a] != label[b]) | apart[a] | apart[b]) & x.similar_sizes(a, b, percent)
+                    ok = differ(a, b)
                     a, b = a[ok], b[ok]
-                    held.append(np.minimum(a, b) * len(x.c1) + np.maximum(a, b))
+                    held.append(np.minimum(a, b) * c + np.maximum(a, b))
                     waiting += len(a)
                     if waiting > step:
                         merge()
                         waiting = 0
         merge()
-        return pa.Table.from_batches([x.pairs(keys, counts)])
+        if len(members_of_long):
+            at_long = np.flatnonzero(x.sizes[x.of] > long)
+            who = np.searchsorted(members_of_long, x.owner[at_long])
+            of = np.unique(x.of[at_long], return_inverse=True)[1]
+            n_lists, tile = int(of.max()) + 1, 1024
+            by_list = np.argsort(of, kind="stable")
+            who, of = who[by_list], of[by_list]
+            m = len(members_of_long)
+            for i in range(0, m, tile):
+                for j in range(i, m, tile):
+                    counts = np.zeros((min(tile, m - i), min(tile, m - j)), dtype=np.float32)
+                    for k in range(0, n_lists, dense):
+                        lo, hi = np.searchsorted(of, [k, k + dense])
+                        w, f = who[lo:hi], of[lo:hi] - k
+                        left, right = (w >= i) & (w < i + tile), (w >= j) & (w < j + tile)
+                        both = np.intersect1d(f[left], f[right])
+                        if not len(both):
+                            continue
+                        sides = []
+                        for pick, base, height in ((left, i, counts.shape[0]), (right, j, counts.shape[1])):
+                            spot = np.minimum(np.searchsorted(both, f[pick]), len(both) - 1)
+                            hit = both[spot] == f[pick]
+                            side = np.zeros((height, len(both)), dtype=np.float32)
+                            side[w[pick][hit] - base, spot[hit]] = 1
+                            sides.append(side)
+                        counts += sides[0] @ sides[1].T
+                    a, b = np.nonzero(counts)
+                    n = counts[a, b].astype(np.int64)
+                    a, b = members_of_long[a + i], members_of_long[b + j]
+                    ok = (a < b) & differ(a, b)
+                    done.append((a[ok] * c + b[ok], n[ok]))
+                    merge()
+        keys, counts = _summed(np.concatenate([k for k, _ in done]), np.concatenate([n for _, n in done]))
+        return x.packed(keys, counts, percent, parts)
 
     return cross
 
 
+def _places(column: str, bits: int) -> list:
+    """Two places of a value in a bitmap."""
+    return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(bits)) for k in (1, 2)]
+
+
 def _marks(ids: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit for the hash class of every id; at most MOST_MARKS bits."""
-    slot = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
-    rows = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    """A bitmap with both places of every value set; at most MOST_MARKS bits."""
+    places = ids.select(F.explode(F.array(*_places(column, bits))).alias("s")).select((F.col("s") + 1).alias("s"))
+    rows = places.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     out = np.zeros(-(-bits // 32768) * 4096, dtype=np.uint8)
     for r in rows:
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
@@ -306,14 +411,16 @@ def _marks(ids: DataFrame, column: str, bits: int) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, marks, bits: int, words: int) -> DataFrame:
-    """(c1, c2, n, shingles) of the rows whose id is marked (or shares a mark)."""
+    """(c1, c2, n, shingles) of the rows whose id is marked (or happens to share both marks)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = marks.value
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-            for part in chunks(iter([batch]), "text"):
+            hit = np.ones(batch.num_rows, dtype=bool)
+            for column in (2, 3):
+                place = batch.column(column).to_numpy()
+                hit &= (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            for part in chunks(iter([batch.filter(pa.array(hit))]), "text"):
                 sets = [s for s in shingle_sets(texts_of(part.column(1)), words) if len(s)]
                 if not sets:
                     continue
@@ -322,8 +429,8 @@ def _sets_of(docs: DataFrame, marks, bits: int, words: int) -> DataFrame:
                     [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["c1", "c2", "n", "shingles"]
                 )
 
-    rows = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    return rows.mapInArrow(read, "c1 long, c2 long, n long, shingles array<long>")
+    one, two = _places("doc_id", bits)
+    return docs.withColumn("one", one).withColumn("two", two).mapInArrow(read, "c1 long, c2 long, n long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,29 +460,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     n_buckets = max(1, int(total // 4_000_000))
     lists = durable(_post(rows, words, percent, frequency, n_buckets).groupBy("bucket").applyInArrow(_gather, LISTS))
 
-    def enough(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("need").alias("need")).filter("matches >= need").select("a", "b")
+    parts = n_buckets
+
+    def enough(counted: DataFrame) -> DataFrame:
+        return durable(counted.groupBy("part").applyInArrow(_enough, PAIRS))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(node, node) of the pairs that are similar enough. Sets are read again for these rows only."""
+        """(node, node) of the pairs that are similar enough. Sets are read again, for these classes only."""
         members = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
-        nodes = durable(members.join(classes, "c1").select("c1", "c2", "n", "rep", F.coalesce("rep", "c1").alias("node")))
-        bits = min(MOST_MARKS, max(1 << 15, 16 * nodes.count()))
-        marks = context.broadcast(_marks(nodes, "rep", bits))
-        sets = _sets_of(rows, marks, bits, words).join(nodes.select("c1", "c2", "n", "node"), ["c1", "c2", "n"])
-        sets = durable(sets.groupBy("node", "c1", "n").agg(F.first("shingles").alias("shingles")))
-        left, right = (sets.select(F.col("c1").alias(s), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
+        reps = durable(members.join(classes, "c1").select("rep"))
+        bits = min(MOST_MARKS, max(1 << 16, 64 * reps.count()))
+        marks = context.broadcast(_marks(reps, "rep", bits))
+        sets = _sets_of(rows, marks, bits, words)
+        left, right = (sets.select(F.col("c1").alias(s), F.col("c2").alias(f"c2_{s}"), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
         met = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        return met.filter(F.lit(100) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-
-    first = durable(verified(durable(enough(lists.mapInArrow(_star_pairs(percent), PAIRS)))))
+        good = met.filter(F.lit(100) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
+        good = durable(good.select("a", "c2_a", "n_a", "b", "c2_b", "n_b").distinct())
+        for side, node in (("a", "u"), ("b", "v")):
+            of = classes.select(F.col("c1").alias(side), F.col("c2").alias(f"c2_{side}"), F.col("n").alias(f"n_{side}"), F.coalesce("rep", "c1").alias(node))
+            good = good.join(of, [side, f"c2_{side}", f"n_{side}"])
+        return good.select("u", "v")
+
+    first = durable(verified(enough(lists.mapInArrow(_star_pairs(percent, parts), COUNTED))))
     merged = connected_components(first)
     # A class hash that two classes share stands for neither.
     single = classes.groupBy("c1").agg(F.count(F.lit(1)).alias("k"), F.first(F.coalesce("rep", "c1")).alias("node")).filter("k = 1")
-    labels = single.join(merged, "node").select("c1", F.col("component").alias("label"))
-    by_bucket = lists.select(F.col("bucket").alias("of_bucket"), F.explode("c1").alias("c1")).join(labels, "c1")
-    crossing = lists.groupBy("bucket").cogroup(by_bucket.groupBy("of_bucket")).applyInArrow(_cross_pairs(percent), PAIRS)
-    rest = durable(enough(crossing))
+    labels = single.join(merged, "node").select(F.pmod("c1", F.lit(parts)).cast("int").alias("of_part"), "c1", F.col("component").alias("label"))
+    split = lists.select("bucket", "c1").mapInArrow(_split_classes(parts), "part int, bucket int, c1 binary")
+    labelled = split.groupBy("part").cogroup(labels.groupBy("of_part")).applyInArrow(_label, "bucket int, c1 binary, label binary")
+    rest = enough(lists.groupBy("bucket").cogroup(labelled.groupBy("bucket")).applyInArrow(_cross_pairs(percent, parts), COUNTED))
     if rest.limit(1).count():
         more = durable(verified(rest))
         if more.limit(1).count():
