@@ -178,7 +178,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     few = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("labelled_id"), (F.col(f"`{label_col}`") >= 1).cast("int").alias("label"))
     few = few.orderBy(F.xxhash64("labelled_id"), "labelled_id", "label").limit(most_labelled)
-    rows = docs.join(F.broadcast(few), F.col(f"`{id_col}`") == F.col("labelled_id")).select("label", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = slim.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).select("label", "text")
     table = _map_statistics(rows, lambda x: [(n, x[:, j]) for j, n in enumerate(STATISTICS)], "label int, " + ", ".join(f"{n} double" for n in STATISTICS)).toPandas()
     table = table.sort_values([*STATISTICS, "label"])
     return boost(table[list(STATISTICS)].to_numpy(), table["label"].to_numpy(dtype=float))

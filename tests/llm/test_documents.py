@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm import exact_dedup, kernels, language_id, mixing, ngram_join, packing, quality, suffix_dedup, window_dedup
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, slot int, h string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, slot int, h string, label int, block int"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -32,9 +32,9 @@ def make_rows(seed=3):
             near[rng.randrange(len(near))] = "changed"
         texts.append(" ".join(near))
     texts += [" ".join(base)] * 4 + [prose(9000)] + [" ".join(base).replace(" ", "\n  ")]
-    rows = [(i, t, "xx", rng.choice(["b", "a", None, "é"]), len(t or ""), "x", 1, "y") for i, t in enumerate(texts)]
+    rows = [(i, t, "xx", rng.choice(["b", "a", None, "é"]), len(t or ""), "x", 1, "y", 0, 5) for i, t in enumerate(texts)]
     rows.append(rows[15])  # a row given twice
-    rows.append((None, "no id here at all, only words", None, None, None, None, None, None))
+    rows.append((None, "no id here at all, only words", *[None] * 8))
     rng.shuffle(rows)
     return rows
 
@@ -188,7 +188,7 @@ def test_exact_dedup_lets_single_rows_pass(spark):
 
 
 def test_mixture_comes_near_its_targets(spark, docs, rows, nothing):
-    table = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 37)), None, "abcde"[min(4, int(math.log2(i + 1)) // 2)], 0, "", 0, "") for i in range(4000)], SCHEMA)
+    table = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 37)), None, "abcde"[min(4, int(math.log2(i + 1)) // 2)], 0, "", 0, "", 0, 0) for i in range(4000)], SCHEMA)
     mix = mixing.plan_mix(table, shard_words=5000)
     taken = mix.taken().collect()
     assert len(taken) == 4000 and all(r.taken <= 2 * r.size for r in taken)
@@ -304,7 +304,7 @@ def test_quality_is_learned_and_held_out(spark, docs, nothing):
     labels = [(i, int(rng.random() < 0.6)) for i in range(400)]
     table = spark.createDataFrame([(i, good() if q else bad()) for i, q in labels], "doc_id long, text string")
     marks = spark.createDataFrame([*labels[:250], (None, 1), (3, None)], "doc_id long, quality int")
-    model = quality.fit_quality(table, marks)
+    model = quality.fit_quality(table.withColumn("label", F.lit(7)), marks)
     found = {r.doc_id: r.score for r in quality.score_quality(table, model).collect()}
     assert sum((found[i] >= 0.5) == bool(q) for i, q in labels[250:]) >= 145
     kept = quality.filter_quality(docs, model)
