@@ -42,8 +42,21 @@ HUBS = 3
 MOST_MARKS = 1 << 27
 
 
-def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a shorter text is one shingle, an empty one none."""
+def shingle_sets(texts: list[bytes], words: int = 5, most: int = 1 << 20) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a shorter text is one shingle, an empty one none.
+
+    About `most` bytes are worked on at a time.
+    """
+    out, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            out += _shingle_sets(texts[begin:i], words)
+            begin, held = i, 0
+        held += len(t)
+    return out + _shingle_sets(texts[begin:], words)
+
+
+def _shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     w = Words(texts, lower=True)
     hashes = w.hashes()
     at = window_starts(w.counts, words)
