@@ -134,23 +134,24 @@ def main_text(page: str | None, span: int = 3, surge: float = 0.2) -> str:
     """The text between the surge and dive points of the page's line-block distribution.
 
     span: lines a window; surge: the share of the highest window sum that a region
-    must reach for being kept beside the best one.
+    must reach for being kept beside the best one. Lines of article and main count
+    as surging and are judged in one distribution with all others.
     """
     lines = Lines(page or "")
     weight = np.array(lines.weight, dtype=np.int64)
-    if any(c and w for c, w in zip(lines.core, lines.weight, strict=True)):  # the page says where its article is
-        weight = np.where(lines.core, np.maximum(weight, 1), 0)
-        kept = weight > 0
-        return " ".join(t for t, k in zip(lines.text, _between(weight, kept, span, 0.0), strict=True) if k)
-    return " ".join(t for t, k in zip(lines.text, _between(weight, weight > 0, span, surge), strict=True) if k)
+    core = np.array(lines.core, dtype=bool)
+    if not weight[core].any():  # links alone are no article
+        core[:] = False
+    return " ".join(t for t, k in zip(lines.text, _between(weight, core, span, surge), strict=True) if k)
 
 
-def _between(weight: np.ndarray, allowed: np.ndarray, span: int, surge: float) -> np.ndarray:
-    """Lines with weight that lie in a region of the distribution."""
+def _between(weight: np.ndarray, core: np.ndarray, span: int, surge: float) -> np.ndarray:
+    """Lines with weight that lie in a region of the distribution; core lines weigh one at least."""
     n = len(weight)
     keep = np.zeros(n, dtype=bool)
     if not weight.any():
         return keep
+    weight = np.where(core, np.maximum(weight, 1), weight)
     sums = np.convolve(weight, np.ones(span, dtype=np.int64))[span - 1 :]  # of the lines i .. i+span-1
     rising = np.flatnonzero((sums > 0) & np.concatenate([[True], sums[:-1] == 0]))
     diving = np.flatnonzero((sums > 0) & np.concatenate([sums[1:] == 0, [True]]))
@@ -158,9 +159,9 @@ def _between(weight: np.ndarray, allowed: np.ndarray, span: int, surge: float) -
     top = max(r[3] for r in regions)
     most = max(r[2] for r in regions)
     for a, b, total, high in regions:
-        if high >= surge * top and total >= surge * most:
+        if core[a:b].any() or (high >= surge * top and total >= surge * most):
             keep[a:b] = True
-    return keep & allowed
+    return keep & (weight > 0)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

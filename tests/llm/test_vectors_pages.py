@@ -73,6 +73,14 @@ def test_main_text(name):
     assert html_text.main_text(page) == want
 
 
+def test_article_does_not_hide_the_rest_of_the_page():
+    body = ["A long paragraph of the body. " * 10, "A second long paragraph of it. " * 12]
+    page = "<body><nav><a href=1>one</a></nav>" + "".join(f"<div><p>{x}</p></div>" for x in body) + "<article><p>A teaser.</p></article><footer>c</footer></body>"
+    assert html_text.main_text(page) == " ".join(" ".join([*body, "A teaser."]).split())
+    page = f"<body><div><p>{body[0]}</p></div><nav><p>a</p><p>b</p><p>c</p></nav><main><p>Ok.</p></main></body>"
+    assert html_text.main_text(page) == f"{body[0]}Ok."
+
+
 def test_pages_pass_with_their_columns(spark):
     rows = [(i, f"u{i}", p, "t") for i, (p, _) in enumerate(PAGES.values())] + [(0, "u0", PAGES["plain"][0], "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
