@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block element. Lines of page furniture
 (menus, headers, footers, forms, adverts and the like, told by element, role or
 class) count as empty, and so do lines made of links. Text lengths are summed
 over sliding windows of lines; where the sums surge from nothing a region begins,
-where they dive to nothing it ends, and the text between them is kept.
+where they dive to nothing it ends. The text from the first region that reaches
+a fixed height to the last one is kept.
 """
 
 from __future__ import annotations
@@ -130,12 +131,14 @@ class Lines:
         flush()
 
 
-def main_text(page: str | None, span: int = 3, surge: float = 0.2) -> str:
-    """The text between the surge and dive points of the page's line-block distribution.
+def main_text(page: str | None, span: int = 3, surge: int = 60) -> str:
+    """The text between the first surge and the last dive point of the page's line-block distribution.
 
-    span: lines a window; surge: the share of the highest window sum that a region
-    must reach for being kept beside the best one. Lines of article and main count
-    as surging and are judged in one distribution with all others.
+    span: lines a window; surge: the characters a window must reach for a region to
+    surge, whatever the others hold. Lines of article and main count as surging and
+    are judged in one distribution with all others. Between the first region that
+    surges and the last one all lines with weight are kept; on a page where nothing
+    surges there is nothing to compare, and all are kept.
     """
     lines = Lines(page or "")
     weight = np.array(lines.weight, dtype=np.int64)
@@ -145,8 +148,8 @@ def main_text(page: str | None, span: int = 3, surge: float = 0.2) -> str:
     return " ".join(t for t, k in zip(lines.text, _between(weight, core, span, surge), strict=True) if k)
 
 
-def _between(weight: np.ndarray, core: np.ndarray, span: int, surge: float) -> np.ndarray:
-    """Lines with weight that lie in a region of the distribution; core lines weigh one at least."""
+def _between(weight: np.ndarray, core: np.ndarray, span: int, surge: int) -> np.ndarray:
+    """Lines with weight from the first to the last region that surges; core lines weigh one at least."""
     n = len(weight)
     keep = np.zeros(n, dtype=bool)
     if not weight.any():
@@ -155,12 +158,10 @@ def _between(weight: np.ndarray, core: np.ndarray, span: int, surge: float) -> n
     sums = np.convolve(weight, np.ones(span, dtype=np.int64))[span - 1 :]  # of the lines i .. i+span-1
     rising = np.flatnonzero((sums > 0) & np.concatenate([[True], sums[:-1] == 0]))
     diving = np.flatnonzero((sums > 0) & np.concatenate([sums[1:] == 0, [True]]))
-    regions = [(a, min(n, b + span), int(weight[a : b + span].sum()), int(sums[a : b + 1].max())) for a, b in zip(rising, diving, strict=True)]
-    top = max(r[3] for r in regions)
-    most = max(r[2] for r in regions)
-    for a, b, total, high in regions:
-        if core[a:b].any() or (high >= surge * top and total >= surge * most):
-            keep[a:b] = True
+    regions = [(a, min(n, b + span), int(sums[a : b + 1].max())) for a, b in zip(rising, diving, strict=True)]
+    surging = [(a, b) for a, b, high in regions if high >= surge or core[a:b].any()]
+    first, last = (surging[0][0], surging[-1][1]) if surging else (0, n)
+    keep[first:last] = True
     return keep & (weight > 0)
 
 

@@ -81,6 +81,16 @@ def test_article_does_not_hide_the_rest_of_the_page():
     assert html_text.main_text(page) == f"{body[0]}Ok."
 
 
+@pytest.mark.parametrize("lead,closing", [("Short lead. " * 25, "Short end. " * 20), ("A lead of one line that is not long but stands by itself here.", "And an end of one line that is not long but stands by itself.")])
+def test_advert_block_does_not_cut_the_article(lead, closing):
+    advert = "<div class=advert><p>buy</p><p>this</p><p>now</p><p>please</p></div>"
+    related = "<ul>" + "".join(f"<li><a href={i}>More of it {i}</a></li>" for i in range(5)) + "</ul>"
+    body = "The long middle part of the text. " * 70
+    page = f"<body><div>Brand</div>{related}<div><p>{lead}</p></div>{advert}<div><p>{body}</p></div>{advert}<div><p>Amid.</p></div>{related}<div><p>{closing}</p></div>{related}<div>Imprint</div></body>"
+    assert html_text.main_text(page) == " ".join(f"{lead} {body} Amid. {closing}".split())
+    assert html_text.main_text(f"<div><p>Ok.</p></div>{advert}<div><p>Yes, it is so.</p></div>") == "Ok. Yes, it is so."
+
+
 def test_pages_pass_with_their_columns(spark):
     rows = [(i, f"u{i}", p, "t") for i, (p, _) in enumerate(PAGES.values())] + [(0, "u0", PAGES["plain"][0], "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
