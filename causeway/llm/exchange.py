@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 
 SENT = "bucket int, block int, hashes binary, twice binary"
 BACK = "block int, bucket int, bits binary"
+COUNTED = SENT + ", number binary"
+COUNTED_BACK = BACK + ", many binary"
 
 
 class Packed:
-    """A block's hashes in the order in which they travel."""
+    """A block's hashes in the order in which they travel; with contexts, also how many different ones each has."""
 
-    def __init__(self, value: np.ndarray, spread: np.ndarray, n_buckets: int):
+    def __init__(self, value: np.ndarray, spread: np.ndarray, n_buckets: int, context: np.ndarray | None = None):
         bucket = (spread % np.uint64(n_buckets)).astype(np.int32)
         order = np.argsort(value, kind="stable")
         order = order[np.argsort(bucket[order], kind="stable")]
@@ -41,15 +43,26 @@ class Packed:
         self.twice = np.diff(np.append(at, len(v))) > 1
         edges = np.flatnonzero(np.diff(self.bucket)) + 1
         self.edges = np.concatenate([[0], edges, [len(self.value)]]) if len(self.value) else np.zeros(1, dtype=np.int64)
+        self.number = None
+        if context is not None:
+            again = self.twice[self.entry]
+            e, c = self.entry[again], context[order[again]]
+            by = np.lexsort((c, e))
+            e, c = e[by], c[by]
+            new = np.ones(len(e), dtype=bool)
+            new[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
+            self.number = np.minimum(np.bincount(e[new], minlength=len(self.value)), 65535).astype(np.uint16)
 
     def rows(self, block: int) -> pa.Table:
         cuts = list(zip(self.edges[:-1], self.edges[1:], strict=True))
+        number = {} if self.number is None else {"number": pa.array([self.number[a:b][self.twice[a:b]].tobytes() for a, b in cuts], pa.binary())}
         return pa.table(
             {
                 "bucket": pa.array(self.bucket[self.edges[:-1]], pa.int32()),
                 "block": pa.array(np.full(len(cuts), block), pa.int32()),
                 "hashes": pa.array([self.value[a:b].tobytes() for a, b in cuts], pa.binary()),
                 "twice": pa.array([np.packbits(self.twice[a:b]).tobytes() for a, b in cuts], pa.binary()),
+                **number,
             }
         )
 
@@ -63,11 +76,14 @@ class Packed:
         return out
 
 
-def _decide(table: pa.Table) -> pa.Table:
+def _decide(table: pa.Table, most: int | None) -> pa.Table:
     hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     sizes = np.array([len(x) for x in hashes])
     value = np.concatenate(hashes)
     twice = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n).view(bool) for x, n in zip(table.column("twice").to_pylist(), sizes, strict=True)])
+    if most is not None:
+        number = np.ones(len(value), dtype=np.int64)
+        number[twice] = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table.column("number").to_pylist()])
     order = np.argsort(value)
     v = value[order]
     same = v[1:] == v[:-1]
@@ -78,28 +94,36 @@ def _decide(table: pa.Table) -> pa.Table:
     repeated = twice
     repeated[order] |= met
     ends = np.cumsum(sizes)
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "bucket": table.column("bucket"),
-            "bits": pa.array([np.packbits(repeated[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()),
-        }
-    )
 
+    def packed(bits: np.ndarray) -> pa.Array:
+        return pa.array([np.packbits(bits[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())
 
-def repeated(sent: DataFrame) -> DataFrame:
-    """(block, bucket, bits) for every row of SENT: a bit for each hash that occurs twice."""
-    return sent.groupBy("bucket").applyInArrow(_decide, BACK)
+    back = {"block": table.column("block"), "bucket": table.column("bucket"), "bits": packed(repeated)}
+    if most is not None:
+        at = np.flatnonzero(np.concatenate([[True], ~same]))
+        many = np.empty(len(v), dtype=bool)
+        many[order] = np.repeat(np.add.reduceat(number[order], at) > most, np.diff(np.append(at, len(v))))
+        back["many"] = packed(many)
+    return pa.table(back)
 
 
-def send(blocked: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
-    """SENT rows of every block. hashes: gives a block's values and their spreading hashes."""
+def repeated(sent: DataFrame, most: int | None = None) -> DataFrame:
+    """(block, bucket, bits) for every row of SENT: a bit for each hash that occurs twice.
+
+    With most, sent has COUNTED rows, and bits many tell the hashes with more contexts than that.
+    """
+    return sent.groupBy("bucket").applyInArrow(lambda table: _decide(table, most), BACK if most is None else COUNTED_BACK)
+
+
+def send(blocked: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, ...]], n_buckets: int, schema: str = SENT) -> DataFrame:
+    """SENT rows of every block. hashes: gives a block's values and their spreading hashes, for COUNTED rows also their contexts'."""
 
     def emit(key: tuple, table: pa.Table) -> pa.Table:
-        return Packed(*hashes(table), n_buckets).rows(key[0].as_py())
+        value, spread, *context = hashes(table)
+        return Packed(value, spread, n_buckets, *context).rows(key[0].as_py())
 
-    return blocked.groupBy("block").applyInArrow(emit, SENT)
+    return blocked.groupBy("block").applyInArrow(emit, schema)
 
 
-def bits_of(table: pa.Table) -> dict[int, bytes]:
-    return dict(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True))
+def bits_of(table: pa.Table, name: str = "bits") -> dict[int, bytes]:
+    return dict(zip(table.column("bucket").to_pylist(), table.column(name).to_pylist(), strict=True))

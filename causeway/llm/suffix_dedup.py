@@ -9,6 +9,11 @@ equal exactly if their suffixes share length - o bytes to the right and o to the
 left; both are ranges of the suffix arrays, found from the common prefixes of
 neighbours. All but the first of equal windows are removed.
 
+A gram with many different contexts (a license line between different texts) would
+bring them all to one group. Its windows are counted one by one, and only those that
+occur twice go on, each one alone and by its own hash to a bucket; equal ones
+of a block go once. So no group grows with the contexts of one gram.
+
 Deep-shallow sorting: multikey quicksort, eight bytes a key character and all
 groups of a level at once, runs to a shallow depth; groups that are still
 together have long common prefixes and are ordered by blind tries.
@@ -21,8 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .exchange import Packed, bits_of, repeated, send
+from .exchange import COUNTED, SENT, Packed, bits_of, repeated, send
 from .frames import texts_of, with_blocks
 from .kernels import BYTE_CODES, covered, mix, powers, prefix_hash, ramp, runs, sliding_min
 from .window_dedup import runs_by_doc
@@ -214,9 +220,32 @@ class _Block:
                 spread = mix(spread + grams[:, k : k + 4].copy().view(np.uint32).ravel().astype(U64) * _FOLD[k])
             yield {"raw": raw, "sums": sums, "doc": docs[of], "shift": begins[of] - starts[of], "lo": lo, "hi": hi, "anchor": a, "gram": g[a], "spread": spread}
 
-    def gram_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        found = [(x["gram"], x["spread"]) for x in self.anchors()]
-        return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, dtype=U64), np.zeros(0, dtype=U64))
+    def gram_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [(x["gram"], x["spread"], _hashes(x, x["lo"], x["hi"] + self.length, x["anchor"])) for x in self.anchors()]
+        return tuple(np.concatenate(k) for k in zip(*found, strict=True)) if found else (np.zeros(0, dtype=U64),) * 3
+
+    def windows(self, x: dict, use: np.ndarray) -> dict:
+        """The windows of some of the runs, each as a run of its own."""
+        number = x["hi"][use] - x["lo"][use] + 1
+        y = {k: np.repeat(x[k][use], number) for k in ("doc", "shift", "anchor", "spread")}
+        y["lo"] = y["hi"] = np.repeat(x["lo"][use], number) + ramp(number)
+        y["hash"] = _hashes(x, y["lo"], y["lo"] + self.length, y["anchor"])
+        y["route"] = mix(y["spread"] + y["hash"] * _FOLD[3])
+        return y
+
+
+def _hashes(x: dict, lo: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Hashes of contexts lo .. end and of the anchors' places in them."""
+    return mix((x["sums"][end] - x["sums"][lo]) * powers(0, len(x["raw"]), True)[lo] + (end - lo).astype(U64) * _FOLD[1] + (anchor - lo).astype(U64) * _FOLD[2])
+
+
+def _occurs_earlier(hashes: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Which of a block's contexts, in corpus order, occur earlier in the block?"""
+    order = np.lexsort((spread, hashes))
+    h, s = hashes[order], spread[order]
+    again = np.zeros(len(order), dtype=bool)
+    again[order[1:]] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
+    return again
 
 
 NULL_ID = -(2**63)
@@ -264,7 +293,7 @@ def _windows_gone(bucket: dict[str, np.ndarray], length: int) -> np.ndarray:
     return gone
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = 36, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = 36, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, most_contexts: int = 16384) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes that also starts earlier.
 
     Texts are taken as UTF-8; earlier means a smaller id, or the same document
@@ -278,42 +307,68 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = 36, id_col:
     one document and is given back twice. Very long texts are whole; a text over
     block_bytes makes a block by itself. An empty table gives an empty one. Other
     columns are not read. length is at most 104, and gram a multiple of 4 below it.
+    Grams with more than most_contexts different contexts are taken window by window.
     """
+    blocked, decide, strip, sent = _contexts(docs, length, gram, id_col, text_col, block_bytes, bucket_bytes, most_contexts)
+    decided = sent.groupBy("bucket").applyInArrow(decide, GONE)
+    return blocked.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(strip, OUT)
+
+
+def _contexts(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, block_bytes: int, bucket_bytes: int, most_contexts: int) -> tuple:
+    """The blocked rows, the functions of a bucket and of a block, and the CONTEXTS rows."""
     if not (length <= 104 and 4 <= gram < length and gram % 4 == 0 and 2 * length - gram < 256):
         raise ValueError("length must be at most 104 and gram a multiple of 4 below it")
     blocked, _, total = with_blocks(docs, id_col, text_col, block_bytes)
     n_buckets = max(1, -(-total // bucket_bytes))
 
-    def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _Block(table, length, gram).gram_hashes()
 
+    def answered(found: list[dict], grams: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each run: does its gram occur twice, and has it many contexts?"""
+        packed = Packed(np.concatenate([x["gram"] for x in found]), np.concatenate([x["spread"] for x in found]), n_buckets)
+        cuts = np.cumsum([len(x["lo"]) for x in found])[:-1]
+        return list(zip(*(np.split(packed.answered(bits_of(grams, k)), cuts) for k in ("bits", "many")), strict=True))
+
+    def count_windows(key: tuple, table: pa.Table, grams: pa.Table) -> pa.Table:
+        value = spread = np.zeros(0, dtype=U64)
+        if any(any(x) for x in grams.column("many").to_pylist()):
+            block = _Block(table, length, gram)
+            found = list(block.anchors())
+            hot = [block.windows(x, many) for x, (_, many) in zip(found, answered(found, grams), strict=True)]
+            value, spread = (np.concatenate([y[k] for y in hot]) for k in ("hash", "route"))
+        return Packed(value, spread, n_buckets).rows(key[0].as_py())
+
     def contexts(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         block = _Block(table, length, gram)
         found = list(block.anchors())
         out: dict[str, list] = {"bucket": [], "block": [], **{k: [] for k in _ARRAYS}, "bytes": [], "gone": []}
         if found:
-            twice = Packed(np.concatenate([x["gram"] for x in found]), np.concatenate([x["spread"] for x in found]), n_buckets).answered(bits_of(back))
-            n = 0
-            cut = []
-            for x in found:
-                use = twice[n : n + len(x["lo"])]
-                n += len(x["lo"])
-                y = {k: x[k][use] for k in ("doc", "shift", "lo", "hi", "anchor", "spread")}
+            is_gram = np.array(back.column("many").is_valid(), dtype=bool)
+            use = answered(found, back.filter(pa.array(is_gram)))
+            windows = [block.windows(x, many) for x, (_, many) in zip(found, use, strict=True)]
+            packed = Packed(np.concatenate([y["hash"] for y in windows]), np.concatenate([y["route"] for y in windows]), n_buckets)
+            twice = np.split(packed.answered(bits_of(back.filter(pa.array(~is_gram)))), np.cumsum([len(y["lo"]) for y in windows])[:-1])
+            cut, gone = [], []
+            for x, (again, many), y, again_y in zip(found, use, windows, twice, strict=True):
+                once = again & ~many
+                z = {k: x[k][once] for k in ("doc", "shift", "lo", "hi", "anchor", "spread")}
+                z["hash"] = _hashes(x, z["lo"], z["hi"] + length, z["anchor"])
+                z["route"] = z["spread"]
+                y = {k: v[again_y] for k, v in y.items()}
+                again_y = _occurs_earlier(y["hash"], y["spread"])  # before their bytes are taken: there are a hundred a window
+                gone.append(_spans(y["doc"][again_y], (y["lo"] + y["shift"])[again_y], (y["lo"] + y["shift"])[again_y] + length))
+                y = {k: np.concatenate([z[k], v[~again_y]]) for k, v in y.items()}
                 size = y["hi"] + length - y["lo"]
                 y["size"], y["left"] = size, y["anchor"] - y["lo"]
-                y["hash"] = mix((x["sums"][y["lo"] + size] - x["sums"][y["lo"]]) * powers(0, len(x["sums"]), True)[y["lo"]] + size.astype(U64) * _FOLD[1] + y["left"].astype(U64) * _FOLD[2])
+                y["bytes"] = x["raw"][np.repeat(y["lo"], size) + ramp(size)]
                 y["lo"] = y["lo"] + y["shift"]
-                at = y["lo"] - y["shift"]
-                y["bytes"] = x["raw"][np.repeat(at, size) + ramp(size)]
                 cut.append(y)
-            every = {k: np.concatenate([y[k] for y in cut]) for k in ("doc", "lo", "size", "left", "hash", "spread", "bytes")}
+            every = {k: np.concatenate([y[k] for y in cut]) for k in ("doc", "lo", "size", "left", "hash", "spread", "route", "bytes")}
             # Of equal contexts of the block the first one goes on, the others are surely gone.
-            order = np.lexsort((every["spread"], every["hash"]))
-            h, s = every["hash"][order], every["spread"][order]
-            again = np.zeros(len(order), dtype=bool)
-            again[order[1:]] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
-            gone = _spans(every["doc"][again], every["lo"][again], every["lo"][again] + every["size"][again])
-            bucket = (every["spread"] % U64(n_buckets)).astype(np.int64)
+            again = _occurs_earlier(every["hash"], every["spread"])
+            gone = np.concatenate([*gone, _spans(every["doc"][again], every["lo"][again], every["lo"][again] + every["size"][again])])
+            bucket = (every["route"] % U64(n_buckets)).astype(np.int64)
             ends = np.cumsum(every["size"])
             firsts = np.flatnonzero(~again)
             firsts = firsts[np.argsort(bucket[firsts], kind="stable")]
@@ -378,7 +433,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100, gram: int = 36, id_col:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
-    grams = repeated(send(blocked, count, n_buckets))
-    sent = blocked.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(contexts, CONTEXTS)
-    decided = sent.groupBy("bucket").applyInArrow(decide, GONE)
-    return blocked.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(strip, OUT)
+    grams = repeated(send(blocked, count, n_buckets, COUNTED), most_contexts)
+    windows = repeated(blocked.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(count_windows, SENT))
+    back = grams.unionByName(windows.withColumn("many", F.lit(None).cast("binary")))
+    return blocked, decide, strip, blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(contexts, CONTEXTS)

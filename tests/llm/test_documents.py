@@ -102,6 +102,39 @@ def test_substrings_against_brute_force(docs, rows, nothing):
     assert suffix_dedup.dedup_substrings(nothing).count() == 0
 
 
+def test_substrings_split_a_gram_with_many_contexts(spark):
+    rng = np.random.default_rng(8)
+    line = "Licensed under terms that stand in every one of these files; see the file of that name beside it for all of them. " * 2
+    texts = [bytes(rng.integers(97, 123, 160).astype(np.uint8)).decode() for _ in range(300)]
+    rows = [(i, t[:80] + line + t[80:]) for i, t in enumerate(texts + texts[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = suffix_dedup.dedup_substrings(docs, block_bytes=20_000, bucket_bytes=8000, most_contexts=50).collect()
+    seen = set()
+    for r in sorted(out, key=lambda r: r.doc_id):
+        b = as_bytes(rows[r.doc_id][1])
+        gone = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(b[i : i + 100])
+        assert bytes(r.kept) == bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
+    assert len(out) == len(rows)
+
+    def longest(most):
+        """The most bytes that contexts of one gram bring to one group."""
+        sent = suffix_dedup._contexts(docs, 100, 36, "doc_id", "text", 20_000, 8000, most)[3]
+        found = Counter()
+        for r in sent.select("bucket", "left", "size", "bytes").collect():
+            at = 0
+            for left, size in zip(r.left, r.size):
+                found[r.bucket, bytes(r.bytes[at + left : at + left + 36])] += size
+                at += size
+        return max(found.values())
+
+    split, whole = longest(50), longest(10**9)
+    assert 4 * split < whole
+
+
 def test_deep_shallow_orders_suffixes():
     rng = np.random.default_rng(4)
     raw = np.frombuffer(b"".join([b"abab" * 30, bytes(rng.integers(97, 99, 400).astype(np.uint8)), b"x\0\0\0y" * 20]), dtype=np.uint8)
