@@ -140,13 +140,14 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], embed:
 def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_texts: int = 600, most_windows: int = 6, most_languages: int = 512) -> ByteNet:
     """A network from the texts and languages of docs.
 
-    At most most_texts texts a language (those with the least hash of the text)
-    and the first, evenly spaced most_windows windows of each are trained on;
-    rows without text or language are left out. More than most_languages
-    languages are refused.
+    At most most_texts different texts a language (those with the least hash of
+    the text) and most_windows windows of each, evenly spaced over the whole text,
+    are trained on; copies of a text count once, and rows without text or language
+    are left out. More than most_languages languages are refused.
     """
     known = docs.filter(F.col(f"`{lang_col}`").isNotNull() & (F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) > 0)).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    texts = known.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not counts:
@@ -154,17 +155,25 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     # A hash range a little wider than needed keeps the ranking small whatever a language's share.
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * most_texts / n)))])
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    few = known.withColumn("place", place).filter(F.col("place") < share[F.col("lang")] * (1 << 30))
+    few = known.withColumn("place", place).filter(F.col("place") < share[F.col("lang")] * (1 << 30)).distinct()
     few = few.withColumn("k", F.row_number().over(W.Window.partitionBy("lang").orderBy("place", "text"))).filter(F.col("k") <= most_texts)
-    rows = few.select("lang", F.substring("text", 1, 1 << 16).alias("text")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["text"]))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            windows, of, filled = cut_windows(texts_of(batch.column(2)))
+            place_in = np.arange(len(of)) - np.searchsorted(of, of)
+            number = np.bincount(of, minlength=batch.num_rows)[of]
+            use = (place_in * most_windows // np.maximum(number, 1) != (place_in - 1) * most_windows // np.maximum(number, 1)) & ((filled > 0.1) | (number == 1))
+            cut = [windows[use & (of == i)].tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], ["lang", "k", "windows"])
+
+    rows = few.select("lang", "k", F.col("text").cast("string").alias("text")).mapInArrow(sample, "lang string, k int, windows binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["k"]))
     languages = sorted(counts)
-    windows, of, filled = cut_windows([r["text"].encode() for r in rows])
-    place_in = np.arange(len(of)) - np.searchsorted(of, of)
-    number = np.bincount(of, minlength=len(rows))[of]
-    use = (place_in * most_windows // np.maximum(number, 1) != (place_in - 1) * most_windows // np.maximum(number, 1)) & ((filled > 0.1) | (number == 1))
-    label = np.array([languages.index(r["lang"]) for r in rows])[of]
-    return train(windows[use], label[use], languages)
+    width = cut_windows([b""])[0].shape[1]
+    parts = [np.frombuffer(r["windows"], dtype=np.uint8).reshape(-1, width) for r in rows]
+    label = np.repeat([languages.index(r["lang"]) for r in rows], [len(x) for x in parts])
+    return train(np.concatenate(parts), label, languages)
 
 
 def identify_language(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -310,6 +310,16 @@ def test_best_fit_places_every_item():
     assert sorted(used) == list(range(len(used))) and len(used) <= lengths.sum() / 100 * 1.02 + 1
 
 
+def test_language_of_many_copies_is_trained_on(spark, monkeypatch):
+    rows = [("aa", f"alpha beta gamma {i}") for i in range(9)] * 400 + [("bb", f"delta {i} " + "omega psi chi " * 6000 + "the end") for i in range(3)]
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda windows, label, languages: seen.append((windows, label, languages)))
+    language_id.fit_language(spark.createDataFrame(rows, "lang string, text string").repartition(3), most_texts=5)
+    windows, label, languages = seen[0]
+    assert languages == ["aa", "bb"] and np.bincount(label).tolist() == [5, 18]
+    assert len({w.tobytes() for w, k in zip(windows, label) if k == 0}) == 5
+
+
 def test_language_is_learned_and_held_out(spark, docs, nothing):
     rng = random.Random(1)
     syllables = {"aa": ["the", "ing", "ou", "th"], "bb": ["der", "sch", "ung", "ei"], "cc": ["ción", "ñ", "que", "los"]}
