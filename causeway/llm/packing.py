@@ -1,9 +1,9 @@
-"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous steps.
+"""Best-fit packing of tokenised documents into sequences, planned on the driver.
 
 Lengths are whole numbers of at most `capacity`, so sorting documents and gaps
 by range means putting them into size classes and giving each a rank within its
-class, which Spark does for all pieces at once. The steps then run from the
-longest class down: a sweep finds for each class the successor among the gaps
+class, which Spark does for all pieces at once. The steps then run on the driver,
+over counts by length, from the longest class down: a sweep finds for each class the successor among the gaps
 (the smallest that holds it), ranks say which document meets which gap, so no
 two want the same one, and the gaps move on to their new classes. Gaps of a class
 are interchangeable, so a step handles whole rank intervals and the state is a
