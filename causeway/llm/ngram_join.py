@@ -9,10 +9,13 @@
 3. Postings are packed by bucket; shingles that one class alone has vanish there.
    First every posting list proposes pairs with a few of its members only, those
    with the fewest shingles of their own, and what these pairs link is merged into
-   components. Then the matches of all pairs whose members are not in one component
-   are counted, in packed arrays, and pairs with enough are verified too. So a group
-   of near copies verifies a number of pairs in proportion to its members, and yet
-   no link between components is missed.
+   components. Lists within one component end there. Then the matches of all pairs
+   whose members are not in one component are counted, in packed arrays, and pairs
+   with enough are verified too. So a group of near copies verifies a number of
+   pairs in proportion to its members, and yet no link between components is missed.
+   Only components are returned; links within one are not listed.
+4. Pairs are verified by family, that is, what the pairs to verify connect. A set is
+   sent once to its family's bin; only families larger than a bin are cut into tiles.
 
 A pair's prefixes bound its intersection from above: what they share, and what lies
 beyond the prefix that ends first. The matches asked of a pair follow from that and
@@ -40,6 +43,8 @@ SKETCH_ROWS, SKETCH_BITS, PIECE = 2, 19, 1 << 17
 UNSEEN = 0.25
 HUBS = 3
 MOST_MARKS = 1 << 27
+#: Shingles that a bin of sets to verify holds, and pairs that a part to sum holds, about.
+BIN, PART = 1 << 20, 1 << 22
 
 
 def shingle_sets(texts: list[bytes], words: int = 5, most: int = 1 << 20) -> list[np.ndarray]:
@@ -318,92 +323,124 @@ def _label(key: tuple, classes: pa.Table, labels: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "c1": pa.array(out["c1"], pa.binary()), "label": pa.array(out["label"], pa.binary())})
 
 
-def _cross_pairs(percent: int, parts: int, step: int = 2_000_000, long: int = 48, dense: int = 1 << 13):
+PREPARED = LISTS + ", label binary, slices int, pairs long"
+#: Lists with more members are counted as products of 0/1 matrices, TILE members by TILE, DENSE lists at a time.
+LONG, TILE, DENSE = 48, 1024, 1 << 13
+
+
+def _prepare(key: tuple, lists: pa.Table, labels: pa.Table) -> pa.Table:
+    """The bucket's lists whose members are in more than one component, with a number for each member's component.
+
+    pairs: what is left to count; slices: into how many tasks its matrix products go.
+    """
+    row = lists.to_pylist()[0]
+    x = _Lists(row)
+    known = [np.frombuffer(c, dtype=np.int64) for c in labels.column("c1").to_pylist()]
+    named = [np.frombuffer(c, dtype=np.int64) for c in labels.column("label").to_pylist()]
+    label = np.full(len(x.c1), -1, dtype=np.int64)
+    if known:
+        label[np.searchsorted(x.c1, np.concatenate(known))] = np.unique(np.concatenate(named), return_inverse=True)[1]
+    apart = np.flatnonzero(label < 0)  # has no component: differs from all
+    label[apart] = label.max(initial=-1) + 1 + np.arange(len(apart))
+    pairs, slices = 0, 1
+    if len(x.of):
+        of_member = label[x.owner]
+        mixed = (np.minimum.reduceat(of_member, x.starts) != np.maximum.reduceat(of_member, x.starts))[x.of]
+        of, owner = np.unique(x.of[mixed], return_inverse=True)[1], x.owner[mixed]
+        used, owner = np.unique(owner, return_inverse=True)
+        label = label[used]
+        sizes = np.bincount(of)
+        alike = np.unique(of * (len(used) + 1) + np.unique(label, return_inverse=True)[1][owner], return_counts=True)[1]
+        pairs = int((sizes**2).sum() - (alike**2).sum()) // 2
+        members, long_lists = len(np.unique(owner[sizes[of] > LONG])), int((sizes > LONG).sum())
+        tiles = -(-members // TILE)
+        slices = 1 + tiles * (tiles + 1) // 2 * -(-long_lists // DENSE) // 64
+        row |= {"lists": of.astype(np.uint32).tobytes(), "owner": owner.astype(np.uint32).tobytes()}
+        row |= {"c1": x.c1[used].tobytes()} | {k: getattr(x, k)[used].astype(np.int32).tobytes() for k in ("n", "need", "posted", "own")}
+    row |= {"label": label.astype(np.int64).tobytes(), "slices": slices, "pairs": pairs}
+    kinds = {"bucket": pa.int32(), "slices": pa.int32(), "pairs": pa.int64()}
+    return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+
+
+def _cross_pairs(percent: int, parts: int, step: int = 2_000_000):
     """All pairs of every list whose members are in different components, with their matches.
 
-    Lists of few members are enumerated. Long ones, which near copies and common
-    passages make, are counted together as products of 0/1 matrices, a tile at a time.
+    Rows are PREPARED with the number of one of the bucket's slices. Slice 0
+    enumerates lists of few members. Long ones, which near copies and common
+    passages make, are counted together as products of 0/1 matrices, a tile at a
+    time, and every slice takes some of the tiles. Members lie by component, so
+    tiles within one are left out.
     """
 
-    def cross(key: tuple, lists: pa.Table, labels: pa.Table) -> pa.Table:
-        x = _Lists(lists.to_pylist()[0])
-        c = len(x.c1)
-        label = x.c1.copy()
-        apart = np.ones(c, dtype=bool)  # has no component: differs from all
-        for known, named in zip(labels.column("c1").to_pylist(), labels.column("label").to_pylist(), strict=True):
-            at = np.searchsorted(x.c1, np.frombuffer(known, dtype=np.int64))
-            label[at] = np.frombuffer(named, dtype=np.int64)
-            apart[at] = False
-        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-        held: list[np.ndarray] = []
-
-        def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return ((label[a] != label[b]) | apart[a] | apart[b]) & x.similar_sizes(a, b, percent)
-
-        def merge() -> None:
-            if held:
-                done.append(_summed(np.concatenate(held)))
-                held.clear()
-            if len(done) > 8:
-                done[:] = [_summed(np.concatenate([k for k, _ in done]), np.concatenate([n for _, n in done]))]
-
-        members_of_long = np.unique(x.owner[x.sizes[x.of] > long]) if len(x.of) else np.zeros(0, dtype=np.int64)
-        limit = long if len(members_of_long) else len(x.of)
-        waiting = 0
-        for size in np.unique(x.sizes[x.sizes <= limit]):
+    def short(x: _Lists, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, held, waiting = len(x.c1), [], 0
+        for size in np.unique(x.sizes[x.sizes <= LONG]):
             starts = x.starts[x.sizes == size]
             rows = max(1, step // int(size * size))
             for i in range(0, len(starts), rows):
                 members = x.owner[starts[i : i + rows][:, None] + np.arange(size)]
-                # Lists within one component end here, before any pair is made.
-                mine, loose = label[members], apart[members]
-                members = members[(mine != mine[:, :1]).any(axis=1) | loose.any(axis=1)]
                 for j in range(1, int(size)):
-                    if not len(members):
-                        break
                     a, b = members[:, :-j].ravel(), members[:, j:].ravel()
-                    ok = differ(a, b)
-                    a, b = a[ok], b[ok]
-                    held.append(np.minimum(a, b) * c + np.maximum(a, b))
-                    waiting += len(a)
+                    ok = (label[a] != label[b]) & x.similar_sizes(a, b, percent)
+                    held.append(np.minimum(a, b)[ok] * c + np.maximum(a, b)[ok])
+                    waiting += len(held[-1])
                     if waiting > step:
-                        merge()
-                        waiting = 0
-        merge()
-        if len(members_of_long):
-            at_long = np.flatnonzero(x.sizes[x.of] > long)
-            who = np.searchsorted(members_of_long, x.owner[at_long])
-            of = np.unique(x.of[at_long], return_inverse=True)[1]
-            n_lists, tile = int(of.max()) + 1, 1024
-            by_list = np.argsort(of, kind="stable")
-            who, of = who[by_list], of[by_list]
-            m = len(members_of_long)
-            for i in range(0, m, tile):
-                for j in range(i, m, tile):
-                    counts = np.zeros((min(tile, m - i), min(tile, m - j)), dtype=np.float32)
-                    for k in range(0, n_lists, dense):
-                        lo, hi = np.searchsorted(of, [k, k + dense])
-                        w, f = who[lo:hi], of[lo:hi] - k
-                        left, right = (w >= i) & (w < i + tile), (w >= j) & (w < j + tile)
-                        both = np.intersect1d(f[left], f[right])
-                        if not len(both):
-                            continue
-                        sides = []
-                        for pick, base, height in ((left, i, counts.shape[0]), (right, j, counts.shape[1])):
-                            spot = np.minimum(np.searchsorted(both, f[pick]), len(both) - 1)
-                            hit = both[spot] == f[pick]
-                            side = np.zeros((height, len(both)), dtype=np.float32)
-                            side[w[pick][hit] - base, spot[hit]] = 1
-                            sides.append(side)
-                        counts += sides[0] @ sides[1].T
-                    a, b = np.nonzero(counts)
-                    n = counts[a, b].astype(np.int64)
-                    a, b = members_of_long[a + i], members_of_long[b + j]
-                    ok = (a < b) & differ(a, b)
-                    done.append((a[ok] * c + b[ok], n[ok]))
-                    merge()
-        keys, counts = _summed(np.concatenate([k for k, _ in done]), np.concatenate([n for _, n in done]))
-        return x.packed(keys, counts, percent, parts)
+                        yield _summed(np.concatenate(held))
+                        held, waiting = [], 0
+        if waiting:
+            yield _summed(np.concatenate(held))
+
+    def tiles(x: _Lists, label: np.ndarray, number: int, slices: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c = len(x.c1)
+        at_long = np.flatnonzero(x.sizes[x.of] > LONG) if len(x.of) else np.zeros(0, dtype=np.int64)
+        if not len(at_long):
+            return
+        members = np.unique(x.owner[at_long])
+        members = members[np.argsort(label[members], kind="stable")]
+        place = np.zeros(c, dtype=np.int64)
+        place[members] = np.arange(len(members))
+        who, of = place[x.owner[at_long]], np.unique(x.of[at_long], return_inverse=True)[1]
+        by_list = np.argsort(of, kind="stable")
+        who, of = who[by_list], of[by_list]
+        n_lists, m = int(of.max()) + 1, len(members)
+        turn = -1
+        for i in range(0, m, TILE):
+            for j in range(i, m, TILE):
+                turn += 1
+                if turn % slices != number or label[members[i]] == label[members[min(m, j + TILE) - 1]]:
+                    continue
+                counts = np.zeros((min(TILE, m - i), min(TILE, m - j)), dtype=np.float32)
+                for k in range(0, n_lists, DENSE):
+                    lo, hi = np.searchsorted(of, [k, k + DENSE])
+                    w, f = who[lo:hi], of[lo:hi] - k
+                    left, right = (w >= i) & (w < i + TILE), (w >= j) & (w < j + TILE)
+                    both = np.intersect1d(f[left], f[right])
+                    if not len(both):
+                        continue
+                    sides = []
+                    for pick, base, height in ((left, i, counts.shape[0]), (right, j, counts.shape[1])):
+                        spot = np.minimum(np.searchsorted(both, f[pick]), len(both) - 1)
+                        hit = both[spot] == f[pick]
+                        side = np.zeros((height, len(both)), dtype=np.float32)
+                        side[w[pick][hit] - base, spot[hit]] = 1
+                        sides.append(side)
+                    counts += sides[0] @ sides[1].T
+                a, b = np.nonzero(counts)
+                n = counts[a, b].astype(np.int64)
+                a, b = members[a + i], members[b + j]
+                ok = (place[a] < place[b]) & (label[a] != label[b]) & x.similar_sizes(a, b, percent)
+                if ok.any():
+                    yield np.minimum(a, b)[ok] * c + np.maximum(a, b)[ok], n[ok]
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                x, label = _Lists(row), np.frombuffer(row["label"], dtype=np.int64)
+                for keys, counts in short(x, label) if row["slice"] == 0 else ():
+                    yield from x.packed(keys, counts, percent, parts).to_batches()
+                for keys, counts in tiles(x, label, row["slice"], row["slices"]):
+                    yield from x.packed(keys, counts, percent, parts).to_batches()
 
     return cross
 
@@ -439,13 +476,60 @@ def _sets_of(docs: DataFrame, marks, bits: int, words: int) -> DataFrame:
                     continue
                 keys = [_class_of(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["c1", "c2", "n", "shingles"]
+                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([len(s) for s in sets], pa.int64()), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], ["c1", "c2", "n", "shingles"]
                 )
 
     one, two = _places("doc_id", bits)
     return docs.withColumn("one", one).withColumn("two", two).mapInArrow(read, "c1 long, c2 long, n long, shingles array<long>")
 
 
+def _orient(pairs: DataFrame) -> DataFrame:
+    """The pairs with a class that very many of them share as b.
+
+    Such classes stand in more than one of 500 pairs, so there are at most 1000, whatever the pairs.
+    """
+    total = pairs.count()
+    seen = pairs.select(F.explode(F.array("a", "b")).alias("hot")).groupBy("hot").count()
+    hot = F.broadcast(seen.filter(F.col("count") > total / 500).select("hot"))
+    out = pairs.join(hot, F.col("a") == F.col("hot"), "left")
+    return out.select(F.when(F.col("hot").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("hot").isNull(), F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def _binned(pairs: DataFrame, info: DataFrame, bins: int) -> DataFrame:
+    """(bin, a, b): pairs of one family together; a family with more than BIN shingles is cut into tiles of pairs.
+
+    So a set goes to one bin, or, in a large family, to as many as the family has times BIN shingles.
+    """
+    cuts = info.groupBy("family").agg(F.sum("n").alias("held")).filter(F.col("held") > BIN).select("family", F.ceil(F.col("held") / BIN).alias("cuts"))
+    located = pairs.join(info.select(F.col("c1").alias("a"), "family").distinct(), "a").join(cuts, "family", "left")
+    at = [F.pmod(F.xxhash64(c), F.coalesce("cuts", F.lit(1))) for c in ("a", "b")]
+    return located.select(F.pmod(F.xxhash64("family", F.least(*at), F.greatest(*at)), F.lit(bins)).alias("bin"), "a", "b")
+
+
+def _verify(percent: int):
+    """(node, node) of a bin's pairs whose sets are similar enough, by their whole intersections."""
+
+    def verify(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        column = sets.column("shingles").combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.flatten().to_numpy()
+        found: dict[int, dict[int, np.ndarray]] = {}
+        for i, (c1, node) in enumerate(zip(sets.column("c1").to_pylist(), sets.column("node").to_pylist(), strict=True)):
+            found.setdefault(c1, {})[node] = flat[ends[i] - ends[0] : ends[i + 1] - ends[0]]
+        us, vs = [], []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            for u, x in found.get(a, {}).items():
+                for v, y in found.get(b, {}).items():
+                    few, many = (x, y) if len(x) < len(y) else (y, x)
+                    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                    common = int((many[at] == few).sum())
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        us.append(u)
+                        vs.append(v)
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return verify
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -473,39 +557,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     n_buckets = max(1, int(total // 4_000_000))
     lists = durable(_post(rows, words, percent, frequency, n_buckets).groupBy("bucket").applyInArrow(_gather, LISTS))
 
-    parts = n_buckets
-
     def enough(counted: DataFrame) -> DataFrame:
         return durable(counted.groupBy("part").applyInArrow(_enough, PAIRS))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(node, node) of the pairs that are similar enough. Sets are read again, for these classes only."""
-        members = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
-        reps = durable(members.join(classes, "c1").select("rep"))
-        bits = min(MOST_MARKS, max(1 << 16, 64 * reps.count()))
-        marks = context.broadcast(_marks(reps, "rep", bits))
-        sets = _sets_of(rows, marks, bits, words)
-        left, right = (sets.select(F.col("c1").alias(s), F.col("c2").alias(f"c2_{s}"), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab")
-        met = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        good = met.filter(F.lit(100) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
-        good = durable(good.select("a", "c2_a", "n_a", "b", "c2_b", "n_b").distinct())
-        for side, node in (("a", "u"), ("b", "v")):
-            of = classes.select(F.col("c1").alias(side), F.col("c2").alias(f"c2_{side}"), F.col("n").alias(f"n_{side}"), F.coalesce("rep", "c1").alias(node))
-            good = good.join(of, [side, f"c2_{side}", f"n_{side}"])
-        return good.select("u", "v")
-
-    first = durable(verified(enough(lists.mapInArrow(_star_pairs(percent, parts), COUNTED))))
+        family = connected_components(pairs)
+        info = durable(classes.join(family.select(F.col("node").alias("c1"), F.col("component").alias("family")), "c1").select("c1", "c2", "n", F.coalesce("rep", "c1").alias("node"), "rep", "family"))
+        number, held = info.agg(F.count(F.lit(1)), F.sum("n")).first()
+        bins = max(1, -(-int(held or 0) // BIN))
+        located = durable(_binned(_orient(pairs), info, bins))
+        places = located.select(F.explode(F.array("a", "b")).alias("c1"), "bin").groupBy("c1").agg(F.collect_set("bin").alias("bins"))
+        bits = min(MOST_MARKS, max(1 << 16, 64 * number))
+        marks = context.broadcast(_marks(info, "rep", bits))
+        sets = _sets_of(rows, marks, bits, words).join(info.join(places, "c1").select("c1", "c2", "n", "node", "bins"), ["c1", "c2", "n"])
+        sets = sets.select(F.explode("bins").alias("bin"), "c1", "node", "shingles")
+        return durable(located.groupBy("bin").cogroup(sets.groupBy("bin")).applyInArrow(_verify(percent), "u long, v long").distinct())
+
+    first = verified(enough(lists.mapInArrow(_star_pairs(percent, n_buckets), COUNTED)))
     merged = connected_components(first)
     # A class hash that two classes share stands for neither.
     single = classes.groupBy("c1").agg(F.count(F.lit(1)).alias("k"), F.first(F.coalesce("rep", "c1")).alias("node")).filter("k = 1")
-    labels = single.join(merged, "node").select(F.pmod("c1", F.lit(parts)).cast("int").alias("of_part"), "c1", F.col("component").alias("label"))
-    split = lists.select("bucket", "c1").mapInArrow(_split_classes(parts), "part int, bucket int, c1 binary")
+    labels = single.join(merged, "node").select(F.pmod("c1", F.lit(n_buckets)).cast("int").alias("of_part"), "c1", F.col("component").alias("label"))
+    split = lists.select("bucket", "c1").mapInArrow(_split_classes(n_buckets), "part int, bucket int, c1 binary")
     labelled = split.groupBy("part").cogroup(labels.groupBy("of_part")).applyInArrow(_label, "bucket int, c1 binary, label binary")
-    rest = enough(lists.groupBy("bucket").cogroup(labelled.groupBy("bucket")).applyInArrow(_cross_pairs(percent, parts), COUNTED))
-    if rest.limit(1).count():
-        more = durable(verified(rest))
-        if more.limit(1).count():
-            merged = connected_components(first.union(more))
+    left = durable(lists.groupBy("bucket").cogroup(labelled.groupBy("bucket")).applyInArrow(_prepare, PREPARED))
+    to_count = left.agg(F.sum("pairs")).first()[0] or 0
+    if to_count:
+        sliced = left.filter("pairs > 0").withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).repartition("bucket", "slice")
+        rest = enough(sliced.mapInArrow(_cross_pairs(percent, max(n_buckets, to_count // PART)), COUNTED))
+        if rest.limit(1).count():
+            more = verified(rest)
+            if more.limit(1).count():
+                merged = connected_components(first.union(more))
 
     reps = classes.select(F.coalesce("rep", "c1").alias("node"), "rep")
     named = merged.join(reps, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
