@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder (spark.checkpoint.dir), which all executors share.
 
-    One is set only where the session has none, as in tests on one machine.
+    One is set only where a session on one machine has none, as in tests; on a
+    cluster a folder of the driver's would be no shared one, so that is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -47,8 +51,8 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     longer text makes a longer block. Equal rows share a block. Null texts count
     as empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     size, count = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     size = int(size or 0)
     n = max(1, math.ceil(size / block_bytes), math.ceil(count / 50_000))

@@ -214,10 +214,15 @@ def test_exact_duplicates(docs, rows, nothing):
 
 
 def test_exact_dedup_lets_single_rows_pass(spark):
-    table = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 20, F.lit("same")).otherwise(F.col("id").cast("string"))).alias("text"))
-    out = exact_dedup.annotate_duplicates(table)
-    assert out.filter("doc_id < 20 and not maybe_twice").count() == 0
-    assert out.filter("doc_id >= 20 and maybe_twice").count() < 100
+    number = F.when(F.col("id") < 600, F.lit("same")).when(F.col("id") < 4000, (F.col("id") % 1700).cast("string")).otherwise(F.col("id").cast("string"))
+    table = spark.range(20_000).select(F.col("id").alias("doc.id"), F.concat(F.lit("text "), number).alias("text"), F.lit(1).alias("h"))
+    out = exact_dedup.annotate_duplicates(table, "doc.id").cache()
+    assert out.count() == 20_000
+    repeated = out.filter("group_size > 1")
+    assert repeated.filter("not maybe_twice").count() == 0
+    assert repeated.count() == 4000 and out.filter("maybe_twice").count() <= 1.2 * repeated.count()
+    assert out.filter("group_size = 600").select("keep_id").distinct().collect() == [(0,)]
+    assert exact_dedup.drop_duplicates(table, "doc.id").count() == out.filter("kept").count()
 
 
 def test_mixture_comes_near_its_targets(spark, docs, rows, nothing):

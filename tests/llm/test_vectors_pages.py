@@ -13,12 +13,14 @@ def brute(rows, k, every):
     usable = {}
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            usable.setdefault(i, []).append([math.floor(1024 * x) for x in v])
+            usable.setdefault(i, []).append(v)
+    usable = {i: [[math.floor(1024 * x) for x in v] for v in sorted(vs)] for i, vs in usable.items()}
+    near = lambda a, b: max(-(2**63 - 1), min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
     out = set()
     for q in usable:
         if q % every == 0:
             own = usable[q][0]
-            scored = sorted(((-sum(a * b for a, b in zip(own, v)), i) for i, vs in usable.items() if i != q for v in vs if len(v) == len(own)))[:k]
+            scored = sorted(((-near(own, v), i) for i, vs in usable.items() if i != q for v in vs if len(v) == len(own)))[:k]
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
     return out
 
@@ -51,6 +53,38 @@ def test_refinement_goes_on_while_bins_are_full(spark):
     assert got == brute(rows, 10, 100)
 
 
+def test_huge_components_and_two_vectors_of_one_query(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [(100, [4e6, 1.0, 0.0, 0.0]), (101, [3e12, 3e12, 0.5, 0.0]), (110, [-3e12, 2e9, 0.0, 1.0]), (111, [1e300, 0.0, 0.0, 0.0]), (120, [-1e305, 1.0, 1.0, 1.0])]
+    rows += [(130, [2.0, 0.0, 0.0, 0.0]), (130, [-1.0, 5.0, 0.0, 0.0]), (131, [0.0] * 4), (131, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = topk.top_k(df, df.filter("vec_id % 10 = 0"), 10, block_rows=13).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == brute(rows, 10, 10)
+
+
+def test_queries_go_out_in_chunks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(400)]  # many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, df.filter("vec_id % 5 = 0"), 10, block_rows=50, query_rows=7, chunk_queries=20, enough=0).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == brute(rows, 10, 5) and len(found) == 800
+
+
+@pytest.mark.parametrize("reach", [700, 65_000])
+def test_bins_do_not_count_twice(reach):
+    rng = np.random.default_rng(reach)
+    scores = rng.integers(-reach, reach + 1, 5000)
+    low, above, span = np.array([-reach]), np.array([0]), 2 * reach + 1
+    while span > 1:
+        width = -(-span // topk.BINS)
+        bins = topk.bins_of(scores, low, width, span)
+        from_top = np.cumsum(np.bincount(bins[bins >= 0], minlength=topk.BINS)[::-1])[::-1] + above
+        at = (from_top >= 10).sum() - 1
+        above, low, span = from_top[at] - (bins == at).sum(), low + at * width, width
+    assert low[0] == np.sort(scores)[-10]
+
+
 PAGES = {
     "plain": ("<html><body><nav><a href=x>Home</a></nav><article><h1>Title &amp; more</h1><p>First  text\n here.<p>Second <b>bold</b>ness.</article><footer>c</footer></body></html>", "Title & more First text here. Second boldness."),
     "short": ("<article><p>Ok.</p></article>", "Ok."),
