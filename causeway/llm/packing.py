@@ -1,14 +1,14 @@
-"""Best-fit packing of tokenised documents into sequences, planned on the driver.
-
-Lengths are whole numbers of at most `capacity`, so sorting documents and gaps
-by range means putting them into size classes and giving each a rank within its
-class, which Spark does for all pieces at once. The steps then run on the driver,
-over counts by length, from the longest class down: a sweep finds for each class the successor among the gaps
-(the smallest that holds it), ranks say which document meets which gap, so no
-two want the same one, and the gaps move on to their new classes. Gaps of a class
-are interchangeable, so a step handles whole rank intervals and the state is a
-few intervals a class, however many documents there are. One last pass over all
-pieces looks up each piece's interval by (length, rank).
+"""Bulk-synchronous best-fit packing of tokenised documents into sequences.
+
+As many sequences are opened as all tokens fill. Then, round after round, the pieces
+that have no place and the gaps that are left are range-sorted together by size, and a
+sweep from the largest size down gives each piece its successor among the gaps: the
+smallest one that holds it and that no larger piece has taken. Each range is swept by
+one task, which leaves over pieces that found no gap and gaps that no piece took; only
+their numbers go to the driver, which says what ranges of ranks meet across tasks, and
+the pieces and gaps of equal rank are joined. Gaps are updated, and the next round
+begins. A gap that several of the largest pieces left would fit into is as many slots.
+Where gaps hold no piece, or few are placed, sequences are opened for what is left.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .frames import chunks, durable
+from .frames import chunks, durable, partitions
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-RANK_ROWS = 1_000_000
+#: A piece (key) is placed in a slot of a sequence; null where there is none.
+MATCHED = "task int, key long, length long, sequence_id long, slot int, rank long"
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -94,72 +96,144 @@ def tokenised(docs: DataFrame, capacity: int, id_col: str, text_col: str, path:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(encode, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, items, items a sequence, first sequence, offset) that place all items.
+def sweep(events: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MATCHED rows of one task's slots and pieces, which come by size, the largest first, slots before pieces.
 
-    One step for each length, longest first: equal items fill the smallest gaps
-    that hold them, as many to a gap as fit, and open new sequences when none does.
+    Ranks number the pieces that find no slot, and the slots that no piece takes, in the order of the task.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    opened, plan = 0, []
-    for length in sorted(counts, reverse=True):
-        rank, left, gap = 0, counts[length], length
-        while left:
-            while gap <= capacity and not gaps[gap]:
-                gap += 1
-            if gap <= capacity:
-                first, n = gaps[gap].pop()
-                size = gap
+    kinds = {"task": pa.int32(), "key": pa.int64(), "length": pa.int64(), "sequence_id": pa.int64(), "slot": pa.int32(), "rank": pa.int64()}
+    task, free, over = None, [], 0
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    for batch in events:
+        found = []
+        for task, size, piece, key, slot in zip(*(batch.column(k).to_pylist() for k in ("task", "size", "piece", "key", "slot")), strict=True):  # noqa: B007
+            if not piece:
+                free.append((key, slot))
+            elif free:
+                found.append((task, key, size, *free.pop(), None))
             else:
-                size = capacity
-                first, n = opened, -(-left // (capacity // length))
-                opened += n
-            each = size // length
-            whole = min(n, left // each)
-            for sequences, items in ((whole, each), (1, left - whole * each if whole < n else 0)):
-                if sequences and items:
-                    plan.append((length, rank, sequences * items, items, first, capacity - size))
-                    rank, left = rank + sequences * items, left - sequences * items
-                    if size > items * length:
-                        gaps[size - items * length].append((first, sequences))
-                    first, n = first + sequences, n - sequences
-            if n:
-                gaps[size].append((first, n))
-    return np.array(plan, dtype=np.int64).reshape(-1, 6)
+                found.append((task, key, size, None, None, over))
+                over += 1
+        yield rows(found)
+    yield rows([(task, None, None, *x, k) for k, x in enumerate(free)])
+
+
+def meetings(counts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Rows (task of pieces, first rank, task of slots, last rank, number, first pair): ranks of pieces up meet ranks of slots down.
+
+    counts: (task, pieces left over, slots left over), by task, the largest sizes first.
+    """
+    out, stack, pairs = [], [], 0
+    for task, pieces, slots in counts:
+        rank = 0
+        while pieces and stack:
+            other, left = stack.pop()
+            n = min(pieces, left)
+            out.append((task, rank, other, left - 1, n, pairs))
+            rank, pieces, pairs = rank + n, pieces - n, pairs + n
+            if left > n:
+                stack.append((other, left - n))
+        if slots:
+            stack.append((task, slots))
+    return np.array(out, dtype=np.int64).reshape(-1, 6)
+
+
+def _paired(table: np.ndarray, side: int):
+    """The number of the pair that a piece (side 0) or a slot (side 1) left over belongs to; null if to none."""
+    first = table[:, 1] if side == 0 else table[:, 3] - table[:, 4] + 1
+    order = np.lexsort((first, table[:, 2 * side]))
+    table, first = table[order], first[order]
+
+    def pair(task: pd.Series, rank: pd.Series) -> pd.Series:
+        if not len(table):
+            return pd.Series(np.full(len(task), np.nan)).astype("Int64")
+        t, r = task.to_numpy(), rank.to_numpy()
+        keys = (table[:, 2 * side] << 40) + first
+        at = np.searchsorted(keys, (t.astype(np.int64) << 40) + r, side="right") - 1
+        row = table[np.maximum(at, 0)]
+        beyond = r - first[np.maximum(at, 0)]
+        ok = (at >= 0) & (row[:, 2 * side] == t) & (beyond < row[:, 4])
+        number = row[:, 5] + (beyond if side == 0 else row[:, 4] - 1 - beyond)
+        return pd.Series(number).astype("Int64").where(pd.Series(ok))
+
+    return F.pandas_udf(pair, "long")("task", "rank")
+
+
+def _round(unplaced: DataFrame, gaps: DataFrame, largest: int, n_tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces placed (key, length, sequence_id, slot), pieces left and gaps left after one sweep.
+
+    largest: the longest piece that a gap holds.
+    """
+    slots = F.greatest(F.lit(1), F.floor(F.col("gap") / largest)).cast("int")
+    free = gaps.withColumn("slots", slots).select(F.floor(F.col("gap") / F.col("slots")).alias("size"), F.lit(False).alias("piece"), F.col("sequence_id").alias("key"), F.explode(F.expr("sequence(1, slots)")).alias("slot"))
+    events = free.union(unplaced.select("length", F.lit(True), "key", F.lit(0))).withColumn("mixed", F.xxhash64("key", "slot"))
+    order = [F.desc("size"), F.asc("piece"), F.asc("mixed"), F.asc("key"), F.asc("slot")]
+    ranged = events.repartitionByRange(n_tasks, *order).sortWithinPartitions(*order)
+    swept = durable(ranged.select(F.spark_partition_id().alias("task"), "size", "piece", "key", "slot").mapInArrow(sweep, MATCHED))
+    columns = ["key", "length", "sequence_id", "slot"]
+    placed = swept.filter("rank is null").select(*columns)
+    over = swept.filter("rank is not null")
+    counts = over.groupBy("task").agg(F.count("key").alias("pieces"), F.count("slot").alias("slots")).orderBy("task").collect()
+    table = meetings([tuple(r) for r in counts])
+    if len(table):
+        pieces = over.filter("key is not null").withColumn("pair", _paired(table, 0)).select("key", "length", "pair")
+        met = pieces.join(over.filter("key is null").withColumn("pair", _paired(table, 1)).filter("pair is not null").select("sequence_id", "slot", "pair"), "pair", "left")
+        met = durable(met.select(*columns))
+        placed = placed.union(met.filter("slot is not null"))
+        left = met.filter("slot is null").select("key", "length")
+    else:
+        left = over.filter("key is not null").select("key", "length")
+    used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    gaps = durable(gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).filter("gap > 0"))
+    return placed, left, gaps
+
+
+def best_fit(items: DataFrame, capacity: int, task_rows: int = 500_000) -> DataFrame:
+    """(key, sequence_id, offset) of all items (key long, length long), keys different and lengths up to capacity.
+
+    Bulk-synchronous rounds; the driver holds a few totals, and two numbers a task.
+    """
+    spark = items.sparkSession
+    unplaced, gaps = items, spark.createDataFrame([], "sequence_id long, gap long")
+    n, total, shortest, large = items.agg(F.count(F.lit(1)), F.sum("length"), F.min("length"), F.count_if(F.col("length") > capacity // 2)).first()
+    opened, widest, placed, few = 0, 0, [], False
+    while n:
+        if few or widest < shortest:
+            new = max(-(-total // capacity), large if not opened else 0)
+            gaps = gaps.union(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
+            opened, widest = opened + new, capacity
+        # Gaps that no piece left fits into are done with.
+        gaps = gaps.filter(F.col("gap") >= shortest)
+        largest, n_gaps = unplaced.filter(F.col("length") <= widest).agg(F.max("length")).first()[0], gaps.count()
+        n_tasks = max(1, min(partitions(spark), -(-(n + n_gaps) // 20_000)), (n + n_gaps) // task_rows)
+        found, unplaced, gaps = _round(unplaced, gaps, largest, n_tasks)
+        placed.append(found.withColumn("round", F.lit(len(placed))))
+        before = n
+        n, total, shortest = unplaced.agg(F.count(F.lit(1)), F.sum("length"), F.min("length")).first()
+        widest, few = gaps.agg(F.max("gap")).first()[0] or 0, 20 * (before - n) < before
+    if not placed:
+        return items.select("key", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    every = placed[0]
+    for found in placed[1:]:
+        every = every.union(found)
+    offset = F.sum("length").over(W.Window.partitionBy("sequence_id").orderBy("round", "slot")) - F.col("length")
+    return every.select("key", "sequence_id", offset.alias("offset"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Place every row's tokens in sequences of at most `capacity` tokens, as few as best fit finds.
 
     Returns one row per piece: doc_id, piece (from 0), start, length, ids_crc32
-    (of its little-endian unsigned 32-bit ids), sequence_id (from 0), offset. Only
-    rows of more than capacity tokens are cut. A null or empty text is one piece,
-    the end id alone. Rows given twice, and rows without an id, are each packed.
-    An empty table gives an empty one. Other columns are not read.
+    (of its little-endian unsigned 32-bit ids), sequence_id, offset. Only rows of
+    more than capacity tokens are cut, very long ones into many pieces. A null or
+    empty text is one piece, the end id alone. Rows given twice, and rows without an
+    id, are each packed. Which of equally long pieces goes where may differ between
+    runs. An empty table gives an empty one. Other columns are not read.
     """
-    pieces = durable(tokenised(docs, capacity, id_col, text_col, vocabulary(tokenizer)))
-    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salts = max(1, -(-sum(totals.values()) // RANK_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    local = F.row_number().over(W.Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    per_salt = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    ranked = salted.withColumn("local", local).join(per_salt.select("length", "salt", before.alias("before")), ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local") - 1).alias("rank"))
-
-    plan = best_fit(totals, capacity)
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    steps = docs.sparkSession.sparkContext.broadcast(plan)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, rank, _, each, first, offset = steps.value.T
-        keys = (length << 44) + rank
-        for batch in batches:
-            n, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            at = np.searchsorted(keys, (n << 44) + r, side="right") - 1
-            k = r - rank[at]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            columns = [batch.column(c) for c in names] + [pa.array(first[at] + k // each[at]), pa.array(offset[at] + k % each[at] * n)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    pieces = durable(tokenised(docs, capacity, id_col, text_col, vocabulary(tokenizer)).withColumn("key", F.monotonically_increasing_id()))
+    where = best_fit(pieces.select("key", "length"), capacity)
+    return pieces.join(where, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,13 +1,16 @@
 """The operators on texts, against brute force on small tables with every awkward case."""
 
+import bisect
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,7 +286,7 @@ def test_packing_is_exact(docs, rows, nothing):
             assert offset == at
             at += length
         assert at <= capacity
-    assert len(by) <= 1.05 * sum(r.length for r in out) / capacity + 1
+    assert len(by) <= 1.01 * plain_best_fit([r.length for r in out], capacity) + 1
     assert packing.pack(nothing).count() == 0
 
 
@@ -295,24 +298,70 @@ def test_both_encoders_agree():
         assert list(encoder(text)) == encoder.slow.encode(text, add_special_tokens=False).ids
 
 
-def test_best_fit_places_every_item():
+def test_both_encoders_agree_on_a_whole_table(spark):
+    folder = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no table of documents")
+    encoder = packing.Encoder(packing.vocabulary())
+    for r in spark.read.parquet(folder).select("text").collect():
+        assert list(encoder(r.text or "")) == encoder.slow.encode(r.text or "", add_special_tokens=False).ids
+
+
+def plain_best_fit(lengths, capacity):
+    """Sequences that best fit takes, the longest item first, each into the smallest gap that holds it."""
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        opened += gap == capacity
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return opened
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal", "tiny", "none fits beside", "one"])
+def test_best_fit_against_a_plain_one(spark, kind, monkeypatch):
     rng = np.random.default_rng(8)
-    lengths = np.concatenate([rng.integers(1, 101, 3000), np.full(500, 7), np.full(90, 100)])
-    counts = Counter(lengths.tolist())
-    plan = packing.best_fit(dict(counts), 100)
-    used, ranks = defaultdict(list), defaultdict(set)
-    for length, rank, items, each, first, offset in plan.tolist():
-        for k in range(items):
-            used[first + k // each].append((offset + k % each * length, length))
-            ranks[length].add(rank + k)
-    assert {n: len(r) for n, r in ranks.items()} == dict(counts)
+    lengths = {
+        "mixed": np.concatenate([rng.integers(1, 101, 3000), np.full(500, 7), np.full(90, 100)]),
+        "equal": np.full(700, 34),
+        "tiny": np.full(3000, 1),
+        "none fits beside": np.full(400, 51),
+        "one": np.array([100]),
+    }[kind]
+    items = spark.createDataFrame(list(enumerate(lengths.tolist())), "key long, length long").repartition(3)
+    out = packing.best_fit(items, 100, task_rows=300).collect()
+    assert sorted(r.key for r in out) == list(range(len(lengths)))
+    used = defaultdict(list)
+    for r in out:
+        used[r.sequence_id].append((r.offset, int(lengths[r.key])))
     for placed in used.values():
         ends = 0
         for offset, length in sorted(placed):
             assert offset == ends
             ends += length
         assert ends <= 100
-    assert sorted(used) == list(range(len(used))) and len(used) <= lengths.sum() / 100 * 1.02 + 1
+    assert len(used) <= 1.01 * plain_best_fit(lengths.tolist(), 100) + 1
+
+
+def test_sweeps_of_tasks_meet_like_one_sweep():
+    rng = np.random.default_rng(3)
+    sizes = sorted(((int(rng.integers(1, 30)), int(rng.integers(0, 2)), k) for k in range(400)), key=lambda e: (-e[0], e[1], e[2]))
+
+    def swept(task, events):
+        batch = pa.RecordBatch.from_pylist([{"task": task, "size": s, "piece": bool(p), "key": k, "slot": 1} for s, p, k in events])
+        return [r for b in packing.sweep(iter([batch])) for r in b.to_pylist()]
+
+    want = {(r["key"], r["sequence_id"]) for r in swept(0, sizes) if r["key"] is not None}
+    cuts = [0, 90, 91, 200, 330, 400]
+    rows = [r for t, (a, b) in enumerate(zip(cuts, cuts[1:])) for r in swept(t, sizes[a:b])]
+    got = {(r["key"], r["sequence_id"]) for r in rows if r["rank"] is None}
+    pieces = {(r["task"], r["rank"]): r["key"] for r in rows if r["rank"] is not None and r["key"] is not None}
+    slots = {(r["task"], r["rank"]): r["sequence_id"] for r in rows if r["rank"] is not None and r["key"] is None}
+    counts = [(t, sum(k[0] == t for k in pieces), sum(k[0] == t for k in slots)) for t in range(5)]
+    for task, first, other, last, n, _ in packing.meetings(counts).tolist():
+        got |= {(pieces.pop((task, first + i)), slots[other, last - i]) for i in range(n)}
+    assert got | {(k, None) for k in pieces.values()} == want
 
 
 def test_language_of_many_copies_is_trained_on(spark, monkeypatch):
