@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one for each block element. Lines of page furniture
 (menus, headers, footers, forms, adverts and the like, told by element, role or
-class) count as empty, and so do lines made of links. Text lengths are summed
+class) count as empty, and so do lines made of links. Inside an article paragraphs,
+headings and list items are told by element and role alone. Text lengths are summed
 over sliding windows of lines; where the sums surge from nothing a region begins,
 where they dive to nothing it ends. The text from the first region that reaches
 a fixed height to the last one is kept.
@@ -22,22 +23,29 @@ from pyspark.sql import functions as F
 from .frames import chunks
 
 #: HTML element and class names.
-UNSEEN = "script style noscript template svg math iframe object canvas audio video select textarea datalist"
-FURNITURE = "nav footer aside form menu dialog button fieldset input"
+RAW = "script style textarea"
+UNSEEN = "noscript template svg math iframe object canvas audio video select datalist"
+CHOICES = "select datalist optgroup option"
+FURNITURE = f"nav footer aside form menu dialog button fieldset input {CHOICES}"
+PROSE = "p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption"
 BLOCKS = "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 CLOSED_BY_NEXT = "p li dt dd td th tr option"
+#: Inside an article these are the article's own, whatever they are named.
+NAMED_FREELY = f"{PROSE} figure li dt td th"
+HEADING_NAMES = "head header masthead"
 FURNITURE_ROLES = "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar"
 FURNITURE_NAMES = (
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promotions nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail widget "
     "footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search searchbox form comment comments "
     "commentlist respond reply replies disqus share sharing social follow related recommended recommendations trending popular pager pagination skip toolbar copyright legal disclaimer"
 )
-_SETS = {k: frozenset(v.split()) for k, v in {"unseen": UNSEEN, "furniture": FURNITURE, "blocks": BLOCKS, "void": VOID, "next": CLOSED_BY_NEXT, "roles": FURNITURE_ROLES, "names": FURNITURE_NAMES}.items()}
+_SETS = {k: frozenset(v.split()) for k, v in {"raw": RAW, "unseen": UNSEEN, "choices": CHOICES, "prose": PROSE, "freely": NAMED_FREELY, "headings": HEADING_NAMES, "furniture": FURNITURE, "blocks": BLOCKS, "void": VOID, "next": CLOSED_BY_NEXT, "roles": FURNITURE_ROLES, "names": FURNITURE_NAMES}.items()}
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_UNSEEN = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(sorted(_SETS["unseen"])), re.S | re.I)
+_RAW = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(sorted(_SETS["raw"])), re.S | re.I)
+_UNSEEN = re.compile(r"<(%s)\b[^>]*(?<!/)>(?:(?!<\1\b).)*?</\1\s*>" % "|".join(sorted(_SETS["unseen"])), re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -53,21 +61,24 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
         value = "".join(value)
         if key.lower() == "role" and value.strip().lower() in _SETS["roles"]:
             return True
-        if key.lower() in ("class", "id") and any(x.lower() in _SETS["names"] for x in _WORD.findall(value)):
-            return True
+        if key.lower() in ("class", "id") and not (in_article and name in _SETS["freely"]):
+            words = {x.lower() for x in _WORD.findall(value)} & _SETS["names"]
+            if words - (_SETS["headings"] if in_article else frozenset()):
+                return True
     return False
 
 
 class Lines:
-    """Lines of a page: text, furniture or not, part of links, within article or main or not."""
+    """Lines of a page: text, weight (0 for furniture and lines of links), in article or main or not, a paragraph of links or not."""
 
     def __init__(self, page: str):
-        page = _UNSEEN.sub(" ", _COMMENT.sub("", page))
+        page = _UNSEEN.sub(" ", _RAW.sub(" ", _COMMENT.sub("", page)))
         self.text: list[str] = []
         self.weight: list[int] = []
         self.core: list[bool] = []
+        self.linked: list[bool] = []
         self._buffer: list[str] = []
-        self._linked = 0
+        self._linked: list[str] = []
         stack: list[tuple[str, bool]] = []
         furniture = core = links = head = 0
         at = 0
@@ -75,16 +86,19 @@ class Lines:
         def push(text: str) -> None:
             self._buffer.append(text)
             if links:
-                self._linked += len(text)
+                self._linked.append(text)
 
         def flush() -> None:
             if self._buffer:
-                text = " ".join(html.unescape("".join(self._buffer)).split())
+                text, linked = (" ".join(html.unescape("".join(x)).split()) for x in (self._buffer, self._linked))
                 if text:
+                    unseen, mostly = furniture or head, 2 * len(linked) > len(text)
+                    block = next((x for x, _ in reversed(stack) if x in _SETS["blocks"]), "")
                     self.text.append(text)
-                    self.weight.append(0 if furniture or head or 2 * self._linked > len(text) else len(text))
+                    self.weight.append(0 if unseen or mostly else len(text))
                     self.core.append(bool(core) and not furniture)
-            self._buffer, self._linked = [], 0
+                    self.linked.append(mostly and not unseen and block in _SETS["prose"])
+            self._buffer, self._linked = [], []
 
         def pop() -> None:
             nonlocal furniture, core
@@ -119,6 +133,9 @@ class Lines:
             if name in ("article", "main"):  # an open menu or header above it was left unclosed
                 while any(x in ("nav", "header", "aside", "menu", "form", "ul", "ol", "li") for x, _ in stack):
                     pop()
+            if name in _SETS["blocks"] and name not in _SETS["choices"]:
+                while stack and stack[-1][0] in _SETS["choices"]:
+                    pop()
             if name in _SETS["next"] and stack and stack[-1][0] == name:
                 pop()
             if name in _SETS["blocks"] or name in _SETS["furniture"] or attributes:
@@ -137,19 +154,21 @@ def main_text(page: str | None, span: int = 3, surge: int = 60) -> str:
     span: lines a window; surge: the characters a window must reach for a region to
     surge, whatever the others hold. Lines of article and main count as surging and
     are judged in one distribution with all others. Between the first region that
-    surges and the last one all lines with weight are kept; on a page where nothing
-    surges there is nothing to compare, and all are kept.
+    surges and the last one all lines with weight are kept, and paragraphs that are
+    links for the most part; on a page where nothing surges there is nothing to
+    compare, and all are kept.
     """
     lines = Lines(page or "")
     weight = np.array(lines.weight, dtype=np.int64)
     core = np.array(lines.core, dtype=bool)
     if not weight[core].any():  # links alone are no article
         core[:] = False
-    return " ".join(t for t, k in zip(lines.text, _between(weight, core, span, surge), strict=True) if k)
+    keep = between(weight, core, np.array(lines.linked, dtype=bool), span, surge)
+    return " ".join(t for t, k in zip(lines.text, keep, strict=True) if k)
 
 
-def _between(weight: np.ndarray, core: np.ndarray, span: int, surge: int) -> np.ndarray:
-    """Lines with weight from the first to the last region that surges; core lines weigh one at least."""
+def between(weight: np.ndarray, core: np.ndarray, linked: np.ndarray, span: int, surge: int) -> np.ndarray:
+    """Lines with weight, or linked, from the first to the last region that surges; core lines weigh one at least."""
     n = len(weight)
     keep = np.zeros(n, dtype=bool)
     if not weight.any():
@@ -162,15 +181,18 @@ def _between(weight: np.ndarray, core: np.ndarray, span: int, surge: int) -> np.
     surging = [(a, b) for a, b, high in regions if high >= surge or core[a:b].any()]
     first, last = (surging[0][0], surging[-1][1]) if surging else (0, n)
     keep[first:last] = True
-    return keep & (weight > 0)
+    return keep & ((weight > 0) | linked)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with a column text_col, the main text of its html, in place of html_col.
 
     All other columns pass through (one named text_col is replaced). A null or
-    empty page, and a page of furniture alone, has an empty text. Very long pages
-    are read whole; rows given twice are given back twice.
+    empty page, and a page of furniture alone, has an empty text. Elements that hold
+    no text of the page (svg, select, object and the like) are left out with what they
+    hold; one that is never closed, or closes itself, hides nothing. Very long pages
+    are read whole; rows given twice are given back twice, and an empty table gives
+    an empty one.
     """
     others = [c for c in pages.columns if c not in (html_col, text_col)]
     rows = pages.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias(text_col))

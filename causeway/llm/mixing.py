@@ -1,16 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is dealt into hash blocks. A source's target becomes a number of
-block draws: whole passes over all of its blocks, then blocks in random order up
-to the rest, the last of them in part. A binary tree splits the vector of draws
-of all sources among the output shards, each node by one multivariate
-hypergeometric draw, so quotas stay exact; a leaf takes the next blocks of each
-source's random order, and its rows are shuffled within the shard.
+Every source is dealt into hash blocks. A source's target becomes a quota of block
+draws: whole passes over all of its blocks, and a rest. A binary tree splits the
+quotas of all sources among the output shards, each node by one multivariate
+hypergeometric draw, so they stay exact; a leaf draws as many blocks of each source
+as it was dealt, in an order of its own and none that another leaf has drawn in the
+same pass. A source's last leaf settles what the blocks differ from the target in
+words. A leaf's rows are shuffled within the shard.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,8 @@ from .frames import durable
 
 #: At most so many blocks in all (besides one a source), and so many sources: what the driver plans with.
 MOST_BLOCKS = 1 << 15
-MOST_SOURCES = 1 << 16
+MOST_SOURCES = 1 << 20
+ADDED = ("mix_shard", "mix_copy")
 
 
 def word_count(text: Column) -> Column:
@@ -53,14 +56,56 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
     return out
 
 
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Draws of each source for each shard (shards x sources); columns add up to quotas."""
+def split_quotas(sources: np.ndarray, quotas: np.ndarray, shards: int, rng: np.random.Generator, first: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sources, draws of each) of every leaf; a source's draws add up to its quota. Nodes hold the sources that have draws left."""
+    some = quotas > 0
+    sources, quotas = sources[some], quotas[some]
     if shards == 1:
-        return quotas[None, :]
-    half = shards // 2
-    total = int(quotas.sum())
-    left = rng.multivariate_hypergeometric(quotas, round(total * half / shards), method="marginals")
-    return np.vstack([split_quotas(left, half, rng), split_quotas(quotas - left, shards - half, rng)])
+        yield first, sources, quotas
+    elif len(sources):
+        half = shards // 2
+        left = rng.multivariate_hypergeometric(quotas, round(int(quotas.sum()) * half / shards), method="marginals")
+        yield from split_quotas(sources, left, half, rng, first)
+        yield from split_quotas(sources, quotas - left, shards - half, rng, first + half)
+
+
+class _Draws:
+    """One source's draws, leaf by leaf: (block, copy, shard), where copy numbers the passes over the blocks."""
+
+    def __init__(self, words: np.ndarray, wanted: float):
+        self.words = words
+        total = int(words.sum())
+        self.passes, self.rest = int(wanted // total), float(wanted - wanted // total * total)
+        #: Blocks of the rest that leaves draw; the last of them settles the difference.
+        self.quota = self.passes * len(words) + int(self.rest / total * len(words))
+        self.left = np.zeros(0, dtype=np.int64)
+        self.copy, self.shard, self.draws = -1, 0, []
+
+    def take(self, n: int, shard: int, seed: int, number: int) -> None:
+        rng = np.random.default_rng((seed, number, shard))
+        self.shard = shard
+        while n:
+            if not len(self.left):
+                self.left, self.copy = np.arange(len(self.words)), self.copy + 1
+            self.left = rng.permutation(self.left)
+            now, self.left = self.left[:n], self.left[n:]
+            self.draws += [(int(b), self.copy, shard) for b in now]
+            n -= len(now)
+
+    def settle(self, seed: int, number: int) -> tuple[int, float] | None:
+        """Whole blocks of the rest up to its words, and the block that is cut and what it gives."""
+        rest = [d for d in self.draws if d[1] == self.passes]
+        self.draws = self.draws[: len(self.draws) - len(rest)]
+        left = np.setdiff1d(np.arange(len(self.words)), [b for b, *_ in rest])
+        rest += [(int(b), self.passes, self.shard) for b in np.random.default_rng((seed, number)).permutation(left)]
+        sums = np.cumsum(self.words[[b for b, *_ in rest]])
+        whole = int(np.searchsorted(sums, self.rest, side="right"))
+        self.draws += rest[:whole]
+        over = self.rest - (sums[whole - 1] if whole else 0)
+        if whole == len(rest) or over <= 0:
+            return None
+        self.draws.append(rest[whole])
+        return rest[whole][0], float(over)
 
 
 @dataclass
@@ -76,23 +121,26 @@ class Mix:
     shards: int
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, copies, taken of every row of docs."""
-        per_block = self.draws.groupBy("source_no", "block").agg(F.sum(F.col("upto").isNull().cast("int")).alias("whole"), F.max("upto").alias("upto"))
+        """doc_id, source, size, source_size, target, copies, taken, shards (one for each copy) of every row of docs."""
+        per_block = self.draws.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "upto"))).alias("given"))
         rows = self.sized.join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("source_name")))
         rows = rows.withColumn("block", F.pmod("place", F.col("blocks")).cast("int")).join(F.broadcast(per_block), ["source_no", "block"], "left")
-        copies = F.coalesce("whole", F.lit(0)) + F.coalesce((F.col("inner") <= F.col("upto")).cast("int"), F.lit(0))
-        return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        given = F.filter(F.coalesce("given", F.array()), lambda d: d["upto"].isNull() | (F.col("inner") <= d["upto"]))
+        rows = rows.withColumn("shards", F.transform(given, lambda d: d["shard"])).withColumn("copies", F.size("shards"))
+        return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
     def rows(self, keep: bool = True) -> DataFrame:
         """The mixture: rows of docs with all their columns, a row for each draw, by shard and shuffled within it.
 
-        keep=False leaves out the added columns mix_shard and mix_copy.
+        keep=False leaves out the added columns mix_shard and mix_copy; with them,
+        columns of docs of those names are replaced.
         """
         whole = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("row"), F.col(f"`{self.source_col}`").cast("string").alias("source"), *self.keys)
         placed = whole.join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("source_name"))).withColumn("block", F.pmod("place", F.col("blocks")).cast("int"))
         drawn = placed.join(F.broadcast(self.draws), ["source_no", "block"]).filter(F.col("upto").isNull() | (F.col("inner") <= F.col("upto")))
         drawn = drawn.repartition(F.col("shard")).sortWithinPartitions("shard", F.xxhash64("inner", "copy"), "inner", "copy")
-        return drawn.select("row.*", *([F.col("shard").alias("mix_shard"), F.col("copy").alias("mix_copy")] if keep else []))
+        own = [F.col(f"row.`{c}`") for c in self.docs.columns if not keep or c not in ADDED]
+        return drawn.select(*own, *([F.col(x).alias(name) for x, name in zip(("shard", "copy"), ADDED, strict=True)] if keep else []))
 
 
 def plan_mix(
@@ -107,8 +155,9 @@ def plan_mix(
     null is a source of its own, the last. Rows given twice are drawn alike. An
     empty table, or one without words, gives an empty mixture.
 
-    The driver handles totals of at most MOST_BLOCKS blocks and one a source; over
-    MOST_SOURCES sources are refused.
+    Very long texts are counted whole. Other columns are not read. The driver handles
+    totals of at most MOST_BLOCKS blocks and one a source; over MOST_SOURCES sources
+    are refused.
     """
     place = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     keys = [place.alias("place"), F.xxhash64(place, F.lit(seed + 1)).alias("inner")]
@@ -131,33 +180,20 @@ def plan_mix(
     for no, block, n in held.itertuples(index=False):
         words[no][block] = n
 
-    rng = np.random.default_rng(seed)
-    lists, part = [], {}
-    for i, s in enumerate(names):
-        if not sizes[s]:
-            lists.append([])
-            continue
-        times = int(wanted[s] // sizes[s])
-        rest = wanted[s] - times * sizes[s]
-        order = rng.permutation(blocks[i])
-        sums = np.cumsum(words[i][order])
-        whole = int(np.searchsorted(sums, rest, side="right"))
-        draws = [(int(b), c, False) for c in range(times) for b in rng.permutation(blocks[i])]
-        draws += [(int(b), times, False) for b in order[:whole]]
-        if whole < len(order) and (over := rest - (sums[whole - 1] if whole else 0)) > 0:
-            part[i] = (int(order[whole]), float(over))
-            draws.append((int(order[whole]), times, True))
-        lists.append(draws)
+    plans = [_Draws(words[i], wanted[s]) if sizes[s] else None for i, s in enumerate(names)]
+    quotas = np.array([p.quota if p else 0 for p in plans], dtype=np.int64)
+    shards = max(1, min(int(quotas.sum()), math.ceil(share * total / shard_words)))
+    for shard, some, draws in split_quotas(np.arange(len(names)), quotas, shards, np.random.default_rng(seed)):
+        for i, n in zip(some.tolist(), draws.tolist(), strict=True):
+            plans[i].take(n, shard, seed, i)
+    part = {i: cut for i, p in enumerate(plans) if p and (cut := p.settle(seed, i))}
     upto = _cuts(placed, part)
-    drawn = np.array([len(x) for x in lists], dtype=np.int64)
-    shards = max(1, min(int(drawn.sum()), math.ceil(share * total / shard_words)))
-    out, taken = [], np.zeros(len(names), dtype=np.int64)
-    for shard, quota in enumerate(split_quotas(drawn, shards, rng) if len(names) else []):
-        for i, n in enumerate(quota):
-            for block, copy, cut in lists[i][taken[i] : taken[i] + n]:
-                if not cut or i in upto:
-                    out.append((i, block, copy, shard, upto[i] if cut else None))
-            taken[i] += n
+    out = []
+    for i, p in enumerate(plans):
+        for k, (block, copy, shard) in enumerate(p.draws if p else []):
+            is_cut = i in part and k == len(p.draws) - 1
+            if not is_cut or i in upto:
+                out.append((i, block, copy, shard, upto[i] if is_cut else None))
     fields = [("source_no", T.IntegerType()), ("block", T.IntegerType()), ("copy", T.IntegerType()), ("shard", T.IntegerType()), ("upto", T.LongType())]
     return Mix(docs, sized, sources, spark.createDataFrame(out, T.StructType([T.StructField(*f) for f in fields])), source_col, keys, shards)
 

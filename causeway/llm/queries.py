@@ -36,7 +36,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,11 +259,31 @@ def test_targets_share_the_excess():
 
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([70, 0, 5, 200])
-    leaves = mixing.split_quotas(quotas, 7, np.random.default_rng(1))
-    assert leaves.shape == (7, 4) and (leaves.sum(axis=0) == quotas).all() and (leaves >= 0).all()
+    leaves = np.zeros((7, 4), dtype=int)
+    for shard, sources, draws in mixing.split_quotas(np.arange(4), quotas, 7, np.random.default_rng(1)):
+        assert (draws > 0).all()
+        leaves[shard, sources] = draws
+    assert (leaves.sum(axis=0) == quotas).all()
     assert leaves.sum(axis=1).max() - leaves.sum(axis=1).min() <= 2
 
 
+def test_tree_decides_what_is_taken(spark):
+    table = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 37)), "ab"[i % 7 > 3]) for i in range(3000)], "doc_id long, text string, source string")
+    table = table.withColumn("mix_copy", F.lit("own"))
+    few, many = ({r.doc_id: r for r in mixing.plan_mix(table, shard_words=n).taken().collect()} for n in (10**9, 3000))
+    assert {s for r in few.values() for s in r.shards} == {0} and len({s for r in many.values() for s in r.shards}) > 10
+    assert all(len(r.shards) == r.copies for r in many.values())
+    assert sum(few[i].taken != many[i].taken for i in few) > 100
+    assert mixing.plan_mix(table).rows().columns == ["doc_id", "text", "source", "mix_shard", "mix_copy"]
+
+
+def test_many_sources(spark):
+    table = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), F.col("id") % 10_000).alias("source"))
+    taken = mixing.plan_mix(table, shard_words=3000).taken()
+    assert taken.count() == 30_000 and taken.filter("taken > 2 * size").count() == 0
+    assert taken.agg(F.sum("taken")).first()[0] == pytest.approx(1.5 * 90_000, rel=0.05)
+
+
 def test_packing_is_exact(docs, rows, nothing):
     from tokenizers import Tokenizer
 

@@ -97,6 +97,11 @@ PAGES = {
     "only furniture": ("<nav>a</nav><footer>b</footer>", ""),
     "no article": ("<body><div><a href=1>one</a></div><div><a href=2>two</a></div><div><p>" + "A long paragraph of text. " * 10 + "</p><p>" + "And a second one of it. " * 8 + "</p><p>End.</p></div><div><a href=3>three</a></div></body>", ("A long paragraph of text. " * 10 + "And a second one of it. " * 8 + "End.").strip()),
     "odd signs": ("<article><p>1 < 2 and 3 > 2</p><p title='a>b'>kept</p></article>", "1 < 2 and 3 > 2 kept"),
+    "closes itself": ('<article><p>First.</p><svg width="3"/><p>Second.</p><iframe/><p>Third.</p></article>', "First. Second. Third."),
+    "never closed": ("<article><p>First.</p><object data=x><p>Second.</p><select name=s><option>One<option>Two<p>Third.</p><canvas></article>", "First. Second. Third."),
+    "hidden elements": ("<article><p>First.</p><svg><text>no</text></svg><select><option>no</select><p>Second.</p></article>", "First. Second."),
+    "names of text": ('<article><div class="entry-header"><h1 class="header-title">T</h1></div><p class="notice-board">One.</p><div class="notice">no</div></article>', "T One."),
+    "link in a paragraph": ("<div><p>" + "Long text before it. " * 6 + '</p><p><a href="x">Read this one too</a> please</p><p>' + "Long text after it. " * 6 + "</p></div>", "Long text before it. " * 6 + "Read this one too please " + ("Long text after it. " * 6).strip()),
     "hidden": ("<article><p>seen</p><p hidden>not</p><div style='display: none'>not</div><p>too</p></article>", "seen too"),
 }
 
@@ -107,6 +112,47 @@ def test_main_text(name):
     assert html_text.main_text(page) == want
 
 
+def plain_between(weight, core, linked, span, surge):
+    weight = [max(w, 1) if c else w for w, c in zip(weight, core)]
+    n = len(weight)
+    heavy = [sum(weight[i : i + span]) for i in range(n)]
+    regions, i = [], 0
+    while i < n:
+        if not heavy[i]:
+            i += 1
+            continue
+        j = i
+        while j + 1 < n and heavy[j + 1]:
+            j += 1
+        end = min(n, j + span)
+        if max(heavy[i : j + 1]) >= surge or any(core[i:end]):
+            regions.append((i, end))
+        i = j + 1
+    first, last = (regions[0][0], regions[-1][1]) if regions else (0, n)
+    return [any(weight) and first <= i < last and (weight[i] > 0 or linked[i]) for i in range(n)]
+
+
+def test_surge_and_dive_points_against_plain_loops():
+    rng = np.random.default_rng(11)
+    changed = 0
+    for _ in range(400):
+        n = int(rng.integers(0, 40))
+        weight = np.where(rng.random(n) < 0.6, 0, rng.integers(1, 90, n))
+        core, linked = (rng.random(n) < 0.03) & (rng.random() < 0.5), (weight == 0) & (rng.random(n) < 0.2)
+        got = html_text.between(weight, core, linked, 3, 60)
+        assert got.tolist() == plain_between(weight.tolist(), core.tolist(), linked.tolist(), 3, 60)
+        changed += bool(((weight > 0) & ~got).any())
+    assert changed > 50
+
+
+def test_distribution_decides_where_nothing_is_named():
+    body = "A long paragraph of the body. " * 6
+    menu = "".join(f"<div><a href={i}>Entry {i}</a></div>" for i in range(4))
+    page = f"<body><div>Brand and claim</div>{menu}<div><p>{body}</p><p>Short end.</p></div>{menu}<div>Imprint</div></body>"
+    assert html_text.main_text(page) == f"{body}Short end."
+    assert html_text.main_text(page, surge=0) == f"Brand and claim {body}Short end. Imprint"
+
+
 def test_article_does_not_hide_the_rest_of_the_page():
     body = ["A long paragraph of the body. " * 10, "A second long paragraph of it. " * 12]
     page = "<body><nav><a href=1>one</a></nav>" + "".join(f"<div><p>{x}</p></div>" for x in body) + "<article><p>A teaser.</p></article><footer>c</footer></body>"
