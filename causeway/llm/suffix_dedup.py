@@ -15,8 +15,9 @@ occur twice go on, each one alone and by its own hash to a bucket; equal ones
 of a block go once. So no group grows with the contexts of one gram.
 
 Deep-shallow sorting: multikey quicksort, eight bytes a key character and all
-groups of a level at once, runs to a shallow depth; groups that are still
-together have long common prefixes and are ordered by blind tries.
+groups parted in three at once, runs to a shallow depth; groups that are still
+together have long common prefixes and are ordered by blind tries. The same sort
+finds the equal contexts of a block, of which only the first goes on.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _FOLD = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.int64).astype(
 # --- suffix sorting -----------------------------------------------------------
 
 
-def key_chars(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+def key_chars(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
     """The eight bytes at a depth of each suffix as one big-endian number, zero beyond its length."""
     at = starts + depth
     word = np.zeros(len(starts), dtype=U64)
@@ -53,6 +54,43 @@ def key_chars(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth
     return word
 
 
+def multikey_quicksort(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes' order by their first `shallow` bytes, and for each place the number of its group of equals.
+
+    Eight bytes are a character. Every step parts all groups at once in three about
+    their pivots, each the median of three characters: below and above it groups go
+    on at the same depth, and those equal to it one character deeper.
+    """
+    order, first_of_group = np.arange(len(starts)), np.zeros(len(starts), dtype=bool)
+    at, begin = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)  # places that are not done, where their group begins
+    depth, char = np.zeros(len(starts), dtype=np.int64), key_chars(padded, starts, lengths, 0)
+    first_of_group[:1] = True
+    while len(at):
+        head = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1]]))
+        size = np.diff(np.append(head, len(at)))
+        low, middle, high = char[head], char[head + size // 2], char[head + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high)), size)
+        place, shift = np.empty(len(at), dtype=np.int64), np.zeros(len(head), dtype=np.int64)
+        part_begin, part_size = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        for side in (char < pivot, char == pivot, char > pivot):
+            number = np.add.reduceat(side.astype(np.int64), head)
+            before = np.cumsum(side) - side
+            place[side] = (before - np.repeat(before[head], size) + np.repeat(head + shift, size))[side]
+            part_begin[side] = np.repeat(at[head] + shift, size)[side]
+            part_size[side] = np.repeat(number, size)[side]
+            shift += number
+        depth += 8 * (char == pivot)
+        deeper = (char == pivot) & (part_size > 1) & (depth < shallow)
+        char[deeper] = key_chars(padded, starts[order[at[deeper]]], lengths[order[at[deeper]]], depth[deeper])
+        first_of_group[part_begin] = True
+        by = np.empty(len(at), dtype=np.int64)
+        by[place] = np.arange(len(at))
+        order[at] = order[at[by]]
+        go_on = ((part_size > 1) & (depth < shallow))[by]
+        at, begin, depth, char = at[go_on], part_begin[by][go_on], depth[by][go_on], char[by][go_on]
+    return order, np.cumsum(first_of_group) - 1
+
+
 class BlindTrie:
     """Strings under the characters at which they branch; the characters between are not kept."""
 
@@ -99,19 +137,7 @@ class BlindTrie:
 def deep_shallow(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shallow: int = 16, deepest: int = 104) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of the suffixes padded[start:start+length], and what each shares with the one before it."""
     n = len(starts)
-    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
-    for depth in range(0, shallow, 8):
-        size = np.bincount(group, minlength=1)
-        active = np.flatnonzero(size[group] > 1)
-        if not len(active):
-            break
-        word = key_chars(padded, starts[order[active]], lengths[order[active]], depth)
-        by = np.lexsort((word, group[active]))
-        order[active], word = order[active][by], word[by]
-        split = np.zeros(n, dtype=bool)
-        split[active[1:]] = word[1:] != word[:-1]
-        split[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(split)
+    order, group = multikey_quicksort(padded, starts, lengths, shallow)
     words = [key_chars(padded, starts, lengths, d) for d in range(0, deepest, 8)]
     size = np.bincount(group, minlength=1)
     deep = np.flatnonzero(size[group] > 1)
@@ -248,6 +274,28 @@ def _occurs_earlier(hashes: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return again
 
 
+def _again(hashes: np.ndarray, spread: np.ndarray, left: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of a block's contexts, in corpus order, equal an earlier one? Those whose hash repeats are sorted."""
+    order = np.lexsort((spread, hashes))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (spread[order][1:] == spread[order][:-1])
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    at = np.flatnonzero(out)
+    if len(at):
+        out[:] = False
+        begins = (np.cumsum(size) - size)[at]
+        sizes, left = size[at], left[at]
+        by, common = deep_shallow(np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), begins, sizes, deepest=168)
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (common[1:] < sizes[by[1:]]) | (sizes[by[1:]] != sizes[by[:-1]])
+        string = np.empty(len(by), dtype=np.int64)
+        string[by] = np.cumsum(new)
+        _, first = np.unique(string * 256 + left, return_index=True)
+        out[at] = True
+        out[at[first]] = False
+    return out
+
+
 NULL_ID = -(2**63)
 _ARRAYS = {"doc": np.int32, "id": np.int64, "key": np.int64, "lo": np.int64, "left": np.uint8, "size": np.uint8}
 CONTEXTS = "bucket int, block int, " + ", ".join(f"{k} binary" for k in _ARRAYS) + ", bytes binary, gone binary"
@@ -366,7 +414,7 @@ def _contexts(docs: DataFrame, length: int, gram: int, id_col: str, text_col: st
                 cut.append(y)
             every = {k: np.concatenate([y[k] for y in cut]) for k in ("doc", "lo", "size", "left", "hash", "spread", "route", "bytes")}
             # Of equal contexts of the block the first one goes on, the others are surely gone.
-            again = _occurs_earlier(every["hash"], every["spread"])
+            again = _again(every["hash"], every["spread"], every["left"], every["bytes"], every["size"])
             gone = np.concatenate([*gone, _spans(every["doc"][again], every["lo"][again], every["lo"][again] + every["size"][again])])
             bucket = (every["route"] % U64(n_buckets)).astype(np.int64)
             ends = np.cumsum(every["size"])

@@ -138,6 +138,30 @@ def test_substrings_split_a_gram_with_many_contexts(spark):
     assert 4 * split < whole
 
 
+@pytest.mark.parametrize("alphabet", [2, 30])
+def test_multikey_quicksort_groups_by_the_shallow_bytes(alphabet):
+    rng = np.random.default_rng(alphabet)
+    raw = rng.integers(97, 97 + alphabet, 900).astype(np.uint8)
+    raw[300:500] = raw[500:700]
+    starts = rng.permutation(800)
+    lengths = rng.integers(1, 90, len(starts))
+    order, group = suffix_dedup.multikey_quicksort(np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), starts, lengths, 16)
+    heads = [raw[s : s + min(n, 16)].tobytes().ljust(16, b"\0") for s, n in zip(starts, lengths)]
+    ordered = [heads[i] for i in order]
+    assert ordered == sorted(heads) and sorted(order.tolist()) == list(range(len(starts)))
+    assert [a == b for a, b in zip(group, group[1:])] == [a == b for a, b in zip(ordered, ordered[1:])]
+    assert len(suffix_dedup.multikey_quicksort(raw, starts[:0], lengths[:0], 16)[0]) == 0
+
+
+def test_equal_contexts_are_told_by_their_bytes():
+    strings = [b"abcdefgh" * 14, b"x" * 120, b"abcdefgh" * 14, b"x" * 120, b"abcdefgh" * 14 + b"i", b"x" * 120]
+    left = np.array([9, 5, 9, 6, 9, 5])
+    size = np.array([len(x) for x in strings])
+    raw = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    alike = np.zeros(len(strings), dtype=np.uint64)  # hashes that do not tell them apart
+    assert suffix_dedup._again(alike, alike, left, raw, size).tolist() == [False, False, True, False, False, True]
+
+
 def test_deep_shallow_orders_suffixes():
     rng = np.random.default_rng(4)
     raw = np.frombuffer(b"".join([b"abab" * 30, bytes(rng.integers(97, 99, 400).astype(np.uint8)), b"x\0\0\0y" * 20]), dtype=np.uint8)
