@@ -116,6 +116,19 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 ramp = _ramp
 
 
+def gathered(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """raw[begin : begin + size] of all ranges, one after the other; indexes are made for about `most` bytes at a time."""
+    out = np.empty(int(sizes.sum()), dtype=raw.dtype)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    a = done = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
+        n = sizes[a:b].astype(np.int64)
+        out[done : int(ends[b - 1])] = raw[np.repeat(begins[a:b], n) + _ramp(n)]
+        a, done = b, int(ends[b - 1])
+    return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every width consecutive values, in two passes whatever the width."""
     n = len(values) - width + 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .exchange import COUNTED, SENT, Packed, bits_of, repeated, send
 from .frames import texts_of, with_blocks
-from .kernels import BYTE_CODES, covered, mix, powers, prefix_hash, ramp, runs, sliding_min
+from .kernels import BYTE_CODES, covered, gathered, mix, powers, prefix_hash, ramp, runs, sliding_min
 from .window_dedup import runs_by_doc
 
 U64 = np.uint64
@@ -138,22 +138,20 @@ def deep_shallow(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sh
     """Sorted order of the suffixes padded[start:start+length], and what each shares with the one before it."""
     n = len(starts)
     order, group = multikey_quicksort(padded, starts, lengths, shallow)
-    words = [key_chars(padded, starts, lengths, d) for d in range(0, deepest, 8)]
     size = np.bincount(group, minlength=1)
     deep = np.flatnonzero(size[group] > 1)
     if len(deep):
-        fold = lengths.astype(U64)
-        for w, f in zip(words, _FOLD, strict=False):
-            fold = mix(fold ^ (w * f))
-        rank = np.zeros(n, dtype=np.int64)
+        at = order[deep]
+        fold = lengths[at].astype(U64)
+        for d, f in zip(range(0, deepest, 8), _FOLD, strict=False):
+            fold = mix(fold ^ (key_chars(padded, starts[at], lengths[at], d) * f))
         # Equal suffixes of a group are one string of its trie.
-        of, what = group[deep], fold[order[deep]]
+        of, what = group[deep], fold
         by = np.lexsort((what, of))
         order[deep] = order[deep][by]
         of, what = of[by], what[by]
         new = np.concatenate([[True], (of[1:] != of[:-1]) | (what[1:] != what[:-1])])
         first, string = np.flatnonzero(new), np.cumsum(new) - 1
-        rank[first] = 0
         string_rank = np.zeros(len(first), dtype=np.int64)
         begins = np.flatnonzero(np.concatenate([[True], np.diff(of[first]) != 0]))
         ends = np.append(begins[1:], len(first))
@@ -166,15 +164,16 @@ def deep_shallow(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sh
         order[deep] = order[deep][by]
     common = np.zeros(n, dtype=np.int64)
     same = np.arange(1, n)
-    for d, w in enumerate(words):
+    for d in range(0, deepest, 8):
         if not len(same):
             break
-        differ = w[order[same]] ^ w[order[same - 1]]
+        here, before = order[same], order[same - 1]
+        differ = key_chars(padded, starts[here], lengths[here], d) ^ key_chars(padded, starts[before], lengths[before], d)
         out = differ != 0
         # Leading equal bytes of the first differing eight.
         bits = np.frexp((differ[out] >> U64(11)).astype(np.float64))[1] + 11
         bits = np.where(differ[out] >> U64(11) == 0, np.frexp((differ[out] & U64(0x7FF)).astype(np.float64))[1], bits)
-        common[same[out]] = 8 * d + (64 - bits) // 8
+        common[same[out]] = d + (64 - bits) // 8
         same = same[~out]
     common[same] = deepest
     if n > 1:
@@ -409,7 +408,7 @@ def _contexts(docs: DataFrame, length: int, gram: int, id_col: str, text_col: st
                 y = {k: np.concatenate([z[k], v[~again_y]]) for k, v in y.items()}
                 size = y["hi"] + length - y["lo"]
                 y["size"], y["left"] = size, y["anchor"] - y["lo"]
-                y["bytes"] = x["raw"][np.repeat(y["lo"], size) + ramp(size)]
+                y["bytes"] = gathered(x["raw"], y["lo"], size)
                 y["lo"] = y["lo"] + y["shift"]
                 cut.append(y)
             every = {k: np.concatenate([y[k] for y in cut]) for k in ("doc", "lo", "size", "left", "hash", "spread", "route", "bytes")}
@@ -427,7 +426,7 @@ def _contexts(docs: DataFrame, length: int, gram: int, id_col: str, text_col: st
                 out["bucket"].append(int(bucket[at[0]]))
                 for k, kind in _ARRAYS.items():
                     out[k].append(values[k][at].astype(kind).tobytes())
-                out["bytes"].append(every["bytes"][np.repeat(ends[at] - every["size"][at], every["size"][at]) + ramp(every["size"][at])].tobytes())
+                out["bytes"].append(gathered(every["bytes"], ends[at] - every["size"][at], every["size"][at]).tobytes())
                 out["gone"].append(gone.tobytes() if a == 0 else b"")
             out["block"] = [key[0].as_py()] * len(out["bucket"])
         return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
@@ -437,13 +436,14 @@ def _contexts(docs: DataFrame, length: int, gram: int, id_col: str, text_col: st
         parts = {k: [np.frombuffer(r[k], dtype=kind) for r in rows] for k, kind in _ARRAYS.items()}
         number = np.array([len(x) for x in parts["lo"]])
         every = {k: np.concatenate(v) for k, v in parts.items()}
-        raw = np.frombuffer(b"".join(r["bytes"] for r in rows), dtype=np.uint8)
+        raw = np.frombuffer(b"".join(r.pop("bytes") for r in rows), dtype=np.uint8)
         of = np.repeat(np.arange(len(rows)), number)
         order = np.lexsort((every["lo"], every["key"], every["id"]))
         size = every["size"].astype(np.int64)
         begins = np.cumsum(size) - size
         sorted_size = size[order]
-        bucket = {"left": every["left"][order], "size": every["size"][order], "bytes": raw[np.repeat(begins[order], sorted_size) + ramp(sorted_size)]}
+        bucket = {"left": every["left"][order], "size": every["size"][order], "bytes": gathered(raw, begins[order], sorted_size)}
+        del raw
         gone = _windows_gone(bucket, length)
         begin, end = runs(gone.ravel())
         width = gone.shape[1]
