@@ -142,8 +142,8 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     At most most_texts different texts a language (those with the least hash of
     the text) and most_windows windows of each, evenly spaced over the whole text,
-    are trained on; copies of a text count once, and rows without text or language
-    are left out. More than most_languages languages are refused.
+    are trained on, and windows of a language with few are repeated; copies of a text
+    count once, and rows without text or language are left out. More than most_languages languages are refused.
     """
     known = docs.filter(F.col(f"`{lang_col}`").isNotNull() & (F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) > 0)).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     texts = known.select("lang", F.xxhash64("text").alias("hash")).distinct()
@@ -173,14 +173,20 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     width = cut_windows([b""])[0].shape[1]
     parts = [np.frombuffer(r["windows"], dtype=np.uint8).reshape(-1, width) for r in rows]
     label = np.repeat([languages.index(r["lang"]) for r in rows], [len(x) for x in parts])
-    return train(np.concatenate(parts), label, languages)
+    # Windows of a language with few are repeated, so that each has a quarter of the most at least.
+    each = np.bincount(label, minlength=len(languages))
+    at = np.concatenate([np.resize(np.flatnonzero(label == k), max(n, -(-int(each.max()) // 4))) for k, n in enumerate(each)])
+    return train(np.concatenate(parts)[at], label[at], languages)
 
 
 def identify_language(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row; all windows of the whole text count.
 
     A null text, or one without a letter, is `und` with score 0, and so is all
-    text if the network knows no language. Rows given twice are given back twice.
+    text if the network knows no language. Of languages that are equally likely the
+    first by name is taken. Very long texts are read whole, in windows. Rows given
+    twice, and rows without an id, are each given back; an empty table gives an empty
+    one. Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 

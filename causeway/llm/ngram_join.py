@@ -602,7 +602,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, all columns, one document of each component: the one with the smallest id.
 
-    Rows without an id stay only where no row that they reach has one.
+    Rows without an id stay only where no row that they reach has one. Rows without
+    words, or without text, all stay; of rows with the id that stays, each one does.
+    Very long texts are whole, and an empty table gives an empty one.
     """
     kept = near_duplicates(docs, words, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -83,10 +83,13 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     change = np.flatnonzero(np.concatenate([[True], w.raw[1:] != w.raw[:-1]]))
     run_doc = np.searchsorted(w.doc_ends, change, side="right")
     np.maximum.at(run, run_doc, np.where(IS_SPACE[w.raw[change]], 0, np.diff(np.append(change, len(w.raw)))))
-    for i in range(n_docs):
-        counts = np.bincount(w.raw[w.doc_starts[i] : w.doc_ends[i] - 1], minlength=256)
-        p = counts[counts > 0] / some[i]
-        entropy[i] = -(p * np.log2(p)).sum()
+    for i in range(0, n_docs, 1024):  # a table of 256 counts for each of some documents at a time
+        last = min(n_docs, i + 1024)
+        of = np.repeat(np.arange(last - i), (w.doc_ends - w.doc_starts)[i:last]) * 256
+        counts = np.bincount(of + w.raw[w.doc_starts[i] : w.doc_ends[last - 1]], minlength=(last - i) * 256).reshape(-1, 256)
+        counts[:, 10] -= 1  # the break after each document
+        p = counts / some[i:last, None]
+        entropy[i:last] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
     columns = [
         np.log1p(size), np.log1p(n_words), per_word(length) / words, longest, share[0], share[1], share[2], share[3], share[4], share[5], share[6],
         bars, marks / words, np.bincount(d[at], minlength=n_docs) / words, top / words, per_word(again) / words, n_words / lines, distinct_lines, entropy, np.minimum(run, 255),
@@ -174,25 +177,40 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     At most most_labelled rows of labels are used, those with the least hash of
     their id, so the sample is the same at every run; both tables otherwise may
-    be of any size. Rows without id or label are left out.
+    be of any size. Rows without id or label are left out, labels given twice count
+    once, and so does a labelled id that docs have several times, with the text that
+    sorts first; so the driver gets most_labelled rows of statistics at most. Whole
+    texts are measured, null and empty ones as empty, very long ones too. Where no
+    label meets a row the trees give 0.5 to all, and where labels are all the same
+    they give its share. Other columns are not read.
     """
     few = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("labelled_id"), (F.col(f"`{label_col}`") >= 1).cast("int").alias("label"))
-    few = few.orderBy(F.xxhash64("labelled_id"), "labelled_id", "label").limit(most_labelled)
+    few = few.distinct().orderBy(F.xxhash64("labelled_id"), "labelled_id", "label").limit(most_labelled)
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = slim.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).select("label", "text")
+    rows = slim.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).groupBy("labelled_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     table = _map_statistics(rows, lambda x: [(n, x[:, j]) for j, n in enumerate(STATISTICS)], "label int, " + ", ".join(f"{n} double" for n in STATISTICS)).toPandas()
     table = table.sort_values([*STATISTICS, "label"])
     return boost(table[list(STATISTICS)].to_numpy(), table["label"].to_numpy(dtype=float))
 
 
 def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) of every row's whole text; null and empty texts are scored as empty ones."""
+    """doc_id, score (0 to 1) of every row's whole text, however long.
+
+    Null and empty texts are scored as empty ones. Rows given twice, and rows without
+    an id, are each given back; equal texts score alike. An empty table gives an empty
+    one. Other columns are not read.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return _map_statistics(rows, lambda x: [("score", model.score(x))], "doc_id long, score double")
 
 
 def filter_quality(docs: DataFrame, model: Trees, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of docs, all columns, whose text scores at least `least`."""
+    """Rows of docs, all columns, whose text scores at least `least`.
+
+    Null and empty texts are scored as empty ones, very long ones whole. Rows given
+    twice stay or go together, a score of just `least` stays, and an empty table gives
+    an empty one.
+    """
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
