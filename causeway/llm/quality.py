@@ -178,17 +178,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     At most most_labelled rows of labels are used, those with the least hash of
     their id, so the sample is the same at every run; both tables otherwise may
     be of any size. Rows without id or label are left out, labels given twice count
-    once, and so does a labelled id that docs have several times, with the text that
-    sorts first; so the driver gets most_labelled rows of statistics at most. Whole
+    once, and so does a labelled id that docs have several times, with the text of
+    the least hash; so the driver gets most_labelled rows of statistics at most. Whole
     texts are measured, null and empty ones as empty, very long ones too. Where no
     label meets a row the trees give 0.5 to all, and where labels are all the same
     they give its share. Other columns are not read.
     """
-    few = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("labelled_id"), (F.col(f"`{label_col}`") >= 1).cast("int").alias("label"))
+    few = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("labelled_id"), (F.col(f"`{label_col}`") >= 1).cast("int").alias("label"))
     few = few.distinct().orderBy(F.xxhash64("labelled_id"), "labelled_id", "label").limit(most_labelled)
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = slim.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).groupBy("labelled_id", "label").agg(F.min("text").alias("text")).select("label", "text")
-    table = _map_statistics(rows, lambda x: [(n, x[:, j]) for j, n in enumerate(STATISTICS)], "label int, " + ", ".join(f"{n} double" for n in STATISTICS)).toPandas()
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = slim.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "label", F.xxhash64("text").alias("hash"), "text")
+    measured = _map_statistics(rows, lambda x: [(n, x[:, j]) for j, n in enumerate(STATISTICS)], "labelled_id long, label int, hash long, " + ", ".join(f"{n} double" for n in STATISTICS))
+    one = measured.groupBy("labelled_id", "label").agg(F.min(F.struct("hash", *STATISTICS)).alias("least"))
+    table = one.select("label", *[F.col(f"least.{n}").alias(n) for n in STATISTICS]).toPandas()
     table = table.sort_values([*STATISTICS, "label"])
     return boost(table[list(STATISTICS)].to_numpy(), table["label"].to_numpy(dtype=float))
 
