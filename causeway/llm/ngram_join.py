@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import chunks, durable, texts_of
+from .frames import chunks, durable, release, releasing, texts_of
 from .kernels import Words, mix, prefix_hash, span_hash, window_starts
 
 U64 = np.uint64
@@ -108,7 +108,7 @@ def _digests(rows: DataFrame, words: int) -> DataFrame:
             nothing = [pa.nulls(pieces, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(pieces), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
-    return rows.mapInArrow(digest, "doc_id long, n long, c1 long, c2 long, piece int, counts binary")
+    return rows.mapInArrow(releasing(digest), "doc_id long, n long, c1 long, c2 long, piece int, counts binary")
 
 
 def _frequencies(digests: DataFrame) -> np.ndarray:
@@ -185,7 +185,7 @@ def _post(rows: DataFrame, words: int, percent: int, frequency, n_buckets: int)
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()], list(out))
 
-    return rows.mapInArrow(post, POSTED)
+    return rows.mapInArrow(releasing(post), POSTED)
 
 
 LISTS = "bucket int, lists binary, owner binary, c1 binary, n binary, need binary, posted binary, own binary"
@@ -193,6 +193,7 @@ LISTS = "bucket int, lists binary, owner binary, c1 binary, n binary, need binar
 
 def _gather(table: pa.Table) -> pa.Table:
     """The bucket's posting lists of two classes or more. own: the postings that a class has alone."""
+    release()
     parts = {k: table.column(k).to_pylist() for k in ("tokens", "owner", "c1", "n", "need", "posted")}
     c1s = [np.frombuffer(x, dtype=np.int64) for x in parts["c1"]]
     shift = np.cumsum([0, *map(len, c1s)])
@@ -333,6 +334,7 @@ def _prepare(key: tuple, lists: pa.Table, labels: pa.Table) -> pa.Table:
 
     pairs: what is left to count; slices: into how many tasks its matrix products go.
     """
+    release()
     row = lists.to_pylist()[0]
     x = _Lists(row)
     known = [np.frombuffer(c, dtype=np.int64) for c in labels.column("c1").to_pylist()]
@@ -480,7 +482,7 @@ def _sets_of(docs: DataFrame, marks, bits: int, words: int) -> DataFrame:
                 )
 
     one, two = _places("doc_id", bits)
-    return docs.withColumn("one", one).withColumn("two", two).mapInArrow(read, "c1 long, c2 long, n long, shingles array<long>")
+    return docs.withColumn("one", one).withColumn("two", two).mapInArrow(releasing(read), "c1 long, c2 long, n long, shingles array<long>")
 
 
 def _orient(pairs: DataFrame) -> DataFrame:
@@ -510,6 +512,7 @@ def _verify(percent: int):
     """(node, node) of a bin's pairs whose sets are similar enough, by their whole intersections."""
 
     def verify(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        release()
         column = sets.column("shingles").combine_chunks()
         ends, flat = column.offsets.to_numpy(), column.flatten().to_numpy()
         found: dict[int, dict[int, np.ndarray]] = {}
@@ -574,7 +577,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         sets = sets.select(F.explode("bins").alias("bin"), "c1", "node", "shingles")
         return durable(located.groupBy("bin").cogroup(sets.groupBy("bin")).applyInArrow(_verify(percent), "u long, v long").distinct())
 
-    first = verified(enough(lists.mapInArrow(_star_pairs(percent, n_buckets), COUNTED)))
+    first = verified(enough(lists.mapInArrow(releasing(_star_pairs(percent, n_buckets)), COUNTED)))
     merged = connected_components(first)
     # A class hash that two classes share stands for neither.
     single = classes.groupBy("c1").agg(F.count(F.lit(1)).alias("k"), F.first(F.coalesce("rep", "c1")).alias("node")).filter("k = 1")
@@ -585,7 +588,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     to_count = left.agg(F.sum("pairs")).first()[0] or 0
     if to_count:
         sliced = left.filter("pairs > 0").withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).repartition("bucket", "slice")
-        rest = enough(sliced.mapInArrow(_cross_pairs(percent, max(n_buckets, to_count // PART)), COUNTED))
+        rest = enough(sliced.mapInArrow(releasing(_cross_pairs(percent, max(n_buckets, to_count // PART))), COUNTED))
         if rest.limit(1).count():
             more = verified(rest)
             if more.limit(1).count():

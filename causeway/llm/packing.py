@@ -14,18 +14,18 @@ Where gaps hold no piece, or few are placed, sequences are opened for what is le
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .frames import chunks, durable, partitions
+from .frames import chunks, durable, partitions, releasing
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A piece (key) is placed in a slot of a sequence; null where there is none.
@@ -70,6 +70,12 @@ class Encoder:
         return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype="<u4") if text else np.zeros(0, dtype="<u4")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; where there are several, the first takes what is over."""
     if n <= capacity:
@@ -82,9 +88,8 @@ def tokenised(docs: DataFrame, capacity: int, id_col: str, text_col: str, path:
     """PIECES of every row: its ids, then the end id, cut to at most capacity."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for batch in chunks(batches, "text", 2 << 20):
-            encoder = encoder or Encoder(path)
+        encoder = encoder_of(path)
+        for batch in chunks(batches, "text"):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encoder(text), np.array([end], dtype="<u4"))
@@ -93,7 +98,7 @@ def tokenised(docs: DataFrame, capacity: int, id_col: str, text_col: str, path:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).mapInArrow(releasing(encode), PIECES)
 
 
 def sweep(events: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,25 +147,25 @@ def meetings(counts: list[tuple[int, int, int]]) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 6)
 
 
-def _paired(table: np.ndarray, side: int):
-    """The number of the pair that a piece (side 0) or a slot (side 1) left over belongs to; null if to none."""
+def _numbered(over: DataFrame, table: np.ndarray, side: int) -> DataFrame:
+    """Pieces (side 0) or slots (side 1) left over with the number of the pair that they belong to; null if to none."""
     first = table[:, 1] if side == 0 else table[:, 3] - table[:, 4] + 1
     order = np.lexsort((first, table[:, 2 * side]))
     table, first = table[order], first[order]
+    keys = (table[:, 2 * side] << 40) + first
 
-    def pair(task: pd.Series, rank: pd.Series) -> pd.Series:
-        if not len(table):
-            return pd.Series(np.full(len(task), np.nan)).astype("Int64")
-        t, r = task.to_numpy(), rank.to_numpy()
-        keys = (table[:, 2 * side] << 40) + first
-        at = np.searchsorted(keys, (t.astype(np.int64) << 40) + r, side="right") - 1
-        row = table[np.maximum(at, 0)]
-        beyond = r - first[np.maximum(at, 0)]
-        ok = (at >= 0) & (row[:, 2 * side] == t) & (beyond < row[:, 4])
-        number = row[:, 5] + (beyond if side == 0 else row[:, 4] - 1 - beyond)
-        return pd.Series(number).astype("Int64").where(pd.Series(ok))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            task, rank = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            at = np.maximum(np.searchsorted(keys, (task << 40) + rank, side="right") - 1, 0)
+            row, beyond = table[at], rank - first[at]
+            none = (row[:, 2 * side] != task) | (beyond < 0) | (beyond >= row[:, 4])
+            pair = row[:, 5] + (beyond if side == 0 else row[:, 4] - 1 - beyond)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(pair, pa.int64(), mask=none)], ["one", "other", "pair"])
 
-    return F.pandas_udf(pair, "long")("task", "rank")
+    one, other = (("key", "length"), ("sequence_id", "slot"))[side]
+    rows = over.filter("key is not null" if side == 0 else "key is null")
+    return rows.select("task", "rank", one, F.col(other).cast("long")).mapInArrow(number, "one long, other long, pair long").withColumnsRenamed({"one": one, "other": other})
 
 
 def _round(unplaced: DataFrame, gaps: DataFrame, largest: int, n_tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -173,16 +178,15 @@ def _round(unplaced: DataFrame, gaps: DataFrame, largest: int, n_tasks: int) ->
     events = free.union(unplaced.select("length", F.lit(True), "key", F.lit(0))).withColumn("mixed", F.xxhash64("key", "slot"))
     order = [F.desc("size"), F.asc("piece"), F.asc("mixed"), F.asc("key"), F.asc("slot")]
     ranged = events.repartitionByRange(n_tasks, *order).sortWithinPartitions(*order)
-    swept = durable(ranged.select(F.spark_partition_id().alias("task"), "size", "piece", "key", "slot").mapInArrow(sweep, MATCHED))
+    swept = durable(ranged.select(F.spark_partition_id().alias("task"), "size", "piece", "key", "slot").mapInArrow(releasing(sweep), MATCHED))
     columns = ["key", "length", "sequence_id", "slot"]
     placed = swept.filter("rank is null").select(*columns)
     over = swept.filter("rank is not null")
     counts = over.groupBy("task").agg(F.count("key").alias("pieces"), F.count("slot").alias("slots")).orderBy("task").collect()
     table = meetings([tuple(r) for r in counts])
     if len(table):
-        pieces = over.filter("key is not null").withColumn("pair", _paired(table, 0)).select("key", "length", "pair")
-        met = pieces.join(over.filter("key is null").withColumn("pair", _paired(table, 1)).filter("pair is not null").select("sequence_id", "slot", "pair"), "pair", "left")
-        met = durable(met.select(*columns))
+        met = _numbered(over, table, 0).join(_numbered(over, table, 1).filter("pair is not null"), "pair", "left")
+        met = durable(met.select("key", "length", "sequence_id", F.col("slot").cast("int").alias("slot")))
         placed = placed.union(met.filter("slot is not null"))
         left = met.filter("slot is null").select("key", "length")
     else:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import chunks, texts_of
+from .frames import chunks, releasing, texts_of
 from .kernels import IS_SPACE, LOWER, Words
 
 STATISTICS = (
@@ -169,7 +169,7 @@ def _map_statistics(rows: DataFrame, finish, schema: str) -> DataFrame:
             names = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for _, c in found)], [*names, *(k for k, _ in found)])
 
-    return rows.mapInArrow(measure, schema)
+    return rows.mapInArrow(releasing(measure), schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = 20_000) -> Trees:
@@ -222,7 +222,7 @@ def filter_quality(docs: DataFrame, model: Trees, text_col: str = "text", least:
                 good = model.score(statistics(texts_of(part.column(at)))) >= least
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(releasing(keep), schema)
 
 
 def held_out(id_col: Column, remainder: int, of: int) -> Column:
