@@ -592,7 +592,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if rest.limit(1).count():
             more = verified(rest)
             if more.limit(1).count():
-                merged = connected_components(first.union(more))
+                merged = connected_components(merged.union(more))
 
     reps = classes.select(F.coalesce("rep", "c1").alias("node"), "rep")
     named = merged.join(reps, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
