@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def _local(df: DataFrame) -> DataFrame:
-    """Cut the plan between the rounds of a traversal, in the shared checkpoint folder."""
-    import tempfile
-
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only for a session on one machine that has none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """Cut the plan between the rounds of a traversal, in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges, or other entries of a matrix, whose row and column are both none of the nodes."""
+    gone = nodes.select(F.col(nodes.columns[0]).alias("_gone")).distinct()
+    return edges.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti")
+
+
 def from_matrix_rows(matrix: DataFrame, node: str, columns: list[str]) -> DataFrame:
     """Edges (src, dst, weight) of a wide adjacency table: one row a node, one column a target."""
     cells = F.array(*[F.struct(F.lit(c).alias("dst"), F.col(f"`{c}`").cast("double").alias("weight")) for c in columns])

@@ -65,6 +65,10 @@ def contingency(df: DataFrame, x: str, y: str, z: list[str] = ()) -> DataFrame:
     """
     zs = [f"z{i}" for i in range(len(z))]
     cells = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip([*z, x, y], [*zs, "x", "y"], strict=True)]).groupBy(*zs, "x", "y").agg(F.count(F.lit(1)).alias("observed"))
+    return _with_expected(cells, zs)
+
+
+def _with_expected(cells: DataFrame, zs: list[str]) -> DataFrame:
     of_x = cells.groupBy(*zs, "x").agg(F.sum("observed").alias("in_x"))
     of_y = cells.groupBy(*zs, "y").agg(F.sum("observed").alias("in_y"))
     total = cells.groupBy(*zs).agg(F.sum("observed").alias("in_all"), F.array_sort(F.collect_set("y")).alias("ys"))
@@ -103,15 +107,17 @@ def power_divergence(df: DataFrame, x: str, y: str, z: list[str] = (), power: fl
 
     Strata add up; a stratum with one level of x or y adds nothing.
     """
+    return _divergence(contingency(df, x, y, z), [f"z{i}" for i in range(len(z))], [], power)
+
+
+def _divergence(cells: DataFrame, zs: list[str], by: list[str], power: float | str) -> DataFrame:
     power = POWERS[power] if isinstance(power, str) else power
-    zs = [f"z{i}" for i in range(len(z))]
-    cells = contingency(df, x, y, z)
     shape = cells.groupBy(*zs).agg(F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).withColumn("dof", (F.col("nx") - 1) * (F.col("ny") - 1))
     cells = _on(cells, shape, zs).filter("dof > 0")
     gap = F.col("expected") - F.col("observed")
     corrected = F.when(F.col("dof") == 1, F.col("observed") + F.signum(gap) * F.least(F.lit(0.5), F.abs(gap))).otherwise(F.col("observed"))
     of_stratum = cells.groupBy(*zs, "dof").agg(F.sum(divergence_term(corrected, F.col("expected"), power)).alias("statistic"))
-    return of_stratum.agg(F.coalesce(F.sum("statistic"), F.lit(0.0)).alias("statistic"), F.coalesce(F.sum("dof"), F.lit(0)).cast("long").alias("dof"))
+    return of_stratum.groupBy(*by).agg(F.coalesce(F.sum("statistic"), F.lit(0.0)).alias("statistic"), F.coalesce(F.sum("dof"), F.lit(0)).cast("long").alias("dof"))
 
 
 def discrete_test(df: DataFrame, x: str, y: str, z: list[str] = (), power: float | str = 0.0) -> tuple[float, int, float]:
@@ -120,48 +126,115 @@ def discrete_test(df: DataFrame, x: str, y: str, z: list[str] = (), power: float
     return row["statistic"], row["dof"], chi2_tail(row["statistic"], row["dof"])
 
 
+def discrete_tests(df: DataFrame, tests: list[tuple[str, str, list[str]]], power: float | str = 0.0) -> list[tuple[float, int, float]]:
+    """discrete_test() of many (x, y, z) by one aggregation of the rows; counts of a task are merged before they are sent.
+
+    Levels are told apart by their text.
+    """
+    kinds = dict(df.dtypes)
+
+    def level(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        return (v + 0.0 if kinds[c] in ("double", "float") else v).cast("string")  # -0.0 is 0.0
+
+    asked = [F.struct(F.lit(i).alias("test"), F.array(*[level(c) for c in z]).cast("array<string>").alias("given"), level(x).alias("x"), level(y).alias("y")) for i, (x, y, z) in enumerate(tests)]
+    keys = ["test", "given"]
+    cells = df.select(F.inline(F.array(*asked))).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("observed"))
+    found = {r["test"]: (r["statistic"], r["dof"]) for r in _divergence(_with_expected(cells, keys), keys, ["test"], power).collect()}
+    out = [found.get(i, (0.0, 0)) for i in range(len(tests))]
+    return [(statistic, dof, chi2_tail(statistic, dof)) for statistic, dof in out]
+
+
 # --- kernel ----------------------------------------------------------------
 
 
-def _numbered(df: DataFrame, x: str, y: str, block: int) -> tuple[DataFrame, int]:
-    """Blocks (b, x array, y array) of the rows; every row is in one."""
+def _blocks(df: DataFrame, x: str, y: str, block: int) -> tuple[DataFrame, int, int]:
+    """Blocks (b, xs, ys) of the rows that have both values, the number of rows, and the number of blocks.
+
+    A row's block is a hash of its values and of its number among equal rows, so a
+    task that runs again after a lost executor makes the same blocks.
+    """
     rows = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")).na.drop("any")
-    n = rows.count()
+    counted = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    n = counted.agg(F.sum("n")).first()[0] or 0
     k = max(1, -(-n // block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(k)).cast("int"))
-    return rows.groupBy("b").agg(F.collect_list(F.struct("x", "y")).alias("rows")).select("b", F.col("rows.x").alias("xs"), F.col("rows.y").alias("ys")), n
+    rows = counted.select("x", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).withColumn("b", F.pmod(F.xxhash64("x", "y", "i"), F.lit(k)).cast("int"))
+    return rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("rows")).select("b", F.col("rows.x").alias("xs"), F.col("rows.y").alias("ys")), n, k
+
+
+def _block_pairs(blocks: DataFrame, k: int) -> DataFrame:
+    """Every pair of blocks once, each block with itself too: block b meets the next k // 2 ones around the circle,
+    so all blocks have as many partners."""
+    half = k // 2
+    left = blocks.select(*[F.col(c).alias(f"{c}_1") for c in blocks.columns], F.explode(F.sequence(F.lit(0), F.lit(half))).alias("step"))
+    if k % 2 == 0:
+        left = left.filter((F.col("step") < half) | (F.col("b_1") < half))
+    left = left.withColumn("b_2", ((F.col("b_1") + F.col("step")) % k).cast("int")).drop("step")
+    return left.join(blocks.select(*[F.col(c).alias(f"{c}_2") for c in blocks.columns]), "b_2")
+
+
+def _gap_medians(pairs: DataFrame) -> list[float]:
+    """Median of the positive squared gaps between rows, of x and of y; 1 where there is none.
+
+    Positive doubles order as their bits do, so four passes over the block pairs
+    count 16 bits each, of the gaps that agree with the median in all higher bits.
+    No gap leaves its task, and at most 65,536 counters a median do.
+    """
+    slots = [(c, side) for c in range(2) for side in range(2)]  # the lower and the upper middle of each
+    prefix, rank = dict.fromkeys(slots, 0), {}
+    for level in range(4):
+        shift = 48 - 16 * level
+        wanted = sorted({(c, prefix[c, side]) for c, side in slots})
+
+        def count(batches: Iterator[pa.RecordBatch], shift: int = shift, level: int = level, wanted: list = wanted) -> Iterator[pa.RecordBatch]:
+            held = {w: np.zeros(1 << 16, dtype=np.int64) for w in wanted}
+            for x1, x2, y1, y2, same in _pairs(batches):
+                for c, (a, b) in enumerate(((x1, x2), (y1, y2))):
+                    gaps = (a[:, None] - b[None, :]) ** 2
+                    gaps = gaps[np.triu_indices(len(a), 1)] if same else gaps.ravel()
+                    bits = gaps[gaps > 0].view(np.int64)
+                    for column, high in wanted:
+                        if column == c:
+                            own = bits if level == 0 else bits[bits >> (shift + 16) == high]
+                            held[column, high] += np.bincount((own >> shift) & 0xFFFF, minlength=1 << 16)
+            for (column, high), counts in held.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"c": pa.array(np.full(len(at), column, np.int32)), "high": pa.array(np.full(len(at), high, np.int64)), "bin": pa.array(at.astype(np.int32)), "n": pa.array(counts[at])})
+
+        counts = {w: np.zeros(1 << 16, dtype=np.int64) for w in wanted}
+        for r in pairs.mapInArrow(count, "c int, high long, bin int, n long").groupBy("c", "high", "bin").agg(F.sum("n").alias("n")).collect():
+            counts[r["c"], r["high"]][r["bin"]] = r["n"]
+        for c, side in slots:
+            below = np.cumsum(counts[c, prefix[c, side]])
+            if level == 0:
+                rank[c, side] = (below[-1] - 1 + side) // 2
+            at = int(np.searchsorted(below, rank[c, side], side="right")) if below[-1] else 0
+            rank[c, side] -= below[at - 1] if at else 0
+            prefix[c, side] = prefix[c, side] << 16 | at
+    value = {s: float(np.array([prefix[s]], dtype=np.int64).view(np.float64)[0]) for s in slots}
+    return [(value[c, 0] + value[c, 1]) / 2 or 1.0 for c in range(2)]
 
 
 def hsic_test(df: DataFrame, x: str, y: str, alpha: float = 0.05, normalize: bool = True, block: int = 1024) -> dict:
     """Hilbert-Schmidt independence test with Gaussian kernels of median width and a gamma limit.
 
     Returns statistic, threshold and independent (0/1). The kernel matrices, n x n
-    by definition, never exist: pairs of row blocks give their sums, first row
-    sums, then the centred products.
+    by definition, never exist: pairs of row blocks give the counts that find the
+    widths, then row sums, then the centred products. Under six rows the limit is
+    not defined, and the columns count as independent.
     """
     from causeway.operators.frame import standardise
 
     if normalize:
         df = standardise(df.select(F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y")), ["x", "y"])
         x, y = "x", "y"
-    blocks, n = _numbered(df, x, y, block)
+    blocks, n, k = _blocks(df, x, y, block)
+    if n < 6:
+        return {"statistic": 0.0, "threshold": math.inf, "independent": 1}
     blocks = blocks.persist()
     try:
-        left = blocks.select(*[F.col(c).alias(f"{c}_1") for c in blocks.columns])
-        right = blocks.select(*[F.col(c).alias(f"{c}_2") for c in blocks.columns])
-        pairs = left.join(right, F.col("b_1") <= F.col("b_2"))  # pairs of blocks, not of rows
-
-        def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x1, x2, y1, y2, same in _pairs(batches):
-                out = []
-                for a, b in ((x1, x2), (y1, y2)):
-                    gaps = (a[:, None] - b[None, :]) ** 2
-                    out.append(gaps[np.triu_indices(len(a), 1)] if same else gaps.ravel())
-                yield pa.RecordBatch.from_pydict({"x": out[0], "y": out[1]})
-
-        gaps = pairs.mapInArrow(widths, "x double, y double")
-        row = gaps.agg(*[F.median(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in "xy"]).first()
-        width = [math.sqrt(0.5 * (row[c] or 1.0)) for c in "xy"]
+        pairs = _block_pairs(blocks, k)
+        width = [math.sqrt(0.5 * m) for m in _gap_medians(pairs)]
 
         def kernels(x1, x2, y1, y2):
             return (np.exp(-((a[:, None] - b[None, :]) ** 2) / 2 / w**2) for a, b, w in ((x1, x2, width[0]), (y1, y2, width[1])))
@@ -175,7 +248,7 @@ def hsic_test(df: DataFrame, x: str, y: str, alpha: float = 0.05, normalize: boo
                         yield pa.RecordBatch.from_pydict({"b": pa.array([b] * k.shape[1 - axis], pa.int32()), "i": pa.array(range(k.shape[1 - axis]), pa.int32()), "kx": k.sum(axis=axis), "ky": m.sum(axis=axis)})
 
         sums = pairs.mapInArrow(row_sums, "b int, i int, kx double, ky double").groupBy("b", "i").agg(F.sum("kx").alias("kx"), F.sum("ky").alias("ky"))
-        sums = sums.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "kx", "ky"))).alias("s")).select("b", F.col("s.kx").alias("kx"), F.col("s.ky").alias("ky"))
+        sums = sums.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("i", "kx", "ky"))).alias("s")).select("b", F.col("s.kx").alias("kx"), F.col("s.ky").alias("ky")).persist()
         total = sums.agg(*[F.sum(F.aggregate(c, F.lit(0.0), lambda a, v: a + v)).alias(c) for c in ("kx", "ky")]).first()
         tx, ty = total["kx"] / n**2, total["ky"] / n**2
         joined = pairs.join(sums.withColumnsRenamed({"b": "b_1", "kx": "kx_1", "ky": "ky_1"}), "b_1").join(sums.withColumnsRenamed({"b": "b_2", "kx": "kx_2", "ky": "ky_2"}), "b_2")
@@ -187,17 +260,20 @@ def hsic_test(df: DataFrame, x: str, y: str, alpha: float = 0.05, normalize: boo
                     kc, mc = (a - np.array(r[f"{c}_1"])[:, None] / n - np.array(r[f"{c}_2"])[None, :] / n + t for a, c, t in ((k, "kx", tx), (m, "ky", ty)))
                     product, same = kc * mc, r["b_1"] == r["b_2"]
                     times = 1 if same else 2
-                    squares = (product / 6) ** 2
-                    yield pa.RecordBatch.from_pydict({"s": [times * product.sum()], "v": [times * squares.sum() - (np.trace(squares) if same else 0.0)]})
+                    squares = product**2
+                    yield pa.RecordBatch.from_pydict({"s": [times * product.sum()], "q": [times * squares.sum() - (np.trace(squares) if same else 0.0)]})
 
-        got = joined.mapInArrow(centred, "s double, v double").agg(F.sum("s").alias("s"), F.sum("v").alias("v")).first()
+        got = joined.mapInArrow(centred, "s double, q double").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+        sums.unpersist()
     finally:
         blocks.unpersist()
+    # Without dependence, n times the statistic is close to a gamma variable with these two moments (of the statistic).
+    ordered = n * (n - 1)
+    off_x, off_y = ((total[c] - n) / ordered for c in ("kx", "ky"))
+    null_mean = (1 - off_x) * (1 - off_y) / n
+    null_variance = 2 * (n - 4) * (n - 5) / (ordered * (n - 2) * (n - 3)) * got["q"] / ordered
     statistic = got["s"] / n
-    variance = got["v"] / n / (n - 1) * 72 * (n - 4) * (n - 5) / n / (n - 1) / (n - 2) / (n - 3)
-    ux, uy = ((total[c] - n) / n / (n - 1) for c in ("kx", "ky"))
-    mean = (1 + ux * uy - ux - uy) / n
-    threshold = gamma_quantile(1 - alpha, mean**2 / variance, variance * n / mean)
+    threshold = gamma_quantile(1 - alpha, null_mean**2 / null_variance, n * null_variance / null_mean) if null_variance > 0 and null_mean > 0 else 0.0
     return {"statistic": statistic, "threshold": threshold, "independent": int(statistic < threshold)}
 
 

@@ -14,13 +14,18 @@ def compare(estimated: DataFrame, truth: DataFrame) -> DataFrame:
     return e.join(typed(truth).select("a", "b", F.col("kind").alias("tru")), ["a", "b"], "full_outer")
 
 
-def graph_metrics(estimated: DataFrame, truth: DataFrame, n_nodes: int) -> DataFrame:
+def graph_metrics(estimated: DataFrame, truth: DataFrame, n_nodes: int, undirected: DataFrame | None = None) -> DataFrame:
     """One row: fdr, tpr, fpr, shd, nnz, precision, recall, f1, gscore; rounded to four digits.
 
+    undirected: estimated edges without a direction, where they are given apart, each once or in both directions.
+
     Loops do not count. An undirected edge counts once for fdr, tpr, fpr, shd and
     nnz, and is right where the skeleton is; for precision, recall, f1 and gscore
     it counts as two directed ones.
     """
+    if undirected is not None:
+        lines = undirected.select("src", "dst")
+        estimated = estimated.select("src", "dst").union(lines).union(lines.select("dst", "src"))
     c = compare(estimated, truth)
     has_e, has_t, line = F.col("est").isNotNull(), F.col("tru").isNotNull(), F.col("est") == "undirected"
     both = has_e & has_t

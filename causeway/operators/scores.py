@@ -109,6 +109,20 @@ def prune_by_coefficient(m: Moments, graph: np.ndarray, threshold: float = 0.3)
     return out
 
 
+def prune_second_order(m: Moments, columns: list[str], graph: np.ndarray, threshold: float = 0.3) -> np.ndarray:
+    """Edges whose cause has a coefficient of at least threshold in size, alone or in a product, in the regression on
+    all parents and the products of two of them. m: family_moments(df, columns, 2)."""
+    out, at = np.zeros_like(graph), {c: i for i, c in enumerate(m.columns)}
+    for j in range(len(graph)):
+        parents = np.flatnonzero(graph[:, j]).tolist()
+        terms = [(p,) for p in parents] + [(p, q) for k, p in enumerate(parents) for q in parents[k:]]
+        if parents:
+            b = m.coefficients(at[columns[j]], [at["*".join(columns[p] for p in t)] for t in terms])
+            for t, size in zip(terms, np.abs(b), strict=True):
+                out[list(t), j] |= int(size >= threshold)
+    return out
+
+
 def family_moments(df: DataFrame, columns: list[str], degree: int = 1) -> Moments:
     """Moments of the columns, with all products of two beside them for degree 2."""
     if degree == 1:

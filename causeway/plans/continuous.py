@@ -216,14 +216,16 @@ class NotearsBasis(Learner):
 
 @learner
 class MaskedRegression(Learner):
-    """A relaxed 0/1 mask over linear effects: w = sigmoid(logit / temperature) * b, acyclic in the mask, least squares by moments."""
+    """A relaxed 0/1 mask over linear effects: w = sigmoid(logit / temperature) * b, acyclic in the mask, least squares by moments.
 
-    def __init__(self, temperature: float = 0.2, lambda1: float = 2e-3, max_iter: int = 25, h_tol: float = 1e-8, rho_max: float = 1e12, threshold: float = 0.5, seed: int = 0):
-        self.temperature, self.lambda1, self.max_iter, self.h_tol, self.rho_max, self.threshold, self.seed = temperature, lambda1, max_iter, h_tol, rho_max, threshold, seed
+    lambda2 holds effects down, as a closed mask could else hide behind a large one."""
+
+    def __init__(self, temperature: float = 0.2, lambda1: float = 2e-3, lambda2: float = 0.05, max_iter: int = 25, h_tol: float = 1e-8, rho_max: float = 1e12, threshold: float = 0.5, seed: int = 0):
+        self.temperature, self.lambda1, self.lambda2, self.max_iter, self.h_tol, self.rho_max, self.threshold, self.seed = temperature, lambda1, lambda2, max_iter, h_tol, rho_max, threshold, seed
 
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
         m, d = moments(df, columns), len(columns)
-        loss, off = quadratic_loss(m.corr), 1 - np.eye(len(columns))
+        loss, off = quadratic_loss(m.cov), 1 - np.eye(len(columns))
 
         def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a = x.reshape(2, d, d)
@@ -235,12 +237,17 @@ class MaskedRegression(Learner):
                 value, grad = loss(mask * b)
                 h, grad_h = acyclicity(mask)
                 to_mask = (grad * b + (rho * h + alpha) * grad_h + self.lambda1) * mask * (1 - mask) / self.temperature * off
-                return value + 0.5 * rho * h * h + alpha * h + self.lambda1 * mask.sum(), np.concatenate([to_mask.ravel(), (grad * mask).ravel()])
+                return value + 0.5 * rho * h * h + alpha * h + self.lambda1 * mask.sum() + 0.5 * self.lambda2 * (b * b).sum(), np.concatenate([to_mask.ravel(), (grad * mask + self.lambda2 * b).ravel()])
 
             return minimise(f, x)
 
         rng = np.random.default_rng(self.seed)
-        start = np.concatenate([rng.normal(0, 0.05, d * d), rng.normal(0, 0.05, d * d)])
+        effects = np.zeros((d, d))
+        for j in range(d):
+            others = [i for i in range(d) if i != j]
+            effects[others, j] = np.linalg.lstsq(m.cov[np.ix_(others, others)], m.cov[others, j], rcond=None)[0]
+        # Effects start from the regressions on all others, and masks by their size: from zero the constraint closes every mask first.
+        start = np.concatenate([(self.temperature * 4 * (np.abs(effects) - 0.25) + rng.normal(0, 0.05, (d, d))).ravel(), effects.ravel()])
         x = augmented_lagrangian(inner, lambda x: acyclicity(split(x)[0])[0], start, self.max_iter, self.h_tol, self.rho_max)
         mask, b = split(x)
         w = cut_to_dag(np.where(mask > self.threshold, mask, 0))

@@ -8,22 +8,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from causeway.operators.frame import event_multiplicity
 from causeway.operators.graph import k_hop_ring
-from causeway.plans.base import Graph
+from causeway.plans.base import Graph, Learner, learner
+
+
+#: Largest exponent within a stretch of time, so that prefix sums of exponentials stay far from overflow; beyond
+#: VANISHED a decay is zero in double precision. Fixed values of the number format.
+STRETCH, VANISHED = 300.0, 745.0
+#: Pieces that the whole span of time is cut into at least, so that no node's events are one sorted group.
+PIECES = 256
 
 
 def decay(events: DataFrame, rings: DataFrame, delta: float) -> DataFrame:
     """(node, timestamp, event, times, hop, cause, decay): exp(-delta * age) summed over earlier events of each type
     at the nodes of each ring. events: node, timestamp, event, times; rings: node, hop, neighbour.
 
-    Rows of one node and time are summed per cause first, so only distinct times meet.
+    The exponential factors, so a time needs a running sum over earlier times and not its pairs with them. Time is
+    cut into pieces, and pieces are put together in stretches: sums run within a piece, over the pieces of a stretch,
+    and over the last stretches, always from the start of each, where no factor overflows. Rows are in proportion to
+    events and to results, and a busy node is sorted a piece at a time.
     """
-    earlier = events.groupBy("node", "timestamp", "event").agg(F.sum("times").alias("k")).select(F.col("node").alias("neighbour"), F.col("timestamp").alias("then"), F.col("event").alias("cause"), "k")
-    times = events.select("node", "timestamp").distinct()
-    age = F.col("timestamp") - F.col("then")
-    sums = times.join(rings, "node").join(earlier, "neighbour").filter(age > 0).groupBy("node", "timestamp", "hop", "cause").agg(F.sum(F.col("k") * F.exp(-delta * age)).alias("decay"))
+    keys = ["node", "hop", "cause"]
+    earlier = events.groupBy("node", "timestamp", "event").agg(F.sum("times").alias("k")).select(F.col("node").alias("neighbour"), F.col("timestamp").alias("at"), F.col("event").alias("cause"), "k")
+    low, high = events.agg(F.min("timestamp").cast("double"), F.max("timestamp").cast("double")).first()
+    span = (high or 0.0) - (low or 0.0)
+    width = min(STRETCH / delta if delta > 0 else np.inf, span / PIECES) or 1.0
+    x = delta * width
+    per = int(STRETCH / x) if x > STRETCH / 1e9 else 10**9
+    reach = int(VANISHED / (x * per)) + 2 if x * per > 1 else 1
+
+    sent = earlier.join(rings, "neighbour").groupBy(*keys, "at").agg(F.sum("k").alias("k"))
+    asked = events.select("node", F.col("timestamp").alias("at")).distinct().join(sent.select(*keys).distinct(), "node")
+    marks = sent.select(*keys, "at", "k", F.lit(False).alias("asked")).unionByName(asked.select(*keys, "at", F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked")))
+    since = F.col("at").cast("double") - F.lit(low or 0.0)
+    marks = marks.groupBy(*keys, "at").agg(F.sum("k").alias("k"), F.max("asked").alias("asked")).withColumn("piece", F.floor(since / width)).withColumn("into", since - F.col("piece") * width)
+
+    before = W.Window.partitionBy(*keys, "piece").orderBy("at").rowsBetween(W.Window.unboundedPreceding, -1)
+    marks = marks.withColumn("near", F.coalesce(F.sum(F.col("k") * F.exp(delta * F.col("into"))).over(before), F.lit(0.0)) * F.exp(-delta * F.col("into")))
+    pieces = marks.groupBy(*keys, "piece").agg(F.sum(F.col("k") * F.exp(-delta * (width - F.col("into")))).alias("left"), F.min(F.when(F.col("k") > 0, F.col("at"))).alias("first"))
+    pieces = pieces.withColumn("stretch", F.floor(F.col("piece") / per)).withColumn("place", F.col("piece") - F.col("stretch") * per)
+    stretches = pieces.groupBy(*keys, "stretch").agg(F.sum(F.col("left") * F.exp(-x * (per - F.col("place") - 1))).alias("left"))
+    onward = stretches.select(*keys, "left", "stretch", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("j"))
+    onward = onward.select(*keys, (F.col("stretch") + F.col("j") + 1).alias("stretch"), (F.col("left") * F.exp(-x * per * F.col("j"))).alias("far")).groupBy(*keys, "stretch").agg(F.sum("far").alias("far"))
+
+    earlier_pieces = W.Window.partitionBy(*keys, "stretch").orderBy("piece").rowsBetween(W.Window.unboundedPreceding, -1)
+    middle = F.coalesce(F.sum(F.col("left") * F.exp(x * F.col("place"))).over(earlier_pieces), F.lit(0.0)) * F.exp(-x * (F.col("place") - 1))
+    starts = pieces.withColumn("middle", middle).withColumn("first", F.min("first").over(W.Window.partitionBy(*keys))).join(onward, [*keys, "stretch"], "left")
+    starts = starts.select(*keys, "piece", "first", (F.col("middle") + F.coalesce("far", F.lit(0.0)) * F.exp(-x * F.col("place"))).alias("start"))
+    sums = marks.filter("asked").join(starts, [*keys, "piece"]).filter("at > first")
+    sums = sums.select(*keys, F.col("at").alias("timestamp"), (F.col("near") + F.col("start") * F.exp(-delta * F.col("into"))).alias("decay"))
     return events.join(sums, ["node", "timestamp"])
 
 
@@ -36,7 +72,8 @@ def mass(events: DataFrame, rings: DataFrame, delta: float) -> DataFrame:
     return left.groupBy(F.col("event").alias("cause"), "hop").agg(F.sum(part).alias("mass"))
 
 
-class TTPM:
+@learner
+class TTPM(Learner):
     """Hill climbing over edges by penalised likelihood, EM for the rates.
 
     Every climbing step evaluates all one-edge changes at once: an EM iteration of

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators.frame import event_seconds
-from causeway.plans import base, constraint, continuous, hawkes, lingam, neural, pairwise, score  # noqa: F401  (they register learners)
-from causeway.plans.queries import per_order, query, table
+from causeway.plans import base, constraint, continuous, deep, hawkes, lingam, neural, pairwise, score  # noqa: F401  (they register learners)
+from causeway.plans.queries import _TERMS, PER_ORDER, _power_sql, per_order, query, table
 
 NAMES = ["c", "q", "e", "t"]
 
@@ -34,47 +34,104 @@ _add("learn_ges_bic", "ges", False)
 _add("learn_ges_r2", "ges", False, method="r2")
 _add("learn_direct_lingam", "directlingam", True, threshold=0.1)
 _add("learn_ica_lingam", "icalingam", True, threshold=0.1)
-_add("learn_notears", "notears", True, lambda1=0.01, threshold=0.1, max_iter=20)
-_add("learn_notears_low_rank", "notearslowrank", True, rank=2, threshold=0.1, restarts=2)
-_add("learn_notears_basis", "notearsbasis", True, k=2, threshold=0.1, max_iter=10, rho_max=1e8)
-_add("learn_golem", "golem", True, steps=1500, threshold=0.1)
-_add("learn_masked_regression", "maskedregression", True, max_iter=10, rho_max=1e8)
-_add("learn_order_search", "ordersearch", True, rounds=40, threshold=0.1)
-_add("learn_notears_network", "notearsnetwork", True, max_iter=3, rounds=3, threshold=0.2)
-_add("learn_graph_autoencoder", "graphautoencoder", True, max_iter=3, rounds=3)
-_add("learn_graph_search", "graphsearch", True, rounds=60, threshold=0.1)
-
-
-@query()
+_add("learn_notears", "notears", True, lambda1=0.01, threshold=0.1)
+_add("learn_notears_low_rank", "notearslowrank", True, rank=2, threshold=0.1)
+_add("learn_notears_basis", "notearsbasis", True, k=2, threshold=0.1)
+_add("learn_golem", "golem", True, threshold=0.1)
+_add("learn_masked_regression", "maskedregression", True)
+_add("learn_order_search", "ordersearch", True, threshold=0.1)
+_add("learn_notears_network", "notearsnetwork", True, threshold=0.2)
+_add("learn_graph_autoencoder", "graphautoencoder", True)
+_add("learn_graph_search", "graphsearch", True, threshold=0.1)
+_add("learn_kernel_lingam", "directlingam", True, threshold=0.1, measure="kernel")
+_add("learn_gran_dag", "grandag", True, threshold=0.1)
+_add("learn_dag_gnn", "daggnn", True, threshold=0.1)
+
+
+def _pc_sql(names: str, ctes: str, first: dict[str, str], then: dict[str, str]) -> str:
+    """PC on three columns in SQL: first and then hold, for each pair, the condition under which it is independent
+    at once, and given the third column. A pair is tested given a neighbour of its first column."""
+    a, b, c = names
+    ab, ac, bc = a + b, a + c, b + c
+    test = ", ".join(f"{first[p]} AS i_{p}, {then[p]} AS j_{p}" for p in (ab, ac, bc))
+    kept = f"NOT i_{ab} AND (i_{ac} OR NOT j_{ab}) AS k_{ab}, NOT i_{ac} AND (i_{ab} OR NOT j_{ac}) AS k_{ac}, NOT i_{bc} AND (i_{ab} OR NOT j_{bc}) AS k_{bc}"
+    met = f"i_{bc} AND k_{ab} AND k_{ac} AS m_{a}, i_{ac} AND k_{ab} AND k_{bc} AS m_{b}, i_{ab} AND k_{ac} AND k_{bc} AS m_{c}"
+    ways = ", ".join(f"{{s: '{x}', d: '{y}', k: k_{p} AND NOT m_{x}}}" for p in (ab, ac, bc) for x, y in (p, p[::-1]))
+    return f"WITH {ctes}, t AS (SELECT {test} FROM v), g AS (SELECT *, {kept} FROM t), m AS (SELECT *, {met} FROM g), e AS (SELECT unnest([{ways}]) AS e FROM m) SELECT e.s AS src_name, e.d AS dst_name FROM e WHERE e.k"
+
+
+def _fisher_sql(alpha_z: float) -> str:
+    """learn_pc on three columns; alpha_z is the normal quantile of the level."""
+    pairs = {"qe": "t", "qt": "e", "et": "q"}
+    r = {p: f"r_{p}" for p in pairs}
+    r |= {p[::-1]: f"r_{p}" for p in pairs}
+    cors = ", ".join(f"corr({p[0]}, {p[1]}) AS r_{p}" for p in pairs)
+    z = lambda x, k: f"abs(sqrt(n - {3 + k}) * 0.5 * ln((1 + {x}) / (1 - {x}))) <= {alpha_z}"
+    partial = {p: f"(({r[p]} - {r[p[0] + c]} * {r[p[1] + c]}) / sqrt((1 - {r[p[0] + c]} ^ 2) * (1 - {r[p[1] + c]} ^ 2)))" for p, c in pairs.items()}
+    return _pc_sql("qet", f"{PER_ORDER}, v AS (SELECT count(*) AS n, {cors} FROM per_order)", {p: z(r[p], 0) for p in pairs}, {p: z(x, 1) for p, x in partial.items()})
+
+
+@query(_fisher_sql(2.807033768343811))
+def learn_pc_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.make("pc", alpha=0.005).learn(per_order(spark, sf_dir), ["q", "e", "t"]).edges(spark).select("src_name", "dst_name")
+
+
+#: Columns of lineitem where a and b meet in c: c is their sum, and one more for one line in ten.
+_MET = "(SELECT l_linenumber % 2 AS a, l_suppkey % 3 AS b, l_linenumber % 2 + l_suppkey % 3 + (l_partkey % 10 = 0)::INTEGER AS c FROM lineitem)"
+
+
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_linenumber") % 2, F.col("l_suppkey") % 3
+    return table(spark, sf_dir, "lineitem").select(a.alias("a"), b.alias("b"), (a + b + (F.col("l_partkey") % 10 == 0).cast("int")).alias("c"))
+
+
+def _chi2_sql() -> str:
+    #: 99 % points of chi-square with 1 to 16 degrees of freedom.
+    points = [6.6349, 9.21034, 11.34487, 13.2767, 15.08627, 16.81189, 18.47531, 20.09024, 21.66599, 23.20925, 24.72497, 26.21697, 27.68825, 29.14124, 30.57791, 31.99993]
+    pairs = {"ab": "c", "ac": "b", "bc": "a"}
+    ctes = ", ".join(f"f_{p} AS ({_power_sql(_MET, *p, None, _TERMS['chi2'])}), s_{p} AS ({_power_sql(_MET, *p, z, _TERMS['chi2'])})" for p, z in pairs.items())
+    row = ", ".join(f"(SELECT statistic <= ({points})[dof] FROM {k}_{p}) AS {k}_{p}" for p in pairs for k in "fs")
+    return _pc_sql("abc", f"{ctes}, v AS (SELECT {row})", {p: f"f_{p}" for p in pairs}, {p: f"s_{p}" for p in pairs})
+
+
+@query(_chi2_sql())
 def learn_pc_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
-    g = constraint.PC(test="chi2", alpha=0.01).learn(rows, rows.columns)
-    return g.edges(spark).select("src_name", "dst_name")
+    return constraint.PC(test="chi2", alpha=0.01).learn(_met(spark, sf_dir), ["a", "b", "c"]).edges(spark).select("src_name", "dst_name")
 
 
 @query()
 def learn_ges_bdeu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
-    return score.GES("bdeu").learn(rows, rows.columns).edges(spark).select("src_name", "dst_name")
+    return score.GES("bdeu").learn(_met(spark, sf_dir), ["a", "b", "c"]).edges(spark).select("src_name", "dst_name")
 
 
 @query()
 def learn_ttpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_seconds(table(spark, sf_dir, "events"), "ts").select(F.col("event_type").alias("event"), "timestamp", F.col("user_id").alias("node"))
-    return hawkes.TTPM(delta=1e-4, max_iter=3).learn(log).edges(spark).select("src_name", "dst_name")
+    return hawkes.TTPM(delta=1e-4).learn(log).edges(spark).select("src_name", "dst_name")
 
 
 @query()
 def bootstrap_lingam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _standard(spark, sf_dir).select("l_orderkey", "c", "q", "e").persist()
-    found = lingam.bootstrap(rows, ["c", "q", "e"], ["l_orderkey"], 3, lingam.DirectLiNGAM(threshold=0.05))
-    return lingam.median_effects(found, 3).select("src", "dst", F.round("effect", 3).alias("effect"), F.round("probability", 3).alias("probability"))
+    rows = _standard(spark, sf_dir).persist()
+    found = lingam.bootstrap(rows, NAMES, ["l_orderkey"], 10, lingam.DirectLiNGAM(threshold=0.05))
+    return lingam.median_effects(found, 10).select("src", "dst", F.round("effect", 3).alias("effect"), F.round("probability", 3).alias("probability"))
+
+
+def _supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a balance; e, a curve of it with noise that a hash draws; p, a cube of it with noise inside; f, a hash alone."""
+    draw = lambda k: F.pmod(F.xxhash64("s_suppkey", F.lit(k)), F.lit(10**6)) / 10**6 - 0.5
+    a = F.col("s_acctbal") / 10000
+    return table(spark, sf_dir, "supplier").select(a.alias("a"), (F.tanh(3 * a) + 0.4 * draw(1)).alias("e"), F.pow(a + 0.5 * draw(2), 3).alias("p"), draw(3).alias("f"))
 
 
 @query()
 def learn_anm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 50).cast("double").alias("b"), F.sqrt(F.abs("s_acctbal")).alias("r"))
-    return pairwise.ANM(alpha=0.01).learn(rows, ["a", "b", "r"]).edges(spark).select("src_name", "dst_name")
+    return pairwise.ANM(alpha=0.01).learn(_supplier_pairs(spark, sf_dir), ["a", "e", "f"]).edges(spark).select("src_name", "dst_name")
+
+
+@query()
+def learn_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deep.PNL().learn(_supplier_pairs(spark, sf_dir), ["a", "p", "f"]).edges(spark).select("src_name", "dst_name")
 
 
 @query()

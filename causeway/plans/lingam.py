@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,14 @@ from causeway.plans.base import Graph, Learner, learner
 from causeway.plans.dense import assign, cut_to_dag, lasso_bic, order_of
 
 
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles, of the rows that have them all."""
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop("any")
+
+
 def batch_sums(df: DataFrame, columns: list[str], f, size: int) -> np.ndarray:
     """Sum over all rows of f(batch matrix) -> vector of this size: one pass, partial sums in the tasks."""
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop("any")
+    rows = numbers(df, columns)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -48,7 +54,58 @@ def entropies(df: DataFrame, m: Moments, vectors: np.ndarray) -> np.ndarray:
     return (1 + np.log(2 * np.pi)) / 2 - ENTROPY_K1 * (sums[:k] - ENTROPY_GAMMA) ** 2 - ENTROPY_K2 * sums[k:] ** 2
 
 
-def causal_order(df: DataFrame, m: Moments, prior: np.ndarray | None = None) -> list[int]:
+def kernel_information(df: DataFrame, m: Moments, left: np.ndarray, right: list[np.ndarray], features: int = 16, seed: int = 0) -> list[np.ndarray]:
+    """Kernel mutual information of each linear combination (column of left) with those of its right matrix.
+
+    Gaussian kernels as random cosine features: one pass gives the features' moments, and the information is
+    that of the regularised canonical correlations. Kernel width and regulariser follow the number of rows.
+    """
+    #: Fixed values of the method: width and regulariser up to a thousand rows, and beyond.
+    width, kappa = (1.0, 2e-2) if m.n <= 1000 else (0.5, 2e-3)
+    rng = np.random.default_rng(seed)
+    waves, phases = rng.normal(0, 1 / width, features), rng.uniform(0, 2 * np.pi, features)
+
+    def scaled(v: np.ndarray) -> np.ndarray:
+        return v / np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", v, m.cov, v), 1e-300))
+
+    one, many = scaled(left), [scaled(r) for r in right]
+
+    def cosines(u: np.ndarray) -> np.ndarray:
+        return np.cos(u[..., None] * waves + phases) * np.sqrt(2 / features)
+
+    def f(x: np.ndarray, step: int = 2048) -> np.ndarray:
+        total = np.zeros(size)
+        for begin in range(0, len(x), step):
+            rows, parts = x[begin : begin + step] - m.mean, []
+            for k, r in enumerate(many):
+                a, b = cosines(rows @ one[:, k]), cosines((rows @ r).T)  # (n, features), (variables, n, features)
+                parts += [a.sum(axis=0), a.T @ a, b.sum(axis=1), a.T @ b, b.transpose(0, 2, 1) @ b]
+            total += np.concatenate([p.ravel() for p in parts])
+        return total
+
+    size = sum(features + features**2 + r.shape[1] * (features + 2 * features**2) for r in many)
+    sums, at, out = batch_sums(df, m.columns, f, size) / m.n, 0, []
+
+    def take(*shape: int) -> np.ndarray:
+        nonlocal at
+        at += int(np.prod(shape))
+        return sums[at - int(np.prod(shape)) : at].reshape(shape)
+
+    def shrunk(c: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(c)
+        values = np.maximum(values, 0)
+        return vectors * (np.sqrt(values) / (values + kappa / 2)) @ vectors.T
+
+    for r in many:
+        j = r.shape[1]
+        mean_a, aa, mean_b, ab, bb = take(features), take(features, features), take(j, features), take(j, features, features), take(j, features, features)
+        root = shrunk(aa - np.outer(mean_a, mean_a))
+        s = [np.linalg.svd(root @ (ab[i] - np.outer(mean_a, mean_b[i])) @ shrunk(bb[i] - np.outer(mean_b[i], mean_b[i])), compute_uv=False) for i in range(j)]
+        out.append(np.array([-0.5 * np.log1p(-np.minimum(v, 1 - 1e-12) ** 2).sum() for v in s]))
+    return out
+
+
+def causal_order(df: DataFrame, m: Moments, prior: np.ndarray | None = None, measure: str = "pwling") -> list[int]:
     """Repeatedly the variable least dependent on its residuals; one pass over the rows for each."""
     d = len(m.columns)
     maps, left, order = np.eye(d), list(range(d)), []  # column j: variable j less all chosen ones, in terms of the data
@@ -56,10 +113,14 @@ def causal_order(df: DataFrame, m: Moments, prior: np.ndarray | None = None) ->
         pairs = [(i, j) for i in left for j in left if i != j]
         cov = maps.T @ m.cov @ maps
         residuals = np.column_stack([maps[:, i] - cov[i, j] / cov[j, j] * maps[:, j] for i, j in pairs])
-        h = entropies(df, m, np.column_stack([maps[:, left], residuals]))
-        single = dict(zip(left, h, strict=False))
-        of_pair = dict(zip(pairs, h[len(left) :], strict=True))
-        gain = {i: -sum(min(0.0, single[j] + of_pair[i, j] - single[i] - of_pair[j, i]) ** 2 for j in left if j != i) for i in left}
+        if measure == "kernel":
+            information = kernel_information(df, m, maps[:, left], [residuals[:, [k for k, (_, j) in enumerate(pairs) if j == i]] for i in left])
+            gain = {i: -float(v.sum()) for i, v in zip(left, information, strict=True)}
+        else:
+            h = entropies(df, m, np.column_stack([maps[:, left], residuals]))
+            single = dict(zip(left, h, strict=False))
+            of_pair = dict(zip(pairs, h[len(left) :], strict=True))
+            gain = {i: -sum(min(0.0, single[j] + of_pair[i, j] - single[i] - of_pair[j, i]) ** 2 for j in left if j != i) for i in left}
         allowed = [i for i in left if prior is None or not any(prior[j, i] == 1 for j in left)] or left
         root = max(allowed, key=lambda i: gain[i])
         order.append(root)
@@ -84,14 +145,24 @@ def sparse_coefficients(m: Moments, order: list[int], prior: np.ndarray | None =
 
 @learner
 class DirectLiNGAM(Learner):
-    """prior: optional matrix with 1 where i -> j is required, 0 where it is ruled out, -1 elsewhere."""
+    """prior: optional matrix with 1 where i -> j is required, 0 where it is ruled out, -1 elsewhere.
 
-    def __init__(self, threshold: float = 0.3, prior: np.ndarray | None = None):
-        self.threshold, self.prior = threshold, prior
+    measure: 'pwling' compares approximate entropies, 'kernel' sums the kernel mutual information of a variable and
+    the residuals on it.
+    """
+
+    def __init__(self, threshold: float = 0.3, prior: np.ndarray | None = None, measure: str = "pwling"):
+        if measure not in ("pwling", "kernel"):
+            raise ValueError("measure is pwling or kernel")
+        self.threshold, self.prior, self.measure = threshold, prior, measure
 
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
         m = moments(df, columns)
-        order = causal_order(df, m, self.prior)
+        rows = numbers(df, columns).persist()
+        try:
+            order = causal_order(rows, m, self.prior, self.measure)
+        finally:
+            rows.unpersist()
         b = sparse_coefficients(m, order, self.prior)
         return Graph(list(columns), (np.abs(b) > self.threshold).astype(int), b, {"order": order, "moments": m})
 
@@ -129,7 +200,11 @@ class ICALiNGAM(Learner):
 
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
         m = moments(df, columns)
-        w = self.unmixing(df, m)
+        data = numbers(df, columns).persist()
+        try:
+            w = self.unmixing(data, m)
+        finally:
+            data.unpersist()
         rows = assign(1 / np.maximum(np.abs(w), 1e-12).T)  # the component that belongs to each variable
         w = w[rows]
         b = np.eye(len(w)) - w / np.diag(w)[:, None]
@@ -138,17 +213,22 @@ class ICALiNGAM(Learner):
         return Graph(list(columns), (np.abs(b) > self.threshold).astype(int), b, {"order": order})
 
 
-def bootstrap(df: DataFrame, columns: list[str], key: list[str], n: int, model: Learner, seed: int = 0) -> DataFrame:
+def bootstrap(df: DataFrame, columns: list[str], key: list[str], n: int, model: Learner, seed: int = 0, threads: int = 4) -> DataFrame:
     """(replicate, src, dst, weight, effect) of the edges that a learner finds on Poisson replicates of the rows.
 
-    Total effects come from the moments of all rows.
+    Total effects come from the moments of all rows. So many replicates as threads run their jobs side by side.
     """
     spark, m = df.sparkSession, moments(df, columns)
     every = replicates(df, n, key, seed, columns)
     out = []
-    for r in range(n):
+
+    def found(r: int) -> Graph:
         rows = every.filter(F.col("replicate") == r).select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("weight"))).alias("_copy")).drop("_copy")
-        g = model.learn(rows, columns)
+        return model.learn(rows, columns)
+
+    with ThreadPoolExecutor(threads) as pool:
+        graphs = list(pool.map(found, range(n)))
+    for r, g in enumerate(graphs):
         w = g.matrix if g.weights is None else g.weights
         for i, j in np.argwhere(g.matrix != 0):
             out.append((r, int(i), int(j), float(w[i, j]), total_effect(m, int(i), int(j), np.flatnonzero(g.matrix[:, i]).tolist())))

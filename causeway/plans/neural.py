@@ -69,12 +69,16 @@ class _Network(Learner):
             last = h
             if h < self.h_tol:
                 break
+        w = self.strengths(rows, columns, x)
         rows.unpersist()
-        w = self.weights(x, d)
         w = w / max(np.abs(w).max(), 1e-12) if self.relative else w
         w = cut_to_dag(w, self.threshold)
         return Graph(list(columns), (w != 0).astype(int), w)
 
+    def strengths(self, rows: DataFrame, columns: list[str], x: np.ndarray) -> np.ndarray:
+        """What the threshold and the cut to a DAG go by."""
+        return self.weights(x, len(columns))
+
     relative = False
     constraint = staticmethod(acyclicity_power)
 

@@ -303,14 +303,14 @@ def most_frequent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT user_id AS node, epoch(ts) AS t, event_type AS event, count(*) AS times FROM events GROUP BY ALL)
 SELECT b.node, b.t AS timestamp, b.event AS target, a.event AS cause, round(sum(a.times * exp(-0.0001 * (b.t - a.t))), 6) AS decay
-FROM x a JOIN x b ON a.node = b.node AND a.t < b.t GROUP BY ALL HAVING sum(a.times * exp(-0.0001 * (b.t - a.t))) >= 1e-3""")
+FROM x a JOIN x b ON a.node = b.node AND a.t < b.t GROUP BY ALL""")
 def hawkes_decay_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from causeway.plans import hawkes
 
     e = frame.event_multiplicity(frame.event_seconds(table(spark, sf_dir, "events"), "ts"), "event_type", "timestamp", "user_id")
     alone = e.select("node").distinct().select("node", F.lit(0).alias("hop"), F.col("node").alias("neighbour"))
     out = hawkes.decay(e, alone, 0.0001)
-    return rounded(out.filter("decay >= 1e-3").select("node", "timestamp", F.col("event").alias("target"), "cause", "decay"), 6, "timestamp")
+    return rounded(out.select("node", "timestamp", F.col("event").alias("target"), "cause", "decay"), 6, "timestamp")
 
 
 @query("""WITH x AS (SELECT user_id AS node, epoch(ts) AS t, event_type AS event, count(*) AS times FROM events GROUP BY ALL), e AS (SELECT max(t) AS last FROM x)
@@ -495,15 +495,20 @@ def graph_edge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.edge_parts(estimate(spark, sf_dir), dag(spark, sf_dir))
 
 
+@query(f"WITH e AS ({_EST}), k AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) SELECT src, dst FROM e WHERE src NOT IN (FROM k) AND dst NOT IN (FROM k)")
+def edges_without_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.without_nodes(estimate(spark, sf_dir), table(spark, sf_dir, "nation").filter("n_regionkey = 1").select("n_nationkey"))
+
+
 @query(f"WITH e AS ({_EST}) SELECT src, dst FROM (SELECT src, dst FROM e UNION SELECT 3 AS src, 9 AS dst UNION SELECT 4, 9) WHERE NOT (src = 0 AND dst = 1) AND NOT (src = 9 AND dst = 5)")
 def prior_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priors.apply_priors(estimate(spark, sf_dir), priors.prior_table(spark, [(3, 9), (4, 9)], [(0, 1), (9, 5)]))
 
 
-@query("""WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 10)
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation)
 SELECT a.k AS src, b.k AS dst, CASE WHEN a.k = b.k THEN 0 WHEN (a.k, b.k) IN ((3, 9), (4, 9)) THEN 1 WHEN (a.k, b.k) IN ((8, 1), (9, 5)) THEN 0 ELSE -1 END AS status FROM n a, n b""")
 def prior_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select("n_nationkey")
+    nodes = table(spark, sf_dir, "nation").select("n_nationkey")
     return priors.full_matrix(priors.prior_table(spark, [(3, 9), (4, 9)], [(8, 1), (9, 5)]), nodes)
 
 
@@ -531,15 +536,6 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     t = table(spark, sf_dir, "nation")
-    path = f"{graph_folder(spark)}/{uuid.uuid4().hex}.csv"
+    path = f"{graph.shared_folder(spark)}/{uuid.uuid4().hex}.csv"
     files.write_table(t.select("n_nationkey", "n_name", "n_regionkey"), path)
     return files.read_table(spark, path, schema="n_nationkey int, n_name string, n_regionkey int")
-
-
-def graph_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import math
 import time
 import uuid
 
@@ -17,10 +19,25 @@ LOG = "task_id string, name string, algorithm string, parameters string, dataset
 METRICS = ("fdr", "tpr", "fpr", "shd", "nnz", "precision", "recall", "f1", "gscore")
 
 
+def coerce(text):
+    """The value that a text stands for: None, a truth value, a number, a tuple or list of such, or a product of
+    numbers such as 2*3; anything else stays as it is."""
+    if not isinstance(text, str):
+        return text
+    words = {"none": None, "null": None, "true": True, "false": False}
+    if text.strip().lower() in words:
+        return words[text.strip().lower()]
+    try:
+        return ast.literal_eval(text.strip())
+    except (ValueError, SyntaxError):
+        factors = [coerce(part) for part in text.split("*")] if "*" in text else []
+        return math.prod(factors) if factors and all(isinstance(f, (int, float)) for f in factors) else text
+
+
 def learn_task(spark: SparkSession, config: dict, log: str | None = None) -> tuple[base.Graph, dict]:
     """config: dataset (path, or name of a registered one), columns, algorithm, parameters, and optionally
     truth (path of an .npy matrix), metrics (names), output (path for the edges). Returns the graph and its metrics."""
-    from causeway.plans import constraint, continuous, hawkes, lingam, neural, pairwise, score  # noqa: F401  (they register learners)
+    from causeway.plans import constraint, continuous, deep, hawkes, lingam, neural, pairwise, score  # noqa: F401  (they register learners)
 
     task, began, status, edges, found = uuid.uuid4().hex, time.time(), "failed", "", {}
     try:
@@ -31,7 +48,7 @@ def learn_task(spark: SparkSession, config: dict, log: str | None = None) -> tup
         if config.get("truth"):
             truth = files.read_matrix(spark, config["truth"])
         columns = config.get("columns") or [c for c in data.columns if c != "row"]
-        graph = base.make(config["algorithm"], **config.get("parameters", {})).learn(data, columns)
+        graph = base.make(config["algorithm"], **{k: coerce(v) for k, v in config.get("parameters", {}).items()}).learn(data, columns)
         table = graph.edges(spark)
         edges = json.dumps(sorted([r["src_name"], r["dst_name"]] for r in table.collect()))
         if truth is not None:
