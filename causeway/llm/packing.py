@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from pyspark.sql import window as W
 
 from .frames import chunks, durable, partitions, releasing
 
+#: The faster encoder's pattern goes back over a run of white space, and fails from some 700,000 characters on.
+LONG_SPACE = re.compile(r"\s{100000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A piece (key) is placed in a slot of a sequence; null where there is none.
 MATCHED = "task int, key long, length long, sequence_id long, slot int, rank long"
@@ -46,7 +49,8 @@ class Encoder:
 
     Where a rank file of the same vocabulary lies beside the JSON file, the faster
     implementation of the same merges encodes; texts that hold the special
-    token's string, and vocabularies without that file, take the other one.
+    token's string or too long a run of white space for its pattern, and
+    vocabularies without that file, take the other one.
     """
 
     def __init__(self, path: str):
@@ -65,9 +69,9 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype="<u4") if text else np.zeros(0, dtype="<u4")
+        if self.fast is not None and not any(s in text for s in self.special) and not LONG_SPACE.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 @functools.lru_cache(maxsize=1)

@@ -467,3 +467,11 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 203)
     for width in (1, 2, 7, 65, 203, 300):
         assert list(kernels.sliding_min(x, width)) == [x[i : i + width].min() for i in range(len(x) - width + 1)]
+
+
+def test_packing_encodes_long_white_space(spark):
+    from causeway.llm.packing import encoder_of, vocabulary
+
+    encoder = encoder_of(vocabulary())
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + "\t" * 800_000 + "b", "a  b \n"):
+        assert encoder(text).tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
