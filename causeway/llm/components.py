@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import durable
+from .frames import durable, partitions
+
+
+def _attach(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """rows (u, v) with m of their u, from least (u, m, k).
+
+    A node with over hub rows would put them all into one task. There are at most
+    rows / hub of those, a few for each task, so they are broadcast and their rows
+    stay where they are; the rest meet by a shuffle.
+    """
+    hubs = F.broadcast(least.filter(F.col("k") > hub).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("k") <= hub).select("u", "m"), "u")
+    return rows.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,16 +26,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     links: two long columns. Alternates two star steps (hang larger neighbours on
     the smallest; hang smaller ones and itself on the smallest) until every node
     hangs on one other that hangs on none, which takes a number of rounds
-    logarithmic in the longest path.
+    logarithmic in the longest path. A node with a large share of all links is no
+    one task's.
     """
     a, b = (F.col(f"`{c}`") for c in links.columns[:2])
+    tasks = partitions(links.sparkSession)
     links = durable(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
+        hub = max(1000, links.count() // (8 * tasks))
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = durable(_attach(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = _attach(large, small_least, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
         links = durable(small.distinct())
         nodes = links.union(links.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
         if nodes.filter("m < u and k > 1").isEmpty():

@@ -62,3 +62,11 @@ def test_large_families_are_cut_and_hubs_are_turned(spark, monkeypatch):
     for r in binned:
         by.setdefault(r.bin, []).append(r)
     assert len(by) > 20 and max(map(len, by.values())) < 100
+
+
+def test_components_with_hubs_and_long_paths(spark):
+    from causeway.llm.components import connected_components
+
+    links = [(5000, k) for k in range(5001, 7500)] + [(k, 4999) for k in range(8000, 10000)] + [(5000, 9999)] + [(k + 1, k) for k in range(20000, 20040)] + [(7, 7)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: 4999 for x in {4999, *range(5000, 7500), *range(8000, 10000)}} | {x: 20000 for x in range(20000, 20041)}
