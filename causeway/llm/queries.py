@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, quality, suffix_dedup, topk, window_dedup
+from . import exact_dedup, html_text, language_id, mixing, ngram_join, packing, periodic, quality, spelling, suffix_dedup, topk, vector_dedup, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.find_runs(_table(spark, sf_dir, "documents"), one_in=10))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 _OP2 = r"""
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 places AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM texts),
@@ -127,10 +139,87 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+# CRC-32 over a list of bytes; the table comes from its polynomial.
+_CRC = """
+crc_steps AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS steps)"""
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform({}, lambda x: x::UBIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::INTEGER + 1])), 4294967295::UBIGINT)"
+
+_OP11 = (
+    "WITH RECURSIVE"
+    + _CRC
+    + r""",
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, list_concat(list_transform(string_split(doc_id::VARCHAR || ':', ''), lambda x: unicode(x)),
+    flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))) AS b
+  FROM each),
+hashed AS (SELECT run, n, """
+    + _CRC_OF.format("b")
+    + r""" AS h FROM bytes, crc_steps),
+lessened AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM lessened WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM places),
+shorter AS (SELECT DISTINCT holes.word AS a, holes.n AS na, words.word AS b, words.n AS nb FROM holes JOIN words ON words.word = head || tail),
+replaced AS (SELECT x.word AS a, x.n AS na, y.word AS b, y.n AS nb FROM holes x JOIN holes y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word),
+near AS (SELECT a, b, nb FROM shorter UNION ALL SELECT b, a, na FROM shorter UNION ALL SELECT a, b, nb FROM replaced),
+best AS (SELECT a AS word, count(*) AS n_near, min({'less': -nb, 'other': b}) AS best FROM near GROUP BY a),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 10 * n THEN best.other END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS up, 0 AS k FROM forms UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON chain.up = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(up, k) AS root FROM chain GROUP BY word)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN roots USING (word)
+"""
+)
+
+_OP12 = (
+    "WITH"
+    + _CRC
+    + r""",
+split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+hashed AS (SELECT doc_id, w, len(w) AS n, """
+    + _CRC_OF.format("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x))")
+    + r"""::BIGINT AS h FROM split, crc_steps),
+begun AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n END AS a FROM hashed),
+texts AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w
+  FROM begun),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+equal AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM equal),
+found AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM found GROUP BY doc_id, s, l),
+sums AS (
+  SELECT doc_id, count(*) AS n_runs, min({'less': -l, 's': s, 'q': q}) AS best, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, list({'b': s + q, 'e': s + l}) AS gone
+  FROM runs GROUP BY doc_id)
+SELECT texts.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS "start", (-best.less)::BIGINT AS length, best.q::BIGINT AS period, ((-1000 * best.less) // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(n)), lambda z: len(list_filter(gone, lambda r: r.b <= z[2] AND z[2] < r.e)) = 0), lambda z: z[1]) END, ' ')) AS collapsed_sha256
+FROM texts LEFT JOIN sums USING (doc_id)
+"""
+)
+
+_OP13 = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sides AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) >= 0.93 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
+counts AS (SELECT p, count(*) AS n FROM sides GROUP BY p),
+reach AS (SELECT p, p AS q FROM counts UNION SELECT reach.p, sides.q FROM reach JOIN sides ON reach.q = sides.p),
+least AS (SELECT p, min(q) AS m FROM reach GROUP BY p)
+SELECT vec_id, coalesce(counts.n, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, vec_id = coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON counts.p = vec_id LEFT JOIN least ON least.p = vec_id
+"""
+
+
 def queries() -> dict:
-    names = (op1_language_id, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_substring_dedup, op5_source_mixing, op6_html_extraction, op7_best_fit_packing, op8_exact_top_k, op9_exact_dedup, op10_quality_classifier)
+    names = (op1_language_id, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_substring_dedup, op5_source_mixing, op6_html_extraction, op7_best_fit_packing, op8_exact_top_k, op9_exact_dedup, op10_quality_classifier, op11_spelling_variants, op12_periodic_runs, op13_embedding_near_dedup)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": _OP2, "op3_ngram_jaccard_join": _OP3, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9}
+    return {"op2_suffix_array_dedup": _OP2, "op3_ngram_jaccard_join": _OP3, "op4_substring_dedup": _OP4, "op8_exact_top_k": _OP8, "op9_exact_dedup": _OP9, "op11_spelling_variants": _OP11, "op12_periodic_runs": _OP12, "op13_embedding_near_dedup": _OP13}
