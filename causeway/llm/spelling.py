@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import chunks, durable, releasing, texts_of
@@ -131,17 +131,26 @@ def bigram_order(words: DataFrame) -> np.ndarray:
     return rank
 
 
-def postings(words: list[str], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def codes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words' code points, a byte each, and where each word begins and ends."""
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = raw[offsets[0] : offsets[-1]]
+    lead = raw == 0xC3
+    codes = raw + np.uint8(0x40) * np.concatenate([[False], lead[:-1]])
+    edges = np.concatenate([[0], np.cumsum(~lead)])[offsets - offsets[0]]
+    return codes[~lead], edges[:-1], edges[1:]
+
+
+def postings(words: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, key) of every group that a word enters: its three rarest bigrams, each with an equal side and an equal half.
 
-    A key of length s joins words whose edited side has s or s + 1 code points.
+    Halves are those of an edited side of s code points, where s is the word's own or,
+    as the word may be the longer one, one less. Most of the latter are the same, and posted once.
     """
-    text = [w.encode("latin-1") for w in words]
-    codes = np.frombuffer(b"".join(text), dtype=np.uint8)
-    size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
-    ends = np.cumsum(size)
-    firsts = ends - size
-    word = np.repeat(np.arange(len(text)), size - 1)
+    codes, firsts, ends = codes_of(words)
+    size = ends - firsts
+    word = np.repeat(np.arange(len(size)), size - 1)
     pos = ramp(size - 1)
     at = firsts[word] + pos
     gram = codes[at].astype(np.int64) << 8 | codes[at + 1]
@@ -155,64 +164,62 @@ def postings(words: list[str], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray
         left = (begin, begin + pos), (begin + pos + 2, end)
         (e0, e1), (x0, x1) = left if side == 0 else left[::-1]
         fixed = span_hash(prefix, x0, x1, 0) ^ mix((gram * 2 + side).astype(U64))
-        for less in (0, 1):
-            s = e1 - e0 - less
-            half = s // 2
-            for inner in (0, 1):
-                ok = np.flatnonzero(s >= inner)  # of an empty side one half says all
-                a = (e0 if inner == 0 else e1 - (s - half))[ok]
-                b = (e0 + half if inner == 0 else e1)[ok]
-                key = mix(fixed[ok] + mix(span_hash(prefix, a, b, 0) + (s[ok] * 2 + inner).astype(U64)))
-                out.append((word[ok], key))
+        n = e1 - e0
+        for inner in (0, 1):
+            half = (n + inner) // 2  # of the outer end the smaller half, of the inner end the larger
+            less = np.maximum(n - 1 + inner, 0) // 2
+            for h, ok in ((half, n >= inner), (less, (n >= 1 + inner) & (less != half))):  # of an empty side one half says all
+                k = np.flatnonzero(ok)
+                a, b = (e0, e0 + h) if inner == 0 else (e1 - h, e1)
+                key = mix(fixed[k] + mix(span_hash(prefix, a[k], b[k], 0) + (h[k] * 2 + inner).astype(U64)))
+                out.append((word[k], key))
     return np.concatenate([w for w, _ in out]), np.concatenate([k for _, k in out])
 
 
-def near(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Which words of a and b, pair by pair, differ by exactly one inserted, deleted or replaced code point."""
-    codes = np.frombuffer(b"".join(a) + b"".join(b), dtype=np.uint8)
-    size = np.fromiter(map(len, a + b), dtype=np.int64, count=2 * len(a))
-    ends = np.cumsum(size)
-    (xe, ye), (xn, yn) = np.split(ends, 2), np.split(size, 2)
-    same = {}
-    for way, x, y in ((1, xe - xn, ye - yn), (-1, xe - 1, ye - 1)):
-        n, active = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
-        most = np.minimum(xn, yn)
+def near(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs i, j of words differ by exactly one inserted, deleted or replaced code point."""
+    xn, yn = (end - begin)[i], (end - begin)[j]
+    most, same = np.minimum(xn, yn), []
+    for way, x, y in ((1, begin[i], begin[j]), (-1, end[i] - 1, end[j] - 1)):
+        n, active = np.zeros(len(i), dtype=np.int64), np.arange(len(i))
         while len(active):
             active = active[n[active] < most[active]]
             active = active[codes[x[active] + way * n[active]] == codes[y[active] + way * n[active]]]
             n[active] += 1
-        same[way] = n
-    longest = np.maximum(xn, yn)
-    equal = (xn == yn) & (same[1] == xn)
-    return (np.abs(xn - yn) <= 1) & ~equal & (same[1] + same[-1] >= longest - 1)
+        same.append(n)
+    equal = (xn == yn) & (same[0] == xn)
+    return (np.abs(xn - yn) <= 1) & ~equal & (same[0] + same[1] >= np.maximum(xn, yn) - 1)
 
 
 def near_pairs(words: DataFrame, tile: int = TILE) -> DataFrame:
-    """(word, other, n) for both directions of every near pair of (word, n), n being the other's; each once."""
+    """(a, b, n_a, n_b) of every near pair of (word, n), a before b; each once."""
     rank = bigram_order(words)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                which, key = postings(part.column(0).to_pylist(), rank)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which))], ["key", "word", "n"])
+                which, key = postings(part.column(0), rank)
+                at = pa.array(which)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at)], ["key", "word", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, key, cross in grouped(batches):
-            words, n = [w.encode("latin-1") for w in table.column("word").to_pylist()], table.column("n").to_numpy()
-            size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            for i, j in candidate_pairs(key, cross):
+        for table, number, place in grouped(batches):
+            word, n = table.column("word"), table.column("n")
+            codes, begin, end = codes_of(word)
+            size = end - begin
+            for i, j in candidate_pairs(number, place):
                 fit = np.abs(size[i] - size[j]) <= 1
                 i, j = i[fit], j[fit]
-                met = near([words[k] for k in i.tolist()], [words[k] for k in j.tolist()])
-                i, j = np.concatenate([i[met], j[met]]), np.concatenate([j[met], i[met]])
-                strings = table.column("word")
-                yield pa.RecordBatch.from_arrays([strings.take(pa.array(i)), strings.take(pa.array(j)), pa.array(n[j])], ["word", "other", "n"])
+                met = near(codes, begin, end, i, j)
+                i, j = pa.array(i[met]), pa.array(j[met])
+                yield pa.RecordBatch.from_arrays([word.take(i), word.take(j), n.take(i), n.take(j)], ["a", "b", "n_a", "n_b"])
 
     posted = words.select("word", "n").mapInArrow(post, "key long, word string, n long")
-    found = tiled(posted, "key", F.xxhash64("word"), tile).mapInArrow(releasing(verify), "word string, other string, n long")
-    return found.groupBy("word", "other").agg(F.max("n").alias("n"))
+    # A word of seven code points and more enters at most 24 groups.
+    found = tiled(posted, "key", F.xxhash64("word"), tile, 24 * words.count()).mapInArrow(releasing(verify), "a string, b string, n_a long, n_b long")
+    swap = F.col("a") > F.col("b")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.when(swap, F.col("n_b")).otherwise(F.col("n_a"))).alias("n_a"), F.max(F.when(swap, F.col("n_a")).otherwise(F.col("n_b"))).alias("n_b"))
 
 
 def last_form(forms: DataFrame) -> DataFrame:
@@ -241,8 +248,8 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if least < 4:
         raise ValueError("shorter near words may share none of their three rarest bigrams")
     words = durable(count_words(docs, id_col, text_col, least, one_in).filter(F.col("n") >= least_n))
-    best: Column = F.min(F.struct((-F.col("n")).alias("less"), F.col("other").alias("other")))
-    by = near_pairs(words, tile).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
+    sides = F.array(F.struct(F.col("a").alias("word"), (-F.col("n_b")).alias("less"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), (-F.col("n_a")).alias("less"), F.col("a").alias("other")))
+    by = near_pairs(words, tile).select(F.inline(sides)).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct("less", "other")).alias("best"))
     all_words = durable(words.join(by, "word", "left"))
     formed = -F.col("best.less") >= times * F.col("n")
     all_words = all_words.select(

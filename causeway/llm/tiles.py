@@ -1,6 +1,6 @@
 """Groups whose members are compared pair by pair: small ones whole, large ones in pairs of tiles.
 
-A group over `size` members is cut into tiles by a hash, and every pair of its tiles is a
+A group over `size` members (or in a bucket of groups with as many) is cut into tiles by a hash, and every pair of its tiles is a
 group of its own, which some task compares. No task so holds more than two tiles, and
 members travel as often as their group has tiles: once, unless it is hot.
 """
@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 PLACE = ["tile_a", "tile_b", "mine"]
 
 
-def tiled(rows: DataFrame, key: str, salt: Column, size: int) -> DataFrame:
+def tiled(rows: DataFrame, key: str, salt: Column, size: int, total: int) -> DataFrame:
     """rows with (tile_a, tile_b, mine), dealt and sorted so that each pair of tiles lies together.
 
-    Only groups over `size` rows are looked up, of which there are at most rows / size.
+    total: a bound on the number of rows. Rows are counted by buckets of keys that hold
+    few each, merged where they are made; a bucket over `size` rows, of which there are at
+    most total / size, has all its keys cut into as many tiles as its rows fill. Those few
+    buckets are broadcast if they are under a million, and met by a shuffle otherwise.
     """
-    hot = rows.groupBy(key).count().filter(F.col("count") > size).select(key, F.ceil(F.col("count") / size).cast("int").alias("tiles"))
-    placed = rows.withColumn("salt", salt).join(hot, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    bucket = F.pmod(F.col(key), F.lit(max(4096, 10 * total // size)))
+    hot = rows.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > size).select("bucket", F.ceil(F.col("count") / size).cast("int").alias("tiles"))
+    placed = rows.withColumn("salt", salt).withColumn("bucket", bucket).join(F.broadcast(hot) if total // size < 10**6 else hot, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     mine = placed.withColumn("mine", F.pmod("salt", "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     sides = mine.select(*rows.columns, F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"), "mine")
     return sides.repartition(key, "tile_a", "tile_b").sortWithinPartitions(key, *PLACE)

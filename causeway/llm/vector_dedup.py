@@ -150,7 +150,7 @@ def linked(x: np.ndarray, nearest: np.ndarray, pivot: int, tile: np.ndarray, lea
         yield a + i[ok], a + j[ok]
 
 
-def links(posts: DataFrame, least: float, tile: int) -> DataFrame:
+def links(posts: DataFrame, least: float, tile: int, total: int) -> DataFrame:
     """FOUND rows: (rep, null, n) says how many vectors of other classes link with those of rep; (rep, other, 0) are links that join all components."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def links(posts: DataFrame, least: float, tile: int) -> DataFrame:
                         other = pa.array([None] * len(some) + rep[root[tied]].tolist(), pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[some], rep[tied]])), other, pa.array(np.concatenate([count[some], 0 * tied]))], ["rep", "other", "n"])
 
-    return tiled(posts, "key", F.xxhash64("rep"), tile).mapInArrow(releasing(search), FOUND)
+    return tiled(posts, "key", F.xxhash64("rep"), tile, total).mapInArrow(releasing(search), FOUND)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, tile: int = TILE, most_pivots: int | None = None) -> DataFrame:
@@ -198,7 +198,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Labels and vectors are told by 128 bits of two hashes; a label alone by 64.
     rows = rows.select("vec_id", F.when(able, F.struct(F.xxhash64("given", "vector").alias("h"), F.xxhash64(F.lit(1), "vector", "given").alias("g"))).alias("same"), F.xxhash64("given").alias("label"), "vector")
     classes = durable(rows.filter("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")))
-    found = durable(links(posted(classes, pivots_of(classes, least, most_pivots), kind), least, tile))
+    found = durable(links(posted(classes, pivots_of(classes, least, most_pivots), kind), least, tile, NEAREST * classes.count()))
     counts = found.filter("other is null").groupBy("rep").agg(F.sum("n").alias("found"))
     components = connected_components(found.filter("other is not null").select("rep", "other"))
     each = classes.select("same", "rep", "n").join(counts, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from causeway.llm import kernels, periodic, spelling, tiles, vector_dedup
@@ -85,23 +86,23 @@ def test_three_rarest_bigrams_and_their_sides_miss_no_near_word():
     rank = np.zeros(1 << 16, dtype=np.int32)
     for k, g in enumerate(rng.sample(["aa", "ab", "ba", "bb"], 4)):
         rank[ord(g[0]) << 8 | ord(g[1])] = k
-    word, key = spelling.postings(words, rank)
+    word, key = spelling.postings(pa.array(words), rank)
     groups = collections.defaultdict(set)
     for w, k in zip(word.tolist(), key.tolist(), strict=True):
         groups[k].add(words[w])
     met = {(a, b) for g in groups.values() for a in g for b in g}
     pairs = [(a, b) for a in words for b in words if is_near(a, b)]
     assert len(pairs) > 500 and all(p in met for p in pairs)
-    a, b = zip(*[(rng.choice(words), rng.choice(words)) for _ in range(3000)], strict=True)
-    assert spelling.near([x.encode() for x in a], [x.encode() for x in b]).tolist() == [is_near(x, y) for x, y in zip(a, b, strict=True)]
+    some = [*words, "éÿ×", "éÿ", "éa×", "aéÿ×"]
+    i, j = (np.array([rng.randrange(len(some)) for _ in range(3000)] + [len(some) - 4] * 3 + [0]) for _ in "ab")
+    j[-4:] = [len(some) - 3, len(some) - 2, len(some) - 1, 0]
+    assert spelling.near(*spelling.codes_of(pa.array(["x", *some]).slice(1)), i, j).tolist() == [is_near(some[a], some[b]) for a, b in zip(i, j, strict=True)]
 
 
 def test_tiles_meet_once(spark):
     rows = spark.createDataFrame([(k % 3 if k % 3 else 0, k) for k in range(300)] + [(0, k) for k in range(300, 400)] + [(9, 500)], "key long, member long")
 
     def pairs(batches):
-        import pyarrow as pa
-
         for batch, number, tile in tiles.grouped(batches, rows=10):
             for i, j in tiles.candidate_pairs(number, tile, most=50):
                 m, k = batch.column(1).to_numpy(), batch.column(0).to_numpy()
@@ -109,7 +110,7 @@ def test_tiles_meet_once(spark):
 
     import pyspark.sql.functions as F
 
-    got = [tuple(r) for r in tiles.tiled(rows, "key", F.xxhash64("member"), 20).mapInArrow(pairs, "key long, a long, b long").collect()]
+    got = [tuple(r) for r in tiles.tiled(rows, "key", F.xxhash64("member"), 20, 401).mapInArrow(pairs, "key long, a long, b long").collect()]
     by = collections.defaultdict(list)
     for r in rows.collect():
         by[r.key].append(r.member)
