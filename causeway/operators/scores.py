@@ -131,6 +131,75 @@ def family_moments(df: DataFrame, columns: list[str], degree: int = 1) -> Moment
     return moments(df.withColumns(products), [*columns, *products])
 
 
+class FamilyFit:
+    """Scores of graphs and of variables given parents, for regressions of three kinds, all from one pass over the rows.
+
+    LR: on the parents. QR: on them and the products of two. GPR: a Gaussian process that
+    adds a smooth curve for each parent, with observation noise alpha, of standardised columns. Lower is
+    better; with equal variances the variables share one.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str], regression: str = "LR", equal_variances: bool = True, penalised: bool = True, alpha: float = 1.0):
+        self.columns, self.regression, self.equal, self.penalised, self.alpha = list(columns), regression, equal_variances, penalised, alpha
+        if regression == "GPR":
+            from causeway.operators.lowrank import curve_moments
+
+            self.m, self.blocks = curve_moments(df, columns)
+        else:
+            self.m = family_moments(df, columns, 2 if regression == "QR" else 1)
+        self._at = {c: i for i, c in enumerate(self.m.columns)}
+        self._known: dict[tuple[int, frozenset], float] = {}
+
+    def residual(self, y: int, parents) -> float:
+        """Mean square that is left of y."""
+        key = (int(y), frozenset(int(p) for p in parents))
+        if key not in self._known:
+            self._known[key] = max(self._residual(key[0], sorted(key[1])), 1e-12)
+        return self._known[key]
+
+    def _residual(self, y: int, parents: list[int]) -> float:
+        if not parents:
+            return float(self.m.cov[y, y])
+        if self.regression == "GPR":
+            at = [k for p in parents for k in self.blocks[p]]
+            gram, b = self.m.cov[np.ix_(at, at)], self.m.cov[at, y]
+            w = np.linalg.solve(gram + self.alpha / self.m.n * np.eye(len(at)), b)
+            return float(self.m.cov[y, y] - 2 * w @ b + w @ gram @ w)
+        names = [self.columns[p] for p in parents]
+        if self.regression == "QR":
+            names += [f"{a}*{b}" for k, a in enumerate(names) for b in names[k:]]
+        return self.m.residual_variance(y, [self._at[c] for c in names])
+
+    def term(self, y: int, parents) -> float:
+        """What a variable adds to the score of a whole ordering."""
+        r = self.residual(y, parents)
+        return r / np.trace(self.m.cov[: len(self.columns), : len(self.columns)]) if self.equal else math.log(r + 1e-8)
+
+    def parts(self, graphs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each graph what is left of each variable, and the penalty of the edges into it."""
+        left = np.array([[self.residual(j, np.flatnonzero(g[:, j])) for j in range(len(g))] for g in graphs])
+        edges = graphs.sum(axis=1) * math.log(self.m.n) / self.m.n * self.penalised
+        return left, edges / graphs.shape[1] if self.equal else edges
+
+    def total(self, parents: list[tuple], nodes=None) -> float:
+        """The score of a graph given as the parents of its nodes."""
+        nodes = range(len(parents)) if nodes is None else nodes
+        left = np.array([self.residual(y, p) for y, p in zip(nodes, parents, strict=True)])
+        edges = sum(len(p) for p in parents) * math.log(self.m.n) / self.m.n * self.penalised
+        return math.log(left.sum() + 1e-8) + edges / len(left) if self.equal else float(np.log(left + 1e-8).sum() + edges)
+
+    def graph(self, g: np.ndarray) -> float:
+        return self.total([tuple(np.flatnonzero(g[:, j]).tolist()) for j in range(len(g))])
+
+    def bounds(self) -> tuple[float, float]:
+        """Unpenalised scores with all edges and with none."""
+        d, keep = len(self.columns), self.penalised
+        self.penalised = False
+        out = self.total([tuple(p for p in range(d) if p != j) for j in range(d)]), self.total([()] * d)
+        self.penalised = keep
+        return out
+
+
 def total_effect(m: Moments, source: int, target: int, parents: list[int]) -> float:
     """Coefficient of source in the regression of target on source and its parents."""
     return float(m.coefficients(target, [source, *[p for p in parents if p != source]])[0])

@@ -12,17 +12,13 @@ from pyspark.sql import functions as F
 
 from causeway.functions.columns import ENTROPY_GAMMA, ENTROPY_K1, ENTROPY_K2
 from causeway.operators.frame import replicates
+from causeway.operators.lowrank import kernel_information, numbers
 from causeway.operators.moments import Moments, moments
 from causeway.operators.scores import total_effect
 from causeway.plans.base import Graph, Learner, learner
 from causeway.plans.dense import assign, cut_to_dag, lasso_bic, order_of
 
 
-def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns as doubles, of the rows that have them all."""
-    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop("any")
-
-
 def batch_sums(df: DataFrame, columns: list[str], f, size: int) -> np.ndarray:
     """Sum over all rows of f(batch matrix) -> vector of this size: one pass, partial sums in the tasks."""
     rows = numbers(df, columns)
@@ -54,57 +50,6 @@ def entropies(df: DataFrame, m: Moments, vectors: np.ndarray) -> np.ndarray:
     return (1 + np.log(2 * np.pi)) / 2 - ENTROPY_K1 * (sums[:k] - ENTROPY_GAMMA) ** 2 - ENTROPY_K2 * sums[k:] ** 2
 
 
-def kernel_information(df: DataFrame, m: Moments, left: np.ndarray, right: list[np.ndarray], features: int = 16, seed: int = 0) -> list[np.ndarray]:
-    """Kernel mutual information of each linear combination (column of left) with those of its right matrix.
-
-    Gaussian kernels as random cosine features: one pass gives the features' moments, and the information is
-    that of the regularised canonical correlations. Kernel width and regulariser follow the number of rows.
-    """
-    #: Fixed values of the method: width and regulariser up to a thousand rows, and beyond.
-    width, kappa = (1.0, 2e-2) if m.n <= 1000 else (0.5, 2e-3)
-    rng = np.random.default_rng(seed)
-    waves, phases = rng.normal(0, 1 / width, features), rng.uniform(0, 2 * np.pi, features)
-
-    def scaled(v: np.ndarray) -> np.ndarray:
-        return v / np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", v, m.cov, v), 1e-300))
-
-    one, many = scaled(left), [scaled(r) for r in right]
-
-    def cosines(u: np.ndarray) -> np.ndarray:
-        return np.cos(u[..., None] * waves + phases) * np.sqrt(2 / features)
-
-    def f(x: np.ndarray, step: int = 2048) -> np.ndarray:
-        total = np.zeros(size)
-        for begin in range(0, len(x), step):
-            rows, parts = x[begin : begin + step] - m.mean, []
-            for k, r in enumerate(many):
-                a, b = cosines(rows @ one[:, k]), cosines((rows @ r).T)  # (n, features), (variables, n, features)
-                parts += [a.sum(axis=0), a.T @ a, b.sum(axis=1), a.T @ b, b.transpose(0, 2, 1) @ b]
-            total += np.concatenate([p.ravel() for p in parts])
-        return total
-
-    size = sum(features + features**2 + r.shape[1] * (features + 2 * features**2) for r in many)
-    sums, at, out = batch_sums(df, m.columns, f, size) / m.n, 0, []
-
-    def take(*shape: int) -> np.ndarray:
-        nonlocal at
-        at += int(np.prod(shape))
-        return sums[at - int(np.prod(shape)) : at].reshape(shape)
-
-    def shrunk(c: np.ndarray) -> np.ndarray:
-        values, vectors = np.linalg.eigh(c)
-        values = np.maximum(values, 0)
-        return vectors * (np.sqrt(values) / (values + kappa / 2)) @ vectors.T
-
-    for r in many:
-        j = r.shape[1]
-        mean_a, aa, mean_b, ab, bb = take(features), take(features, features), take(j, features), take(j, features, features), take(j, features, features)
-        root = shrunk(aa - np.outer(mean_a, mean_a))
-        s = [np.linalg.svd(root @ (ab[i] - np.outer(mean_a, mean_b[i])) @ shrunk(bb[i] - np.outer(mean_b[i], mean_b[i])), compute_uv=False) for i in range(j)]
-        out.append(np.array([-0.5 * np.log1p(-np.minimum(v, 1 - 1e-12) ** 2).sum() for v in s]))
-    return out
-
-
 def causal_order(df: DataFrame, m: Moments, prior: np.ndarray | None = None, measure: str = "pwling") -> list[int]:
     """Repeatedly the variable least dependent on its residuals; one pass over the rows for each."""
     d = len(m.columns)

@@ -7,36 +7,17 @@ from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from causeway.operators.frame import standardise
 from causeway.operators.independence import hsic_test
-from causeway.operators.moments import moments
+from causeway.operators.lowrank import process_residual
 from causeway.plans.base import Graph, Learner, learner
 
 
-def fourier_residual(df: DataFrame, x: str, y: str, features: int = 12, ridge: float = 1e-3, seed: int = 0) -> DataFrame:
-    """(x, residual) of a kernel ridge regression of y on x by random Fourier features.
-
-    The fit needs the moments of the features only, one pass; residuals are column
-    expressions.
-    """
-    rng = np.random.default_rng(seed)
-    rows = standardise(df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")).na.drop("any"), ["x", "y"])
-    waves = [F.cos(F.col("x") * float(w) + float(b)) for w, b in zip(rng.normal(0, 1, features), rng.uniform(0, 2 * np.pi, features), strict=True)]
-    names = [f"f{i}" for i in range(features)]
-    wide = rows.select("x", "y", *[w.alias(n) for w, n in zip(waves, names, strict=True)], F.col("x").alias("line"))
-    m = moments(wide, ["y", "line", *names])
-    b = np.linalg.solve(m.cov[1:, 1:] + ridge * np.eye(features + 1), m.cov[1:, 0])
-    fit = sum((float(c) * (F.col(n) - float(mean)) for c, n, mean in zip(b, ["line", *names], m.mean[1:], strict=True)), F.lit(float(m.mean[0])))
-    return wide.select("x", (F.col("y") - fit).alias("residual"))
-
-
 @learner
 class ANM(Learner):
     """regressor(df, x, y) -> (x, residual); test(df, x, y, alpha) -> 1 if independent. Both directions of a pair may hold."""
 
-    def __init__(self, alpha: float = 0.05, regressor: Callable[[DataFrame, str, str], DataFrame] = fourier_residual, test: Callable[[DataFrame, str, str, float], int] | None = None):
+    def __init__(self, alpha: float = 0.05, regressor: Callable[[DataFrame, str, str], DataFrame] = process_residual, test: Callable[[DataFrame, str, str, float], int] | None = None):
         self.alpha, self.regressor = alpha, regressor
         self.test = test or (lambda df, x, y, alpha: hsic_test(df, x, y, alpha)["independent"])
 
