@@ -33,7 +33,7 @@ U64 = np.uint64
 NEAREST, SHARED = 8, 2
 #: Components of all pivots together: 16 MB as doubles.
 PIVOT_ROOM = 1 << 21
-TILE = 2048
+TILE = 512
 POSTED = "key long, pivot int, rep long, n long, nearest array<int>, vector {}"
 FOUND = "rep long, other long, n long"
 
