@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import durable, partitions
+from .frames import forget, partitions, stored
 
 
 def _attach(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
@@ -27,19 +27,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     the smallest; hang smaller ones and itself on the smallest) until every node
     hangs on one other that hangs on none, which takes a number of rounds
     logarithmic in the longest path. A node with a large share of all links is no
-    one task's.
+    one task's. Tables of earlier rounds are deleted as soon as the next is written.
     """
     a, b = (F.col(f"`{c}`") for c in links.columns[:2])
-    tasks = partitions(links.sparkSession)
-    links = durable(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    spark = links.sparkSession
+    tasks = partitions(spark)
+    links, path = stored(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
         hub = max(1000, links.count() // (8 * tasks))
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("k"))
-        large = durable(_attach(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large, large_path = stored(_attach(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
         small = _attach(large, small_least, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
-        links = durable(small.distinct())
+        before, (links, path) = path, stored(small.distinct())
+        forget(spark, before, large_path)  # the new links are on disk
         nodes = links.union(links.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
         if nodes.filter("m < u and k > 1").isEmpty():
             break

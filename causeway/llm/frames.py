@@ -36,9 +36,21 @@ def durable(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again; for whole texts."""
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """As written(), with the table's path, for forget()."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder on which nothing depends that is still to be computed."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
