@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,9 @@ _SETS = {k: frozenset(v.split()) for k, v in {"raw": RAW, "unseen": UNSEEN, "cho
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_RAW = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(sorted(_SETS["raw"])), re.S | re.I)
-_UNSEEN = re.compile(r"<(%s)\b[^>]*(?<!/)>(?:(?!<\1\b).)*?</\1\s*>" % "|".join(sorted(_SETS["unseen"])), re.S | re.I)
+_RAW = re.compile(r"<(%s)\b" % "|".join(sorted(_SETS["raw"])), re.I)
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in _SETS["raw"]}
+_UNSEEN = re.compile(r"<(?:/(?P<end>{0})\s*>|(?P<start>{0})\b)".format("|".join(sorted(_SETS["unseen"]))), re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,11 +70,47 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def without_raw(page: str) -> str:
+    """The page with a space for each script and the like; one that is not closed goes on to the page's end. Each sign is passed once."""
+    kept, at, last = [], 0, page.rfind(">")
+    while (m := _RAW.search(page, at)) and m.start() < last:
+        end = _RAW_END[m[1].lower()].search(page, page.find(">", m.end()) + 1)
+        kept.append(page[at : m.start()])
+        at = end.end() if end else len(page)
+    kept.append(page[at:])
+    return " ".join(kept)
+
+
+def without_unseen(page: str) -> str:
+    """The page with a space for each element that holds no text of it, from the last of its starts before an end. Each sign is passed once."""
+    closes = np.flatnonzero(np.frombuffer(page.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == ord(">"))
+    spans, opened, tag_end = [], {}, -1
+    for m in _UNSEEN.finditer(page):
+        if m["end"]:
+            start = opened.pop(m["end"].lower(), None)
+            if start is not None:
+                spans.append((start, m.end()))
+        elif m.start() > tag_end:
+            k = int(np.searchsorted(closes, m.end()))
+            if k == len(closes):
+                break
+            tag_end = int(closes[k])
+            if page[tag_end - 1] != "/":
+                opened[m["start"].lower()] = m.start()
+    kept, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            kept.append(page[at:a])
+            at = b
+    kept.append(page[at:])
+    return " ".join(kept)
+
+
 class Lines:
     """Lines of a page: text, weight (0 for furniture and lines of links), in article or main or not, a paragraph of links or not."""
 
     def __init__(self, page: str):
-        page = _UNSEEN.sub(" ", _RAW.sub(" ", _COMMENT.sub("", page)))
+        page = without_unseen(without_raw(_COMMENT.sub("", page)))
         self.text: list[str] = []
         self.weight: list[int] = []
         self.core: list[bool] = []
@@ -80,6 +118,8 @@ class Lines:
         self._buffer: list[str] = []
         self._linked: list[str] = []
         stack: list[tuple[str, bool]] = []
+        depth: Counter[str] = Counter()
+        blocks: list[str] = []
         furniture = core = links = head = 0
         at = 0
 
@@ -93,7 +133,7 @@ class Lines:
                 text, linked = (" ".join(html.unescape("".join(x)).split()) for x in (self._buffer, self._linked))
                 if text:
                     unseen, mostly = furniture or head, 2 * len(linked) > len(text)
-                    block = next((x for x, _ in reversed(stack) if x in _SETS["blocks"]), "")
+                    block = blocks[-1] if blocks else ""
                     self.text.append(text)
                     self.weight.append(0 if unseen or mostly else len(text))
                     self.core.append(bool(core) and not furniture)
@@ -103,10 +143,14 @@ class Lines:
         def pop() -> None:
             nonlocal furniture, core
             name, bad = stack.pop()
+            depth[name] -= 1
+            if name in _SETS["blocks"]:
+                blocks.pop()
             furniture -= bad
             core -= name in ("article", "main")
 
-        for m in _TAG.finditer(page):
+        # After the last ">" there is no tag, and every start before it has an end: no start is scanned in vain.
+        for m in _TAG.finditer(page, 0, page.rfind(">") + 1):
             if m.start() > at:
                 push(page[at : m.start()])
             at = m.end()
@@ -125,13 +169,13 @@ class Lines:
             if name in _SETS["void"] or (attributes or "").endswith("/"):
                 continue
             if end:
-                if any(x == name for x, _ in stack):
+                if depth[name]:
                     while stack[-1][0] != name:
                         pop()
                     pop()
                 continue
             if name in ("article", "main"):  # an open menu or header above it was left unclosed
-                while any(x in ("nav", "header", "aside", "menu", "form", "ul", "ol", "li") for x, _ in stack):
+                while any(depth[x] for x in ("nav", "header", "aside", "menu", "form", "ul", "ol", "li")):
                     pop()
             if name in _SETS["blocks"] and name not in _SETS["choices"]:
                 while stack and stack[-1][0] in _SETS["choices"]:
@@ -141,6 +185,9 @@ class Lines:
             if name in _SETS["blocks"] or name in _SETS["furniture"] or attributes:
                 bad = _is_furniture(name, attributes or "", core > 0)
                 stack.append((name, bad))
+                depth[name] += 1
+                if name in _SETS["blocks"]:
+                    blocks.append(name)
                 furniture += bad
                 core += name in ("article", "main")
         if at < len(page):

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -185,3 +187,26 @@ def test_very_long_page():
     words = [f"w{random.Random(i).randint(0, 9999)}" for i in range(200_000)]
     page = "<nav>x</nav><article>" + "".join(f"<p>{' '.join(words[i : i + 50])}</p>" for i in range(0, len(words), 50)) + "</article>"
     assert html_text.main_text(page) == " ".join(words)
+
+
+@pytest.mark.parametrize(
+    "piece", ["a <b and ", "<b ", "<svg ", "<script ", "<svg>x", '<a "', "<a \"'>", "<!-- ", "<div>", "<div></p>", "<span x=1>a<br>", "</svg", "<math><svg>", "<object <b ", "<article><li>", "<select x><option>y"]
+)
+def test_malformed_pages_take_time_in_proportion(piece):
+    page = piece * (1_500_000 // len(piece))
+    for whole in (page, page + ">"):
+        began = time.process_time()
+        html_text.main_text(whole)
+        assert time.process_time() - began < 20
+
+
+def test_elements_without_text_by_their_pairs():
+    old = re.compile(r"<(%s)\b[^>]*(?<!/)>(?:(?!<\1\b).)*?</\1\s*>" % "|".join(sorted(html_text._SETS["unseen"])), re.S | re.I)
+    raw = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(sorted(html_text._SETS["raw"])), re.S | re.I)
+    rng = random.Random(4)
+    bits = ["<svg>", "</svg>", "<SVG a=1>", "</svg >", "<math>", "</math>", "x", "<p>", " > ", "<script>", "</script>", "<style ", "</style\n>", "<textarea>", "</textarea", "<svgx>", "é"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert html_text.without_unseen(page) == old.sub(" ", page), page
+        assert html_text.without_raw(page) == raw.sub(" ", page), page
+    assert html_text.without_unseen("a<svg x><svg/><p></svg>b<svg/>c</svg>") == "a b<svg/>c</svg>"
