@@ -70,3 +70,27 @@ def matrix_exponential(a: np.ndarray) -> np.ndarray:
     for _ in range(squarings):
         out = out @ out
     return out
+
+
+def beta_lower(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_lower(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value, c, d = 1.0, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    value = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or 1e-300)
+            c = 1 + term / c or 1e-300
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * value
+
+
+def f_tail(f: float, one: float, two: float) -> float:
+    """Probability that an F variable with these degrees of freedom is over f."""
+    return 1.0 if f <= 0 else beta_lower(two / 2, one / 2, two / (two + one * f))

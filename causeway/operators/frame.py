@@ -84,17 +84,21 @@ def residual(df: DataFrame, y: str, x: str, name: str = "residual") -> DataFrame
     return df.join(F.broadcast(stats), F.lit(1) == F.col("_one")).withColumn(name, F.col(f"`{y}`") - F.col("_b") * F.col(f"`{x}`")).drop("_b", "_one")
 
 
+def poisson_weight(seed: int, replicate: Column, key: list[str]) -> Column:
+    """How often, by a Poisson(1) draw, a row counts in a replicate: a hash of its key decides."""
+    #: Cumulative probabilities of Poisson(1).
+    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+    u = F.pmod(F.xxhash64(F.lit(seed), replicate, *[F.col(f"`{k}`") for k in key]), F.lit(1 << 40)) / float(1 << 40)
+    return sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+
+
 def replicates(df: DataFrame, n: int, key: list[str], seed: int = 0, columns: list[str] | None = None) -> DataFrame:
     """Poisson bootstrap: (replicate, weight, columns...) with each row weighing a Poisson(1) number of times.
 
     Draws depend on the row's key and the seed only, so any partitioning gives the
     same replicates, and all of them come from one pass without a shuffle.
     """
-    #: Cumulative probabilities of Poisson(1).
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), *[F.col(f"`{k}`") for k in key]), F.lit(1 << 40)) / float(1 << 40)
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("weight", weight)
+    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("weight", poisson_weight(seed, F.col("replicate"), key))
     return rows.filter("weight > 0").select("replicate", "weight", *[F.col(f"`{c}`") for c in columns or df.columns])
 
 

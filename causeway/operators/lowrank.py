@@ -34,14 +34,14 @@ def matrix_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
 
 
-def batch_totals(rows: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int, step: int = 2048) -> np.ndarray:
+def batch_totals(rows: DataFrame, f: Callable[..., np.ndarray], size: int, step: int = 2048, read: Callable[[pa.RecordBatch], object] = matrix_of) -> np.ndarray:
     """Sum over all rows of f(matrix of some rows): one vector a task, added up in two levels of groups."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             for a in range(0, batch.num_rows, step):
-                total += f(matrix_of(batch.slice(a, step)))
+                total += f(read(batch.slice(a, step)))
         yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:

@@ -26,6 +26,9 @@ class Score:
     def local(self, y: int, parents: list[int]) -> float:
         raise NotImplementedError
 
+    def prepare(self, families) -> None:
+        """Told which (y, parents) will be asked for next; a score that reads rows may answer them together."""
+
 
 class BIC(Score):
     """Gaussian BIC from moments: by residual variance ('scatter') or by 1 - r squared ('r2')."""
@@ -45,31 +48,37 @@ class BIC(Score):
 class BDeu(Score):
     """Bayesian Dirichlet score of discrete columns, structure prior k and sample size N.
 
-    Each family asks Spark once for its counts: one row a parent configuration and level.
+    All families that a search step asks for are counted by one aggregation; counts of a task are merged before they
+    are sent. Levels are told apart by their text.
     """
 
     def __init__(self, df: DataFrame, columns: list[str], k: float = 0.001, size: float = 10.0):
         super().__init__()
-        self.df, self.columns, self.k, self.size = df.select(*[F.col(f"`{c}`") for c in columns]), columns, k, size
+        self.df, self.columns, self.k, self.size, self.jobs = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]), columns, k, size, 0
         row = self.df.agg(*[F.countDistinct(F.col(f"`{c}`")) for c in columns]).first()
         self.levels = list(row)
 
-    def counts(self, y: int, parents: list[int]) -> DataFrame:
-        names = [self.columns[p] for p in parents]
-        return self.df.groupBy(*[F.col(f"`{c}`") for c in names], F.col(f"`{self.columns[y]}`")).agg(F.count(F.lit(1)).alias("n_ijk"))
-
     def local(self, y: int, parents: list[int]) -> float:
-        r = self.levels[y]
-        q = math.prod(self.levels[p] for p in parents)
-        names = [self.columns[p] for p in parents]
-        cells = self.counts(y, parents).groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.collect_list("n_ijk").alias("ns"))
-        # Configurations that no row has add nothing: both of their terms are 0.
-        shapes = cells.select(F.array_sort("ns").alias("ns")).groupBy("ns").agg(F.count(F.lit(1)).alias("times")).collect()
-        out = (r - 1) * q * math.log(self.k)
-        for s in shapes:
-            of_j = math.lgamma(self.size / q) - math.lgamma(sum(s["ns"]) + self.size / q)
-            out += s["times"] * (of_j + sum(math.lgamma(n + self.size / (r * q)) - math.lgamma(self.size / (r * q)) for n in s["ns"]))
-        return out
+        self.prepare([(y, parents)])
+        return self._known[y, frozenset(parents)]
+
+    def prepare(self, families) -> None:
+        new = sorted({(y, tuple(sorted(set(p)))) for y, p in families} - {(y, tuple(sorted(p))) for y, p in self._known})
+        for a in range(0, len(new), 500):
+            part = new[a : a + 500]
+            self.jobs += 1
+            asked = [F.struct(F.lit(f).alias("family"), F.array(*[F.col(f"`{self.columns[p]}`") for p in parents]).cast("array<string>").alias("given"), F.col(f"`{self.columns[y]}`").alias("level")) for f, (y, parents) in enumerate(part)]
+            cells = self.df.select(F.inline(F.array(*asked))).groupBy("family", "given", "level").agg(F.count(F.lit(1)).alias("n"))
+            # Configurations of like counts give like terms, so of each family only the different ones come back.
+            shapes = cells.groupBy("family", "given").agg(F.array_sort(F.collect_list("n")).alias("ns")).groupBy("family", "ns").agg(F.count(F.lit(1)).alias("times")).collect()
+            for f, (y, parents) in enumerate(part):
+                r, q = self.levels[y], math.prod(self.levels[p] for p in parents)
+                # Configurations that no row has add nothing: both of their terms are 0.
+                out = (r - 1) * q * math.log(self.k)
+                for s in (s for s in shapes if s["family"] == f):
+                    of_j = math.lgamma(self.size / q) - math.lgamma(sum(s["ns"]) + self.size / q)
+                    out += s["times"] * (of_j + sum(math.lgamma(n + self.size / (r * q)) - math.lgamma(self.size / (r * q)) for n in s["ns"]))
+                self._known[y, frozenset(parents)] = out
 
 
 def bic_frame(df: DataFrame, y: str, x: str | None = None) -> DataFrame:

@@ -43,13 +43,16 @@ def sparse_acyclic(loss: Loss, d: int, lambda1: float, rounds: int, h_tol: float
         return w
 
     def inner(rho: float, alpha: float, x: np.ndarray) -> np.ndarray:
-        def f(x: np.ndarray) -> tuple[float, np.ndarray]:
-            w = matrix(x)
-            value, grad = loss(w)
-            h, grad_h = acyclicity_power(w)
+        def penalised(x: np.ndarray, value: float, grad: np.ndarray) -> tuple[float, np.ndarray]:
+            h, grad_h = acyclicity_power(matrix(x))
             smooth = (grad + (rho * h + alpha) * grad_h)[off]
             return value + 0.5 * rho * h * h + alpha * h + lambda1 * x.sum(), np.concatenate([smooth, -smooth]) + lambda1
 
+        def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+            return penalised(x, *loss(matrix(x)))
+
+        if hasattr(loss, "many"):
+            f.many = lambda points: [penalised(x, *got) for x, got in zip(points, loss.many([matrix(x) for x in points]), strict=True)]
         return minimise(f, x, 0.0, steps)
 
     return matrix(augmented_lagrangian(inner, lambda x: acyclicity_power(matrix(x))[0], np.zeros(2 * d * (d - 1)), rounds, h_tol, rho_max))
@@ -66,22 +69,29 @@ def quadratic_loss(gram: np.ndarray) -> Loss:
 
 
 def row_loss(df: DataFrame, columns: list[str], kind: str, n: int) -> Loss:
-    """Logistic or Poisson loss and its gradient, summed over the rows by Spark at each evaluation."""
+    """Logistic or Poisson loss and its gradient, summed over the rows by Spark; many() does so at several matrices in one pass."""
     d = len(columns)
 
-    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+    def many(ws: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         def part(x: np.ndarray) -> np.ndarray:
-            z = x @ w
-            if kind == "logistic":
-                value, slope = (np.logaddexp(0, z) - x * z).sum(), 1 / (1 + np.exp(-z)) - x
-            else:
-                s = np.exp(np.minimum(z, 50))
-                value, slope = (s - x * z).sum(), s - x
-            return np.concatenate([[value], (x.T @ slope).ravel()])
+            out = []
+            for w in ws:
+                z = x @ w
+                if kind == "logistic":
+                    value, slope = (np.logaddexp(0, z) - x * z).sum(), 1 / (1 + np.exp(-z)) - x
+                else:
+                    s = np.exp(np.minimum(z, 50))
+                    value, slope = (s - x * z).sum(), s - x
+                out += [[value], (x.T @ slope).ravel()]
+            return np.concatenate(out)
+
+        sums = batch_sums(df, columns, part, len(ws) * (1 + d * d)).reshape(len(ws), -1) / n
+        return [(float(s[0]), s[1:].reshape(d, d)) for s in sums]
 
-        sums = batch_sums(df, columns, part, 1 + d * d) / n
-        return float(sums[0]), sums[1:].reshape(d, d)
+    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+        return many([w])[0]
 
+    f.many = many
     return f
 
 

@@ -1,5 +1,4 @@
-"""Nonlinear learners by likelihood: paths through a network for every variable, a variational autoencoder over a
-linear graph, and post-nonlinear models of pairs. All train in the tasks, by neural.average_training()."""
+"""Post-nonlinear models of pairs, trained in the tasks by neural.average_training()."""
 
 from __future__ import annotations
 
@@ -9,153 +8,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.tails import matrix_exponential
-from causeway.operators.frame import standardise
 from causeway.operators.independence import hsic_test
 from causeway.plans.base import Graph, Learner, learner
-from causeway.plans.dense import acyclicity
-from causeway.plans.lingam import batch_sums, numbers
-from causeway.plans.neural import Step, _Network, average_training
-
-
-@learner
-class GraNDAG(_Network):
-    """Each variable is Gaussian about the output of its own network (one hidden layer) over the others.
-
-    During training the strength of an edge is the sum over paths of absolute weights, which h = tr(exp) - d makes
-    acyclic. In the end edges are judged by the mean absolute derivative over the rows.
-    """
-
-    def _split(self, x: np.ndarray, d: int):
-        m = self.hidden
-        cuts = np.cumsum([d * d * m, d * m, d * m, d])
-        a, b, c, c0, s = np.split(x, cuts)
-        return a.reshape(d, d, m), b.reshape(d, m), c.reshape(d, m), c0, s
-
-    def start(self, d: int, rng: np.random.Generator) -> np.ndarray:
-        m = self.hidden
-        return np.concatenate([rng.normal(0, 0.3, d * d * m), np.zeros(d * m), rng.normal(0, 0.3, d * m), np.zeros(2 * d)])
-
-    def weights(self, x: np.ndarray, d: int) -> np.ndarray:
-        a, _, c, _, _ = self._split(x, d)
-        return np.einsum("ijm,jm->ij", np.abs(a), np.abs(c)) * (1 - np.eye(d))
-
-    @staticmethod
-    def constraint(w: np.ndarray) -> tuple[float, np.ndarray]:
-        e = matrix_exponential(w)
-        return float(np.trace(e) - len(w)), e.T
-
-    def gradient(self, d: int) -> Step:
-        lambda1, split, off, constraint = self.lambda1, self._split, (1 - np.eye(d))[:, :, None], self.constraint
-
-        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float) -> np.ndarray:
-            a, b, c, c0, s = split(x, d)
-            a, s = a * off, np.clip(s, -5, 5)
-            t = np.tanh(np.einsum("ni,ijm->njm", data, a) + b)
-            gap = np.einsum("njm,jm->nj", t, c) + c0 - data
-            slope = gap * np.exp(-2 * s) / len(data)
-            back = slope[:, :, None] * c * (1 - t * t)
-            h, grad_h = constraint(np.einsum("ijm,jm->ij", np.abs(a), np.abs(c)))
-            of_path = ((rho * h + alpha) * grad_h + lambda1)[:, :, None] * off
-            g_a = np.einsum("ni,njm->ijm", data, back) * off + of_path * np.sign(a) * np.abs(c)
-            g_c = np.einsum("nj,njm->jm", slope, t) + np.sign(c) * (of_path * np.abs(a)).sum(axis=0)
-            g_s = 1 - (gap * gap).mean(axis=0) * np.exp(-2 * s)
-            return np.concatenate([g_a.ravel(), back.sum(axis=0).ravel(), g_c.ravel(), slope.sum(axis=0), g_s])
-
-        return f
-
-    def strengths(self, rows: DataFrame, columns: list[str], x: np.ndarray) -> np.ndarray:
-        d = len(columns)
-        a, b, c, _, _ = self._split(x, d)
-        a = a * (1 - np.eye(d))[:, :, None]
-
-        def slopes(data: np.ndarray) -> np.ndarray:
-            t = np.tanh(np.einsum("ni,ijm->njm", data, a) + b)
-            return np.abs(np.einsum("ijm,njm->nij", a, (1 - t * t) * c)).sum(axis=0).ravel()
-
-        return (batch_sums(rows, columns, slopes, d * d) / max(rows.count(), 1)).reshape(d, d)
-
-
-@learner
-class DAGGNN(_Network):
-    """A variational autoencoder: one network for all variables codes them, the code less what the graph explains of
-    it is the latent variable, and the way back through the graph and a second network gives the variables again.
-
-    noise: standard deviation of the latent variable about its mean. Its draws follow from the rows, so a step that
-    runs again gives the same gradient.
-    """
-
-    constraint = staticmethod(acyclicity)
-
-    def __init__(self, hidden: int = 8, lambda1: float = 0.005, max_iter: int = 6, rounds: int = 6, rate: float = 0.02, batch: int = 64, h_tol: float = 1e-4, rho_max: float = 1e6, threshold: float = 0.3, seed: int = 0, noise: float = 0.3):
-        super().__init__(hidden, lambda1, max_iter, rounds, rate, batch, h_tol, rho_max, threshold, seed)
-        self.noise = noise
-
-    def _split(self, x: np.ndarray, d: int):
-        size = 3 * self.hidden + 2
-        return x[: d * d].reshape(d, d), x[d * d : d * d + size], x[d * d + size :]
-
-    def start(self, d: int, rng: np.random.Generator) -> np.ndarray:
-        m = self.hidden
-        net = lambda: np.concatenate([rng.normal(0, 1, m), rng.normal(0, 0.3, m), rng.normal(0, 0.1, m), [1.0, 0.0]])
-        return np.concatenate([np.zeros(d * d), net(), net()])
-
-    def weights(self, x: np.ndarray, d: int) -> np.ndarray:
-        return x[: d * d].reshape(d, d) * (1 - np.eye(d))
-
-    def value(self, x: np.ndarray, data: np.ndarray) -> float:
-        """Reconstruction error and divergence from the prior, for the draws that gradient() makes."""
-        d = data.shape[1]
-        a, enc, dec = self._split(x, d)
-        a = a * (1 - np.eye(d))
-        code = self._net(enc, data)[0]
-        z = code @ (np.eye(d) - a)
-        out = self._net(dec, code + self._draws(data) @ np.linalg.inv(np.eye(d) - a))[0]
-        return 0.5 * float(((out - data) ** 2).sum() + (z * z).sum()) / len(data)
-
-    def _draws(self, data: np.ndarray) -> np.ndarray:
-        key = int(np.abs(data).sum() * 1e6) & 0xFFFFFFFF
-        return np.random.default_rng([self.seed, key]).normal(0, self.noise, data.shape)
-
-    def _net(self, p: np.ndarray, v: np.ndarray):
-        m = self.hidden
-        t = np.tanh(v[:, :, None] * p[:m] + p[m : 2 * m])
-        return t @ p[2 * m : 3 * m] + p[3 * m] * v + p[3 * m + 1], t
-
-    def _back(self, p: np.ndarray, v: np.ndarray, t: np.ndarray, g: np.ndarray):
-        m = self.hidden
-        inner = g[:, :, None] * p[2 * m : 3 * m] * (1 - t * t)
-        own = np.concatenate([(inner * v[:, :, None]).sum(axis=(0, 1)), inner.sum(axis=(0, 1)), (g[:, :, None] * t).sum(axis=(0, 1)), [(g * v).sum(), g.sum()]])
-        return own, inner @ p[:m] + g * p[3 * m]
-
-    def gradient(self, d: int) -> Step:
-        lambda1, off = self.lambda1, 1 - np.eye(d)
-
-        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float) -> np.ndarray:
-            a, enc, dec = self._split(x, d)
-            a, n = a * off, len(data)
-            less = np.eye(d) - a
-            way = np.linalg.pinv(less)
-            code, t1 = self._net(enc, data)
-            z, moved = code @ less, self._draws(data) @ way
-            out, t2 = self._net(dec, code + moved)
-            g_dec, g_in = self._back(dec, code + moved, t2, (out - data) / n)
-            g_enc, _ = self._back(enc, data, t1, g_in + z @ less.T / n)
-            h, grad_h = acyclicity(a)
-            g_a = (moved.T @ (g_in @ way.T) - code.T @ z / n + lambda1 * np.sign(a) + (rho * h + alpha) * grad_h) * off
-            return np.concatenate([g_a.ravel(), g_enc, g_dec])
-
-        return f
+from causeway.plans.neural import Step, average_training, dealt
 
 
 @learner
 class PNL(Learner):
     """Post-nonlinear models: y = g(f(x) + noise). For every ordered pair of dependent variables, networks find f and
-    the increasing inverse of g that make the noise most likely; an edge x -> y stands where the noise is independent
-    of x, the published rule. All pairs train together."""
+    the increasing inverse of g that make the noise most likely. All pairs train together.
+
+    decide: each, an edge x -> y stands where the noise is independent of x, the published rule, so both directions or
+    neither may; one, of dependent variables that direction is taken whose noise is the more independent (the test's
+    statistic in terms of its threshold)."""
 
-    def __init__(self, hidden: int = 6, rounds: int = 30, rate: float = 0.02, batch: int = 64, alpha: float = 0.01, seed: int = 0):
-        self.hidden, self.rounds, self.rate, self.batch, self.alpha, self.seed = hidden, rounds, rate, batch, alpha, seed
+    def __init__(self, hidden: int = 6, rounds: int = 30, rate: float = 0.02, batch: int = 64, alpha: float = 0.01, seed: int = 0, decide: str = "each"):
+        if decide not in ("each", "one"):
+            raise ValueError("decide is each or one")
+        self.hidden, self.rounds, self.rate, self.batch, self.alpha, self.seed, self.decide = hidden, rounds, rate, batch, alpha, seed, decide
 
     def _split(self, x: np.ndarray, pairs: int):
         m = self.hidden
@@ -204,7 +74,7 @@ class PNL(Learner):
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
         d = len(columns)
         matrix = np.zeros((d, d), dtype=int)
-        rows = standardise(numbers(df, columns), columns).persist()
+        rows, ratio = dealt(df, columns).drop("_u").persist(), np.full((d, d), np.inf)
         try:
             bound = {(i, j) for i in range(d) for j in range(i + 1, d) if not hsic_test(rows, columns[i], columns[j], self.alpha)["independent"]}
             pairs = [(i, j) for i, j in permutations(range(d), 2) if (min(i, j), max(i, j)) in bound]
@@ -214,10 +84,13 @@ class PNL(Learner):
                 for k, (i, j) in enumerate(pairs):
                     noise = self._noise_column(x, k, len(pairs), F.col(f"`{columns[i]}`"), F.col(f"`{columns[j]}`"))
                     pair = rows.select(F.col(f"`{columns[i]}`").alias("cause"), noise.alias("noise"))
-                    matrix[i, j] = hsic_test(pair, "cause", "noise", self.alpha)["independent"]
+                    test = hsic_test(pair, "cause", "noise", self.alpha)
+                    matrix[i, j], ratio[i, j] = test["independent"], test["statistic"] / max(test["threshold"], 1e-300)
+                if self.decide == "one":
+                    matrix = np.array([[int(ratio[i, j] < ratio[j, i]) for j in range(d)] for i in range(d)])
         finally:
             rows.unpersist()
-        return Graph(list(columns), matrix)
+        return Graph(list(columns), matrix, notes={"ratio": ratio})
 
     def _noise_column(self, x: np.ndarray, k: int, pairs: int, cause: Column, effect: Column) -> Column:
         a, b, c, w, u, v, c0, s = (p[k] for p in self._split(x, pairs))

@@ -109,7 +109,11 @@ def acyclicity_power(w: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, lower: np.ndarray | float = -np.inf, steps: int = 500, tolerance: float = 1e-6, memory: int = 10) -> np.ndarray:
-    """Projected limited-memory quasi-Newton descent on x >= lower. f gives value and gradient."""
+    """Projected limited-memory quasi-Newton descent on x >= lower. f gives value and gradient.
+
+    If f has an attribute many, for a list of points, eight steps of a line search are tried together.
+    """
+    many, at_once = getattr(f, "many", None), 8
     x = np.maximum(x, lower)
     value, grad = f(x)
     pairs: deque = deque(maxlen=memory)
@@ -133,13 +137,15 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             direction = -np.where(free, grad, 0.0)
             pairs.clear()
         step, done = (1.0 if pairs else min(1.0, 1 / max(np.abs(grad).sum(), 1e-12))), True
-        for _ in range(40):
-            new = np.maximum(x + step * direction, lower)
-            new_value, new_grad = f(new)
-            if np.isfinite(new_value) and new_value <= value + 1e-4 * (grad @ (new - x)):
-                done = False
+        for _ in range(40 if many is None else 40 // at_once):
+            points = [np.maximum(x + step * 0.5**k * direction, lower) for k in range(1 if many is None else at_once)]
+            for new, (new_value, new_grad) in zip(points, [f(points[0])] if many is None else many(points), strict=True):
+                if np.isfinite(new_value) and new_value <= value + 1e-4 * (grad @ (new - x)):
+                    done = False
+                    break
+            if not done:
                 break
-            step *= 0.5
+            step *= 0.5 ** len(points)
         if done:
             if not pairs:
                 break

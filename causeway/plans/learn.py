@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import independence, lowrank
 from causeway.operators.frame import event_seconds
-from causeway.plans import base, constraint, continuous, deep, hawkes, lingam, neural, pairwise, score  # noqa: F401  (they register learners)
+from causeway.plans import base, cam, constraint, continuous, deep, hawkes, lingam, neural, pairwise, policy, score, tape  # noqa: F401  (they register learners)
 from causeway.plans.queries import _TERMS, PER_ORDER, _power_sql, per_order, query, table
 
 NAMES = ["c", "q", "e", "t"]
@@ -110,6 +113,23 @@ def learn_ttpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hawkes.TTPM(delta=1e-4).learn(log).edges(spark).select("src_name", "dst_name")
 
 
+#: Two clicks in three are followed by an echo of the same user, one to five minutes later.
+_ECHOES = """SELECT event_type AS event, epoch(ts) AS t, user_id FROM events WHERE event_type IN ('click', 'view')
+UNION ALL SELECT 'echo', epoch(ts) + 60 + event_id % 240, user_id FROM events WHERE event_type = 'click' AND event_id % 3 < 2"""
+
+
+@query(f"""WITH e AS ({_ECHOES}), span AS (SELECT max(t) - min(t) AS s FROM e),
+found AS (SELECT a.event AS src_name, b.event AS dst_name, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND b.t > a.t AND b.t <= a.t + 600 GROUP BY ALL),
+chance AS (SELECT a.event AS src_name, b.event AS dst_name, sum(a.n * b.n) * 600 / any_value(s) AS n FROM (SELECT event, user_id, count(*) AS n FROM e GROUP BY ALL) a JOIN (SELECT event, user_id, count(*) AS n FROM e GROUP BY ALL) b ON a.user_id = b.user_id, span GROUP BY ALL)
+SELECT src_name, dst_name FROM chance LEFT JOIN found USING (src_name, dst_name) WHERE src_name = dst_name OR found.n > 10 + 3 * chance.n""")
+def learn_ttpm_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL takes for an edge what follows within ten minutes far more often than by chance; every event has its self loop."""
+    events = event_seconds(table(spark, sf_dir, "events"), "ts")
+    own = events.filter(F.col("event_type").isin("click", "view")).select(F.col("event_type").alias("event"), "timestamp", F.col("user_id").alias("node"))
+    echo = events.filter((F.col("event_type") == "click") & (F.col("event_id") % 3 < 2)).select(F.lit("echo").alias("event"), (F.col("timestamp") + 60 + F.col("event_id") % 240).alias("timestamp"), F.col("user_id").alias("node"))
+    return hawkes.TTPM(delta=5e-3).learn(own.union(echo)).edges(spark).select("src_name", "dst_name")
+
+
 @query()
 def bootstrap_lingam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _standard(spark, sf_dir).persist()
@@ -117,21 +137,102 @@ def bootstrap_lingam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lingam.median_effects(found, 10).select("src", "dst", F.round("effect", 3).alias("effect"), F.round("probability", 3).alias("probability"))
 
 
-def _supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a balance; e, a curve of it with noise that a hash draws; p, a cube of it with noise inside; f, a hash alone."""
-    draw = lambda k: F.pmod(F.xxhash64("s_suppkey", F.lit(k)), F.lit(10**6)) / 10**6 - 0.5
-    a = F.col("s_acctbal") / 10000
-    return table(spark, sf_dir, "supplier").select(a.alias("a"), (F.tanh(3 * a) + 0.4 * draw(1)).alias("e"), F.pow(a + 0.5 * draw(2), 3).alias("p"), draw(3).alias("f"))
+def _customer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a balance; e, a curve of it with noise that a hash draws; p, a bent sum of it and noise; f, a hash alone."""
+    draw = lambda k: F.pmod(F.xxhash64("c_custkey", F.lit(k)), F.lit(10**6)) / 10**6 - 0.5
+    a = F.col("c_acctbal") / 5000 - 1
+    return table(spark, sf_dir, "customer").select(a.alias("a"), (F.tanh(3 * a) + 0.6 * draw(1)).alias("e"), F.sinh(2 * F.tanh(a) + draw(2)).alias("p"), draw(3).alias("f"))
 
 
 @query()
 def learn_anm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.ANM(alpha=0.01).learn(_supplier_pairs(spark, sf_dir), ["a", "e", "f"]).edges(spark).select("src_name", "dst_name")
+    return pairwise.ANM(alpha=0.01).learn(_customer_pairs(spark, sf_dir), ["a", "e", "f"]).edges(spark).select("src_name", "dst_name")
 
 
 @query()
 def learn_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deep.PNL().learn(_supplier_pairs(spark, sf_dir), ["a", "p", "f"]).edges(spark).select("src_name", "dst_name")
+    return deep.PNL(decide="one").learn(_customer_pairs(spark, sf_dir), ["a", "p", "f"]).edges(spark).select("src_name", "dst_name")
+
+
+def _ges_sql(names: str) -> str:
+    """The class of the graph on three columns of PER_ORDER with the largest BIC, of all 25."""
+    pairs, dags = [(0, 1), (0, 2), (1, 2)], []
+    for ways in product((0, 1, 2), repeat=3):
+        edges = [(i, j) if w == 1 else (j, i) for (i, j), w in zip(pairs, ways, strict=True) if w]
+        if set(edges) not in ({(0, 1), (1, 2), (2, 0)}, {(1, 0), (2, 1), (0, 2)}):
+            dags.append(edges)
+
+    def left(y: int, parents: list[int]) -> str:
+        v, r = f"var_pop_{names[y]}", [f"r_{names[min(y, p)]}{names[max(y, p)]}" for p in parents]
+        if len(parents) == 2:
+            c = f"r_{names[parents[0]]}{names[parents[1]]}"
+            return f"{v} * (1 - ({r[0]} ^ 2 + {r[1]} ^ 2 - 2 * {r[0]} * {r[1]} * {c}) / (1 - {c} ^ 2))"
+        return f"{v} * (1 - {r[0]} ^ 2)" if r else v
+
+    rows = []
+    for edges in dags:
+        of = [sorted(i for i, j in edges if j == y) for y in range(3)]
+        score = " + ".join(f"-(n * (1 + ln({left(y, of[y])})) + {1 + len(of[y])} * ln(n))" for y in range(3))
+        met = [(i, j) for i, j in edges if any(k != i and m == j and (i, k) not in edges and (k, i) not in edges for k, m in edges)]
+        lines = edges if met else edges + [(j, i) for i, j in edges]
+        rows.append(f"{{s: {score}, e: [{', '.join(f'{{a: {names[i]!r}, b: {names[j]!r}}}' for i, j in lines)}]{'' if lines else '::STRUCT(a VARCHAR, b VARCHAR)[]'}}}")
+    cors = ", ".join(f"corr({names[i]}, {names[j]}) AS r_{names[i]}{names[j]}" for i, j in pairs)
+    return f"WITH {PER_ORDER}, v AS (SELECT count(*) AS n, {cors}, {', '.join(f'var_pop({c}) AS var_pop_{c}' for c in names)} FROM per_order), g AS (SELECT unnest([{', '.join(rows)}]) AS g FROM v), best AS (SELECT g.e AS e FROM g ORDER BY g.s DESC LIMIT 1), x AS (SELECT unnest(e) AS x FROM best) SELECT x.a AS src_name, x.b AS dst_name FROM x"
+
+
+@query(_ges_sql("qet"))
+def learn_ges_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.GES().learn(per_order(spark, sf_dir), ["q", "e", "t"]).edges(spark).select("src_name", "dst_name")
+
+
+def _lingam_sql(x: str, y: str) -> str:
+    """The direction whose cause and residual have the smaller entropies; the residuals are standardised."""
+    #: Fixed values of the entropy approximation.
+    h = lambda u: f"((1 + ln(2 * pi())) / 2 - 79.047 * (avg(abs({u}) + ln(1 + exp(-2 * abs({u}))) - ln(2)) - 0.37457) ^ 2 - 7.4129 * avg({u} * exp(-{u} ^ 2 / 2)) ^ 2)"
+    return f"""WITH {PER_ORDER}, s AS (SELECT avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my, stddev_pop({y}) AS sy, corr({x}, {y}) AS r FROM per_order),
+z AS (SELECT ({x} - mx) / sx AS a, ({y} - my) / sy AS b, r FROM per_order, s), u AS (SELECT a, b, (a - r * b) / sqrt(1 - r ^ 2) AS ab, (b - r * a) / sqrt(1 - r ^ 2) AS ba FROM z),
+h AS (SELECT {h("b")} + {h("ab")} - {h("a")} - {h("ba")} AS gap FROM u)
+SELECT CASE WHEN gap > 0 THEN '{x}' ELSE '{y}' END AS src_name, CASE WHEN gap > 0 THEN '{y}' ELSE '{x}' END AS dst_name FROM h"""
+
+
+@query(_lingam_sql("q", "e"))
+def learn_lingam_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lingam.DirectLiNGAM(threshold=0.1).learn(_standard(spark, sf_dir), ["q", "e"]).edges(spark).select("src_name", "dst_name")
+
+
+_add("learn_rl", "rl", True, threshold=0.1)
+_add("learn_corl", "corl", True, threshold=0.1)
+_add("learn_cam", "cam", False)
+_add("learn_mcsl", "mcsl", True)
+_add("learn_notears_mlp", "notearsmlp", True, threshold=0.2)
+_add("learn_gran_dag_selected", "grandag", True, threshold=0.1, neighbours=2, holdout=0.2, cutoff=0.001, layers=2)
+_add("learn_dag_gnn_sem", "daggnn", True, threshold=0.1, form="sem")
+
+
+@query()
+def learn_vector_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.array("l_quantity", F.col("l_quantity") ** 2).alias("quantity"), F.array("l_extendedprice", F.sqrt("l_extendedprice")).alias("price"), F.array("l_discount", "l_tax").alias("rates"))
+    return tape.VectorAutoencoder().learn(rows, ["quantity", "price", "rates"]).edges(spark).select("src_name", "dst_name", F.round("weight", 3).alias("weight"))
+
+
+@query()
+def process_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length scale and noise of largest likelihood for e on a, and what the curve leaves of the variance."""
+    rows = _customer_pairs(spark, sf_dir)
+    g = lowrank.fit_process(rows, ["a"], "e")
+    left = lowrank.process_residual(rows, "a", "e", widths=(g.basis.width,), noise=g.noise)
+    return left.agg(F.round(F.var_pop("residual"), 3).alias("left")).withColumn("width", F.lit(g.basis.width)).withColumn("noise", F.round(F.lit(g.noise), 6))
+
+
+@query("""WITH s AS (SELECT (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS x, (s_nationkey - avg(s_nationkey) OVER ()) / stddev_pop(s_nationkey) OVER () AS y, s_suppkey AS i FROM supplier),
+g AS (SELECT a.i, b.i AS j, (a.x - b.x) ^ 2 AS gx, (a.y - b.y) ^ 2 AS gy FROM s a, s b),
+w AS (SELECT median(gx) FILTER (WHERE i < j AND gx > 0) AS wx, median(gy) FILTER (WHERE i < j AND gy > 0) AS wy FROM g),
+k AS (SELECT i, j, exp(-gx / wx) AS kx, exp(-gy / wy) AS ky FROM g, w),
+c AS (SELECT (kx - avg(kx) OVER (PARTITION BY i) - avg(kx) OVER (PARTITION BY j) + avg(kx) OVER ()) * (ky - avg(ky) OVER (PARTITION BY i) - avg(ky) OVER (PARTITION BY j) + avg(ky) OVER ()) AS p FROM k)
+SELECT round(sum(p) / (SELECT count(*) FROM supplier), 3) AS statistic FROM c""")
+def hsic_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = independence.hsic_test(table(spark, sf_dir, "supplier"), "s_acctbal", "s_nationkey")
+    return spark.range(1).select(F.round(F.lit(found["statistic"]), 3).alias("statistic"))
 
 
 @query()

@@ -1,7 +1,7 @@
 """Nonlinear learners with small networks, trained where the rows are.
 
-Each round broadcasts the parameters; every task takes Adam steps over its own
-rows and sends its parameters back once, and their mean by rows starts the next
+Rows are dealt to the tasks by a hash of their values. Each round broadcasts the
+parameters; every task takes Adam steps over its own rows and sends its parameters back once, and their mean by rows starts the next
 round. The penalties (sparsity, acyclicity) are part of each step.
 """
 
@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.frame import standardise
+from causeway.operators.lowrank import batch_totals
 from causeway.plans.base import Graph, Learner, learner
 from causeway.plans.dense import acyclicity, acyclicity_power, cut_to_dag
 
@@ -22,62 +23,129 @@ from causeway.plans.dense import acyclicity, acyclicity_power, cut_to_dag
 Step = Callable[[np.ndarray, np.ndarray, float, float], np.ndarray]
 
 
+def dealt(df: DataFrame, columns: list[str], rows_a_task: int = 10_000) -> DataFrame:
+    """The columns of the complete rows, standardised, and a number _u from 0 to 1 that their values determine.
+
+    Rows are dealt to tasks and sorted by a hash of their values, to so many tasks as their number needs: every
+    task sees the same batches, however the data was partitioned.
+    """
+    names = [F.col(f"`{c}`") for c in columns]
+    raw = df.select(*[c.cast("double").alias(n) for c, n in zip(names, columns, strict=True)]).na.drop("any").withColumn("_h", F.xxhash64(*names))
+    n, *stats = raw.agg(F.count(F.lit(1)), *[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
+    raw = raw.repartition(max(1, -(-n // rows_a_task)), "_h").sortWithinPartitions("_h", *names)
+    # Means and deviations are literals: a join would lose the order.
+    scaled = [((c - (stats[2 * k] or 0.0)) / (stats[2 * k + 1] or 1.0)).alias(columns[k]) for k, c in enumerate(names)]
+    return raw.select(*scaled, (F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) / float(1 << 20)).alias("_u"))
+
+
 def average_training(rows: DataFrame, gradient: Step, x: np.ndarray, rho: float, alpha: float, rounds: int, rate: float, batch: int, seed: int) -> np.ndarray:
-    """Rounds of local Adam passes and averages of the parameters."""
+    """Rounds of local Adam passes and averages of the parameters, over the partitions that rows has.
+
+    A gradient with a true attribute draws also gets the task's random numbers.
+    """
+    draws = getattr(gradient, "draws", False)
     for r in range(rounds):
 
         def train(batches: Iterator[pa.RecordBatch], x: np.ndarray = x, r: int = r) -> Iterator[pa.RecordBatch]:
             p, one, two, t, n = x.copy(), np.zeros_like(x), np.zeros_like(x), 0, 0
-            rng = np.random.default_rng(seed + r)
+            task = TaskContext.get().partitionId()
+            rng = np.random.default_rng([seed + r, task])
             for b in batches:
                 data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
                 n += len(data)
                 for at in np.array_split(rng.permutation(len(data)), max(1, len(data) // batch)):
                     if len(at):
-                        g = gradient(p, data[at], rho, alpha)
+                        g = gradient(p, data[at], rho, alpha, rng) if draws else gradient(p, data[at], rho, alpha)
                         t += 1
                         one, two = 0.9 * one + 0.1 * g, 0.999 * two + 0.001 * g * g
                         p -= rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.999**t)) + 1e-8)
             if n:
-                yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(p)), pa.int32()), "v": pa.array(p * n), "n": pa.array(np.full(len(p), float(n)))})
+                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "v": [(p * n).tobytes()], "n": [float(n)]})
 
-        found = rows.mapInArrow(train, "at int, v double, n double").groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+        # Sums in the order of the tasks, so that they are the same in every run.
+        found = rows.mapInArrow(train, "task int, v binary, n double").groupBy(F.col("task") % 64).applyInArrow(_added, "task int, v binary, n double").collect()
         if not found:
             return x
-        x = x.copy()
-        for row in found:
-            x[row["at"]] = row["v"]
+        found = sorted(found, key=lambda f: f["task"])
+        x = sum(np.frombuffer(f["v"]) for f in found) / sum(f["n"] for f in found)
     return x
 
 
+def _added(table: pa.Table) -> pa.Table:
+    table = table.sort_by("task")
+    total = sum(np.frombuffer(v) for v in table.column("v").to_pylist())
+    return pa.table({"task": table.column("task")[:1].cast(pa.int32()), "v": pa.array([total.tobytes()]), "n": pa.array([sum(table.column("n").to_pylist())])})
+
+
 class _Network(Learner):
     """Augmented Lagrangian around average_training(). Subclasses give start(), gradient() and weights()."""
 
+    mask: np.ndarray | None = None
+    holdout = 0.0
+
     def __init__(self, hidden: int = 8, lambda1: float = 0.01, max_iter: int = 6, rounds: int = 6, rate: float = 0.02, batch: int = 64, h_tol: float = 1e-4, rho_max: float = 1e6, threshold: float = 0.3, seed: int = 0):
         self.hidden, self.lambda1, self.max_iter, self.rounds, self.rate, self.batch = hidden, lambda1, max_iter, rounds, rate, batch
         self.h_tol, self.rho_max, self.threshold, self.seed = h_tol, rho_max, threshold, seed
 
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
-        rows = standardise(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop("any"), columns).persist()
-        d, rho, alpha, last = len(columns), 1.0, 0.0, np.inf
-        x = self.start(d, np.random.default_rng(self.seed))
-        for k in range(self.max_iter):
-            x = average_training(rows, self.gradient(d), x, rho, alpha, self.rounds, self.rate, self.batch, self.seed + 1000 * k)
-            h = self.constraint(self.weights(x, d))[0]
-            alpha += rho * h
-            rho = min(self.rho_max, rho * 10) if h > 0.25 * last else rho
-            last = h
-            if h < self.h_tol:
-                break
-        w = self.strengths(rows, columns, x)
-        rows.unpersist()
+        rows = dealt(df, columns).persist()
+        given, d = self.mask, self.variables(columns)
+        try:
+            chosen = self.allowed(rows, columns)
+            if chosen is not None:
+                self.mask = chosen if given is None else chosen * given
+            preselection = None if self.mask is None else np.array(self.mask)
+            train = rows.filter(F.col("_u") >= self.holdout).drop("_u")
+            aside = rows.filter(F.col("_u") < self.holdout).drop("_u") if self.holdout else None
+            rho, alpha, last = 1.0, 0.0, np.inf
+            x = self.start(d, np.random.default_rng(self.seed))
+            for k in range(self.max_iter):
+                self.begin(k)
+                x = self.trained(train, aside, x, d, rho, alpha, self.seed + 1000 * k)
+                h = self.constraint(self.weights(x, d))[0]
+                alpha += rho * h
+                rho = min(self.rho_max, rho * 10) if h > 0.25 * last else rho
+                last = h
+                if h < self.h_tol:
+                    break
+            w = self.strengths(rows.drop("_u"), columns, x)
+        finally:
+            self.mask = given
+            rows.unpersist()
         w = w / max(np.abs(w).max(), 1e-12) if self.relative else w
         w = cut_to_dag(w, self.threshold)
-        return Graph(list(columns), (w != 0).astype(int), w)
+        matrix = self.pruned(df, columns, (w != 0).astype(int))
+        return Graph(list(columns), matrix, w * matrix, notes={"preselection": preselection})
+
+    def trained(self, train: DataFrame, aside: DataFrame | None, x: np.ndarray, d: int, rho: float, alpha: float, seed: int) -> np.ndarray:
+        """All rounds of a step, or those up to the first that does not lessen the loss of the rows set aside."""
+        if aside is None:
+            return average_training(train, self.gradient(d), x, rho, alpha, self.rounds, self.rate, self.batch, seed)
+        best = np.inf
+        for r in range(self.rounds):
+            new = average_training(train, self.gradient(d), x, rho, alpha, 1, self.rate, self.batch, seed + r)
+            loss = batch_totals(aside, lambda data, new=new: np.array([self.held_out(new, data)]), 1)[0]
+            if loss >= best:
+                break
+            x, best = new, loss
+        return x
+
+    def begin(self, step: int) -> None:
+        """Called before each step of the multiplier method."""
+
+    def variables(self, columns: list[str]) -> int:
+        return len(columns)
+
+    def allowed(self, rows: DataFrame, columns: list[str]) -> np.ndarray | None:
+        """A preselection of edges, from the rows."""
+        return None
+
+    def pruned(self, df: DataFrame, columns: list[str], graph: np.ndarray) -> np.ndarray:
+        return graph
 
     def strengths(self, rows: DataFrame, columns: list[str], x: np.ndarray) -> np.ndarray:
         """What the threshold and the cut to a DAG go by."""
-        return self.weights(x, len(columns))
+        return self.weights(x, self.variables(columns))
 
     relative = False
     constraint = staticmethod(acyclicity_power)

@@ -432,7 +432,20 @@ for _rule in _MEEK:
     _add_meek(_rule)
 
 
-@query()
+def _class_sql(rounds: int = 6) -> str:
+    """Edges of the class of _DAG: those of v-structures, those that follow from them in so many rounds, and the rest both ways."""
+    near = lambda a, b: f"EXISTS (SELECT 1 FROM near WHERE a = {a} AND b = {b})"
+    ctes = [f"d AS ({_DAG})", "near AS (SELECT src AS a, dst AS b FROM d UNION SELECT dst, src FROM d)", f"f0 AS (SELECT DISTINCT x.src, x.dst FROM d x JOIN d y ON x.dst = y.dst AND x.src <> y.src WHERE NOT {near('x.src', 'y.src')})"]
+    for k in range(rounds):
+        away = f"EXISTS (SELECT 1 FROM f{k} z WHERE z.dst = x.src AND NOT {near('z.src', 'x.dst')})"
+        through = f"EXISTS (SELECT 1 FROM f{k} z JOIN f{k} w ON z.dst = w.src WHERE z.src = x.src AND w.dst = x.dst)"
+        beside = f"EXISTS (SELECT 1 FROM f{k} z JOIN f{k} w ON z.dst = w.dst AND z.src <> w.src WHERE z.dst = x.dst AND {near('x.src', 'z.src')} AND {near('x.src', 'w.src')} AND NOT {near('z.src', 'w.src')})"
+        ctes.append(f"f{k + 1} AS (SELECT src, dst FROM f{k} UNION SELECT src, dst FROM d x WHERE {away} OR {through} OR {beside})")
+    last = f"f{rounds}"
+    return f"WITH {', '.join(ctes)} SELECT src, dst FROM {last} UNION SELECT a, b FROM near WHERE NOT EXISTS (SELECT 1 FROM {last} WHERE (src = a AND dst = b) OR (src = b AND dst = a))"
+
+
+@query(_class_sql())
 def equivalence_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cpdag(dag(spark, sf_dir))
 

@@ -41,7 +41,9 @@ def greedy_equivalence_search(d: int, score: Score) -> tuple[np.ndarray, float]:
     g, total = np.zeros((d, d), dtype=int), 0.0
     for forward in (True, False):
         while True:
-            gain, graph = max(_moves(g, score, forward), key=lambda m: m[0], default=(0.0, None))
+            moves = list(_moves(g, forward))
+            score.prepare([(y, p) for y, more, less, _ in moves for p in (more, less)])
+            gain, graph = max(((score.of(y, more) - score.of(y, less), new) for y, more, less, new in moves), key=lambda m: m[0], default=(0.0, None))
             if gain <= 1e-9 or graph is None:
                 break
             dag = extend_to_dag(graph)
@@ -51,7 +53,8 @@ def greedy_equivalence_search(d: int, score: Score) -> tuple[np.ndarray, float]:
     return g, total
 
 
-def _moves(g: np.ndarray, score: Score, forward: bool):
+def _moves(g: np.ndarray, forward: bool):
+    """(node, its parents in the score that is gained, in that which is lost, graph) of every valid insertion or deletion."""
     d = len(g)
     line, near = (g & g.T).astype(bool), (g | g.T).astype(bool)
     for y in range(d):
@@ -65,24 +68,22 @@ def _moves(g: np.ndarray, score: Score, forward: bool):
                 for t in _subsets(lines - shared):
                     base = shared | set(t)
                     if _clique(g, base) and _blocked(g, y, x, base):
-                        gain = score.of(y, parents | base | {x}) - score.of(y, parents | base)
                         new = g.copy()
                         new[x, y] = 1
                         for k in t:
                             new[y, k] = 0
-                        yield gain, new
+                        yield y, parents | base | {x}, parents | base, new
             if not forward and g[x, y]:
                 for h in _subsets(shared):
                     rest = shared - set(h)
                     if _clique(g, rest):
-                        gain = score.of(y, (parents | rest) - {x}) - score.of(y, parents | rest | {x})
                         new = g.copy()
                         new[x, y] = new[y, x] = 0
                         for k in h:
                             new[k, y] = 0
                             if line[x, k]:
                                 new[k, x] = 0
-                        yield gain, new
+                        yield y, (parents | rest) - {x}, parents | rest | {x}, new
 
 
 @learner

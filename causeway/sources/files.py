@@ -134,4 +134,24 @@ def alarm_archive(spark: SparkSession, folder: str) -> tuple:
     return events, truth, topology
 
 
+#: Names of the published alarm data sets, their folders, and the digests of their archives.
+ALARM_SETS = {
+    "V18_N55_Wireless": ("18V_55N_Wireless", "36ee135b86c8dbe09668d9284c23575b"),
+    "V24_N439_Microwave": ("24V_439N_Microwave", "b4c8b32d34c04a86aa93c7259f7d086c"),
+    "V25_N474_Microwave": ("25V_474N_Microwave", "51f43ed622d4b44ef6daf8fabf81e162"),
+}
+
+
+def alarm_set(folder: str, md5: str) -> Callable:
+    def build(spark: SparkSession, root: str, check: bool = False) -> tuple:
+        """The unpacked folder under root; with check, the archive beside it must have the published digest."""
+        if check and not checksum(spark, f"{root}/{folder}.tar.gz", md5):
+            raise ValueError(f"{root}/{folder}.tar.gz is not the published archive")
+        return alarm_archive(spark, f"{root}/{folder}")
+
+    return build
+
+
 datasets.register("alarm_archive", alarm_archive)
+for _name, (_folder, _md5) in ALARM_SETS.items():
+    datasets.register(_name, alarm_set(_folder, _md5))
