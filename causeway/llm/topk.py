@@ -118,8 +118,8 @@ def bins_of(scores: np.ndarray, low: np.ndarray, width: int, span: int) -> np.nd
 
 
 COUNTS = "piece int, counts binary"
-#: Queries a row of histograms.
-PIECE = 1024
+#: Queries a row of histograms, and rows of tasks that are added up at once.
+PIECE, MERGED = 1024, 256
 
 
 def _histogram_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _keep(chunk, k: int):
     return keep
 
 
-def _narrow(counted: DataFrame, low: np.ndarray, above: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _narrow(counted: DataFrame, tasks: int, low: np.ndarray, above: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The bin of each query's kth score: its low end, how many scores lie above it, and the most that one query has from there up."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -201,6 +201,9 @@ def _narrow(counted: DataFrame, low: np.ndarray, above: np.ndarray, width: int,
         return pa.table({"piece": table.column("piece").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     low, above, most = low.copy(), above.copy(), 0
+    while tasks > MERGED:  # so many rows of a piece meet in one group at most, however many tasks there are
+        tasks = -(-tasks // MERGED)
+        counted = counted.groupBy("piece", F.pmod(F.xxhash64(F.spark_partition_id(), "counts"), F.lit(tasks))).applyInArrow(add, COUNTS)
     for r in counted.groupBy("piece").applyInArrow(add, COUNTS).toLocalIterator():
         total = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64).reshape(-1, BINS)
         q = slice(r["piece"] * PIECE, r["piece"] * PIECE + len(total))
@@ -215,7 +218,7 @@ def _narrow(counted: DataFrame, low: np.ndarray, above: np.ndarray, width: int,
 
 
 def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, query_rows: int = 1024, enough: int = 64, chunk_queries: int = 1 << 15, chunk_bytes: int = 48 << 20
+    vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, block_bytes: int = 16 << 20, query_rows: int = 1024, enough: int = 64, chunk_queries: int = 1 << 15, chunk_bytes: int = 48 << 20
 ) -> DataFrame:
     """The k highest integer inner products of each query with all vectors but its own.
 
@@ -231,7 +234,8 @@ def top_k(
 
     Queries go out in chunks of about chunk_queries rows and chunk_bytes at most,
     which bounds what is broadcast; the driver holds one chunk and two numbers a
-    query of it. Candidates are not moved after they are packed. Refinement ends
+    query of it. Candidates are not moved after they are packed, in blocks of block_rows
+    and block_bytes on average. Refinement ends
     when the bins from the kth score up hold at most k + enough scores for every
     query, or are one score wide. Of each query every task keeps the first k from
     the low end up at most, which cannot lose a result.
@@ -245,11 +249,12 @@ def top_k(
     candidates = clean(vectors)
     wanted = clean(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (F.abs(x * scale) + 1) * (F.abs(x * scale) + 1))
-    n, largest = candidates.agg(F.count(F.lit(1)), F.max(norm)).first()
+    n, largest, size = candidates.agg(F.count(F.lit(1)), F.max(norm), F.sum(8 * F.size("vector") + 8)).first()
     n_queries, n_bytes = wanted.agg(F.count(F.lit(1)), F.sum(8 * F.size("vector") + 8)).first()
     # At least four blocks a core where there are rows enough, so that small tables use all cores too.
-    n_parts = max(1, math.ceil(n / block_rows), min(math.ceil(n / 512), 4 * spark.sparkContext.defaultParallelism))
-    packed = durable(_pack(candidates, scale, n_parts, min(n_parts, max(partitions(spark), n_parts // 8))))
+    n_parts = max(1, math.ceil(n / block_rows), math.ceil((size or 0) / block_bytes), min(math.ceil(n / 512), 4 * spark.sparkContext.defaultParallelism))
+    n_tasks = min(n_parts, max(partitions(spark), n_parts // 8))
+    packed = durable(_pack(candidates, scale, n_parts, n_tasks))
     n_chunks = max(1, math.ceil(n_queries / chunk_queries), math.ceil((n_bytes or 0) / chunk_bytes))
     per_chunk = max(1, math.ceil(n_queries / n_chunks / query_rows))
     asked = durable(_pack(wanted, scale, n_chunks * per_chunk, min(n_chunks * per_chunk, partitions(spark))))
@@ -261,12 +266,12 @@ def top_k(
         sent = spark.sparkContext.broadcast(chunk)
         span = 2 * reach + 1
         width = -(-span // BINS)
-        low, above, most = _narrow(packed.mapInArrow(_count(sent, width, span), COUNTS), chunk.low, np.zeros(len(chunk.ids), dtype=np.int64), width, k)
+        low, above, most = _narrow(packed.mapInArrow(_count(sent, width, span), COUNTS), n_tasks, chunk.low, np.zeros(len(chunk.ids), dtype=np.int64), width, k)
         sent = spark.sparkContext.broadcast(Chunk(rows, low))
         kept = durable(packed.mapInArrow(_keep(sent, k), "query long, score long, vec_id long"))
         while width > 1 and most > k + enough:
             span, width = width, -(-width // BINS)
-            low, above, most = _narrow(kept.mapInArrow(_count_kept(spark.sparkContext.broadcast(Chunk(rows, low)), width, span), COUNTS), low, above, width, k)
+            low, above, most = _narrow(kept.mapInArrow(_count_kept(spark.sparkContext.broadcast(Chunk(rows, low)), width, span), COUNTS), n_tasks, low, above, width, k)
         last = spark.sparkContext.broadcast((chunk.ids, low))
 
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

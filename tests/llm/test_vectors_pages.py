@@ -65,7 +65,8 @@ def test_huge_components_and_two_vectors_of_one_query(spark):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == brute(rows, 10, 10)
 
 
-def test_queries_go_out_in_chunks(spark):
+def test_queries_go_out_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MERGED", 2)
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(400)]  # many ties
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
