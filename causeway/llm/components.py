@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import forget, partitions, stored
+from .frames import forget, partitions, stored, tidy
 
 
 def _attach(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
@@ -42,6 +42,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = _attach(large, small_least, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
         before, (links, path) = path, stored(small.distinct())
         forget(spark, before, large_path)  # the new links are on disk
+        del large, small_least, small, both, least
+        tidy(spark)
         nodes = links.union(links.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
         if nodes.filter("m < u and k > 1").isEmpty():
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -53,6 +54,16 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with.
+
+    It does so when the driver's collector finds them unused, which a driver with a large
+    heap may do late: rounds of small jobs over many partitions would fill the executors' disks meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Hand what the worker has freed back to the system: idle workers stay for a while beside the executor's heap."""
     pa.default_memory_pool().release_unused()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import chunks, durable, release, releasing, texts_of
+from .frames import chunks, durable, release, releasing, texts_of, tidy
 from .kernels import Words, mix, prefix_hash, span_hash, window_starts
 
 U64 = np.uint64
@@ -579,6 +579,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     first = verified(enough(lists.mapInArrow(releasing(_star_pairs(percent, n_buckets)), COUNTED)))
     merged = connected_components(first)
+    tidy(spark)
     # A class hash that two classes share stands for neither.
     single = classes.groupBy("c1").agg(F.count(F.lit(1)).alias("k"), F.first(F.coalesce("rep", "c1")).alias("node")).filter("k = 1")
     labels = single.join(merged, "node").select(F.pmod("c1", F.lit(n_buckets)).cast("int").alias("of_part"), "c1", F.col("component").alias("label"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .frames import chunks, durable, partitions, releasing
+from .frames import chunks, durable, partitions, releasing, tidy
 
 #: The faster encoder's pattern goes back over a run of white space, and fails from some 700,000 characters on.
 LONG_SPACE = re.compile(r"\s{100000}")
@@ -223,6 +223,7 @@ def best_fit(items: DataFrame, capacity: int, task_rows: int = 500_000) -> DataF
         before = n
         n, total, shortest = unplaced.agg(F.count(F.lit(1)), F.sum("length"), F.min("length")).first()
         widest, few = gaps.agg(F.max("gap")).first()[0] or 0, 20 * (before - n) < before
+        tidy(spark)
     if not placed:
         return items.select("key", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     every = placed[0]
