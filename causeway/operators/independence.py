@@ -286,13 +286,18 @@ def _hsic_by_factors(df: DataFrame, x: str, y: str, alpha: float) -> dict:
 
 
 def _hsic_outcome(n: int, trace: float, squares: float, sums: tuple[float, float], alpha: float) -> dict:
-    """Without dependence, n times the statistic is close to a gamma variable with these two moments (of the statistic)."""
+    """Without dependence, n times the statistic is close to a gamma variable with these two moments (of the statistic).
+
+    A constant column has moments of zero but for rounding, and is independent of all.
+    """
     ordered = n * (n - 1)
     off_x, off_y = ((s - n) / ordered for s in sums)
     null_mean = (1 - off_x) * (1 - off_y) / n
     null_variance = 2 * (n - 4) * (n - 5) / (ordered * (n - 2) * (n - 3)) * squares / ordered
     statistic = trace / n
-    threshold = gamma_quantile(1 - alpha, null_mean**2 / null_variance, n * null_variance / null_mean) if null_variance > 0 and null_mean > 0 else 0.0
+    if n * null_mean < 1e-12 or n * n * null_variance < 1e-24:
+        return {"statistic": statistic, "threshold": 0.0, "independent": 1}
+    threshold = gamma_quantile(1 - alpha, null_mean**2 / null_variance, n * null_variance / null_mean)
     return {"statistic": statistic, "threshold": threshold, "independent": int(statistic < threshold)}
 
 

@@ -188,7 +188,7 @@ def learn_ges_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lingam_sql(x: str, y: str) -> str:
     """The direction whose cause and residual have the smaller entropies; the residuals are standardised."""
     #: Fixed values of the entropy approximation.
-    h = lambda u: f"((1 + ln(2 * pi())) / 2 - 79.047 * (avg(abs({u}) + ln(1 + exp(-2 * abs({u}))) - ln(2)) - 0.37457) ^ 2 - 7.4129 * avg({u} * exp(-{u} ^ 2 / 2)) ^ 2)"
+    h = lambda u: f"((1 + ln(2 * pi())) / 2 - 79.047 * (avg(abs({u}) + ln(1 + exp(-2 * abs({u}))) - ln(2)) - 0.37457) ^ 2 - 7.4129 * avg({u} * exp(-(({u}) ^ 2) / 2)) ^ 2)"
     return f"""WITH {PER_ORDER}, s AS (SELECT avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my, stddev_pop({y}) AS sy, corr({x}, {y}) AS r FROM per_order),
 z AS (SELECT ({x} - mx) / sx AS a, ({y} - my) / sy AS b, r FROM per_order, s), u AS (SELECT a, b, (a - r * b) / sqrt(1 - r ^ 2) AS ab, (b - r * a) / sqrt(1 - r ^ 2) AS ba FROM z),
 h AS (SELECT {h("b")} + {h("ab")} - {h("a")} - {h("ba")} AS gap FROM u)
