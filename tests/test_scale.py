@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from causeway.operators import graph, independence, metrics, scores
-from causeway.plans import base, constraint, continuous, deep, hawkes  # noqa: F401
+from causeway.plans import base, constraint, continuous, deep, hawkes, tape  # noqa: F401
 from causeway.plans.lingam import DirectLiNGAM
 from causeway.sources import simulate, tasks
 
