@@ -211,8 +211,9 @@ _add("learn_dag_gnn_sem", "daggnn", True, threshold=0.1, form="sem")
 
 @query()
 def learn_vector_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.array("l_quantity", F.col("l_quantity") ** 2).alias("quantity"), F.array("l_extendedprice", F.sqrt("l_extendedprice")).alias("price"), F.array("l_discount", "l_tax").alias("rates"))
-    return tape.VectorAutoencoder().learn(rows, ["quantity", "price", "rates"]).edges(spark).select("src_name", "dst_name", F.round("weight", 3).alias("weight"))
+    pair = lambda c: F.array(F.col(c), F.sqrt(c))
+    rows = per_order(spark, sf_dir).select(pair("c").alias("lines"), pair("q").alias("quantity"), pair("t").alias("total"))
+    return tape.VectorAutoencoder().learn(rows, ["lines", "quantity", "total"]).edges(spark).select("src_name", "dst_name", F.round("weight", 3).alias("weight"))
 
 
 @query()

@@ -19,6 +19,8 @@ from causeway.operators.lowrank import batch_totals
 from causeway.plans.base import Graph, Learner, learner
 from causeway.plans.dense import acyclicity, acyclicity_power, cut_to_dag
 
+#: Where weights are taken relative to the largest and all are smaller than this, nothing explains anything.
+LEAST_WEIGHT = 0.02
 #: value and gradient of (parameters, batch of rows, rho, alpha)
 Step = Callable[[np.ndarray, np.ndarray, float, float], np.ndarray]
 
@@ -112,7 +114,7 @@ class _Network(Learner):
         finally:
             self.mask = given
             rows.unpersist()
-        w = w / max(np.abs(w).max(), 1e-12) if self.relative else w
+        w = w / max(np.abs(w).max(), LEAST_WEIGHT) if self.relative else w
         w = cut_to_dag(w, self.threshold)
         matrix = self.pruned(df, columns, (w != 0).astype(int))
         return Graph(list(columns), matrix, w * matrix, notes={"preselection": preselection})
