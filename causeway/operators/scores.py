@@ -54,10 +54,15 @@ class BDeu(Score):
 
     def __init__(self, df: DataFrame, columns: list[str], k: float = 0.001, size: float = 10.0):
         super().__init__()
-        self.df, self.columns, self.k, self.size, self.jobs = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]), columns, k, size, 0
+        self.raw, self.columns, self.k, self.size, self.jobs = df.select(*[F.col(f"`{c}`") for c in columns]), columns, k, size, 0
+        self.df = self.raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
         row = self.df.agg(*[F.countDistinct(F.col(f"`{c}`")) for c in columns]).first()
         self.levels = list(row)
 
+    def counts(self, y: int, parents: list[int]) -> DataFrame:
+        """Rows (n_ijk) of each level of the parents and y that occurs, nulls included, in the columns' own types."""
+        return self.raw.groupBy(*[F.col(f"`{self.columns[c]}`") for c in [*parents, y]]).agg(F.count(F.lit(1)).alias("n_ijk"))
+
     def local(self, y: int, parents: list[int]) -> float:
         self.prepare([(y, parents)])
         return self._known[y, frozenset(parents)]

@@ -144,6 +144,14 @@ def test_families_are_counted_together(spark):
     assert score.greedy_equivalence_search(3, BIC(lingam.moments(df, ["a", "b", "c"])))[1] > 0
 
 
+def test_counts_of_a_family(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (2, "y")], "a long, b string")
+    counts = BDeu(df, ["a", "b"]).counts(1, [0])
+    assert counts.dtypes == [("a", "bigint"), ("b", "string"), ("n_ijk", "bigint")]
+    assert {tuple(r) for r in counts.collect()} == {(1, "x", 2), (1, None, 1), (2, "y", 1)}
+    assert [tuple(r) for r in BDeu(df, ["a", "b"]).counts(0, []).orderBy("a").collect()] == [(1, 3), (2, 1)]
+
+
 def test_line_search_in_one_pass(spark):
     rng = np.random.default_rng(8)
     x = (rng.random((600, 2)) < 0.5).astype(float)
