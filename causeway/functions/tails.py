@@ -60,10 +60,10 @@ def gamma_quantile(p: float, shape: float, scale: float) -> float:
 
 
 def matrix_exponential(a: np.ndarray) -> np.ndarray:
-    """Scaling and squaring with a Taylor series."""
-    squarings = max(0, int(np.ceil(np.log2(max(np.abs(a).sum(axis=0).max(initial=0), 1e-16)))) + 2)
+    """Scaling and squaring with a Taylor series, of the last two axes."""
+    squarings = max(0, int(np.ceil(np.log2(max(np.abs(a).sum(axis=-2).max(initial=0), 1e-16)))) + 2)
     a = a / 2**squarings
-    out = term = np.eye(len(a))
+    out = term = np.eye(a.shape[-1])
     for k in range(1, 18):
         term = term @ a / k
         out = out + term

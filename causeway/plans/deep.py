@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators.independence import hsic_test
 from causeway.plans.base import Graph, Learner, learner
-from causeway.plans.neural import Step, average_training, dealt
+from causeway.plans.neural import Step, average_training, dealt, shares
 
 
 @learner
@@ -29,8 +29,8 @@ class PNL(Learner):
 
     def _split(self, x: np.ndarray, pairs: int):
         m = self.hidden
-        parts = np.split(x, np.cumsum([pairs * m] * 6 + [pairs]))
-        return *(p.reshape(pairs, m) for p in parts[:6]), parts[6], parts[7]
+        parts = np.split(x, np.cumsum([pairs * m] * 6 + [pairs]), axis=-1)
+        return *(p.reshape(*x.shape[:-1], pairs, m) for p in parts[:6]), parts[6], parts[7]
 
     def start(self, pairs: int, rng: np.random.Generator) -> np.ndarray:
         size = pairs * self.hidden
@@ -43,31 +43,34 @@ class PNL(Learner):
 
     @staticmethod
     def _noise(p: tuple, data: np.ndarray, pairs: list[tuple[int, int]]):
-        a, b, c, w, u, v, c0, s = p
-        cause, effect = data[:, [i for i, _ in pairs]], data[:, [j for _, j in pairs]]
-        one = np.tanh(cause[:, :, None] * a + b)
-        two = np.tanh(effect[:, :, None] * w**2 + u)
-        e = np.exp(s) * effect + (two * v**2).sum(axis=2) - (one * c).sum(axis=2) - c0
-        slope = np.exp(s) + ((1 - two * two) * v**2 * w**2).sum(axis=2)
+        a, b, c, w, u, v = (q[..., None, :, :] for q in p[:6])
+        c0, s = (q[..., None, :] for q in p[6:])
+        cause, effect = data[..., [i for i, _ in pairs]], data[..., [j for _, j in pairs]]
+        one = np.tanh(cause[..., None] * a + b)
+        two = np.tanh(effect[..., None] * w**2 + u)
+        e = np.exp(s) * effect + (two * v**2).sum(axis=-1) - (one * c).sum(axis=-1) - c0
+        slope = np.exp(s) + ((1 - two * two) * v**2 * w**2).sum(axis=-1)
         return e, slope, cause, effect, one, two
 
     def gradient(self, pairs: list[tuple[int, int]]) -> Step:
-        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float) -> np.ndarray:
+        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, share: np.ndarray | None = None) -> np.ndarray:
             p = self._split(x, len(pairs))
-            a, b, c, w, u, v, c0, s = p
             e, slope, cause, effect, one, two = self._noise(p, data, pairs)
-            g = e[:, :, None] / len(data)
-            k = 1 / slope[:, :, None] / len(data)
-            q, y = 1 - two * two, effect[:, :, None]
+            c, w, v = (p[k][..., None, :, :] for k in (2, 3, 5))
+            share = np.asarray(shares(data, share))
+            g = (e * share)[..., None]
+            k = (share / slope)[..., None]
+            q, y = 1 - two * two, effect[..., None]
             inner = -g * c * (1 - one * one)
             bent = -2 * two * q  # the derivative of q
-            return np.concatenate([
-                (inner * cause[:, :, None]).sum(axis=0).ravel(), inner.sum(axis=0).ravel(), (-g * one).sum(axis=0).ravel(),
-                (g * v**2 * q * 2 * w * y - k * v**2 * (2 * w * q + w**2 * bent * 2 * w * y)).sum(axis=0).ravel(),
-                (g * v**2 * q - k * v**2 * w**2 * bent).sum(axis=0).ravel(),
-                (g * 2 * v * two - k * 2 * v * w**2 * q).sum(axis=0).ravel(),
-                -g[:, :, 0].sum(axis=0), (np.exp(s) * (g[:, :, 0] * effect - k[:, :, 0])).sum(axis=0),
-            ])
+            of_units = [
+                inner * cause[..., None], inner, -g * one,
+                g * v**2 * q * 2 * w * y - k * v**2 * (2 * w * q + w**2 * bent * 2 * w * y),
+                g * v**2 * q - k * v**2 * w**2 * bent,
+                g * 2 * v * two - k * 2 * v * w**2 * q,
+            ]
+            of_pairs = [-g[..., 0].sum(axis=-2), np.exp(p[7]) * (g[..., 0] * effect - k[..., 0]).sum(axis=-2)]
+            return np.concatenate([*(u.sum(axis=-3).reshape(*x.shape[:-1], -1) for u in of_units), *of_pairs], axis=-1)
 
         return f
 

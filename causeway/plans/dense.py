@@ -96,16 +96,16 @@ def extend_to_dag(g: np.ndarray) -> np.ndarray | None:
 
 
 def acyclicity(w: np.ndarray) -> tuple[float, np.ndarray]:
-    """tr(exp(w * w)) - d and its gradient."""
+    """tr(exp(w * w)) - d and its gradient, of the last two axes."""
     e = matrix_exponential(w * w)
-    return float(np.trace(e) - len(w)), e.T * w * 2
+    return np.trace(e, axis1=-2, axis2=-1) - w.shape[-1], np.swapaxes(e, -1, -2) * w * 2
 
 
 def acyclicity_power(w: np.ndarray) -> tuple[float, np.ndarray]:
-    """tr((I + w * w / d)^d) - d and its gradient."""
-    d = len(w)
-    e = np.linalg.matrix_power(np.eye(d) + w * w / d, d - 1)
-    return float((e.T * (np.eye(d) + w * w / d)).sum() - d), e.T * w * 2
+    """tr((I + w * w / d)^d) - d and its gradient, of the last two axes."""
+    d = w.shape[-1]
+    e = np.swapaxes(np.linalg.matrix_power(np.eye(d) + w * w / d, d - 1), -1, -2)
+    return (e * (np.eye(d) + w * w / d)).sum(axis=(-2, -1)) - d, e * w * 2
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, lower: np.ndarray | float = -np.inf, steps: int = 500, tolerance: float = 1e-6, memory: int = 10) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Nonlinear learners with small networks, trained where the rows are.
 
-Rows are dealt to the tasks by a hash of their values. Each round broadcasts the
-parameters; every task takes Adam steps over its own rows and sends its parameters back once, and their mean by rows starts the next
-round. The penalties (sparsity, acyclicity) are part of each step.
+Rows are dealt to shards by a hash of their values. Each round broadcasts the parameters; Adam steps over a shard's rows
+give that shard's parameters, and the mean of all shards' by rows starts the next round. A task has many shards, takes
+the steps of TOGETHER of them at once and sends one sum back. The penalties (sparsity, acyclicity) are part of each step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,51 +22,123 @@ from causeway.plans.dense import acyclicity, acyclicity_power, cut_to_dag
 
 #: Where weights are taken relative to the largest and all are smaller than this, nothing explains anything.
 LEAST_WEIGHT = 0.02
-#: value and gradient of (parameters, batch of rows, rho, alpha)
-Step = Callable[[np.ndarray, np.ndarray, float, float], np.ndarray]
+#: gradient at (parameters, batch of rows, rho, alpha), or of each of several shards: parameters (shard, number), rows (shard, row, column),
+#: and by name the share that each row has in its shard's mean, (shard, row, 1): batches differ in length, and what is beyond one counts 0
+Step = Callable[..., np.ndarray]
 
 
-def dealt(df: DataFrame, columns: list[str], rows_a_task: int = 10_000) -> DataFrame:
-    """The columns of the complete rows, standardised, and a number _u from 0 to 1 that their values determine.
+#: Rows of a shard; shards that a task trains at once; tasks there are at least, if there are so many shards, and shards of a task beyond.
+SHARD, TOGETHER, TASKS, SHARDS_A_TASK = 10_000, 16, 32, 64
 
-    Rows are dealt to tasks and sorted by a hash of their values, to so many tasks as their number needs: every
-    task sees the same batches, however the data was partitioned.
+
+def dealt(df: DataFrame, columns: list[str], rows_a_shard: int = SHARD) -> DataFrame:
+    """The columns of the complete rows, standardised, a number _u from 0 to 1 that their values determine, and their _shard.
+
+    Rows are dealt to as many shards as their number needs and sorted, both by a hash of their values: every
+    shard sees the same batches, however the data was partitioned.
     """
     names = [F.col(f"`{c}`") for c in columns]
     raw = df.select(*[c.cast("double").alias(n) for c, n in zip(names, columns, strict=True)]).na.drop("any").withColumn("_h", F.xxhash64(*names))
     n, *stats = raw.agg(F.count(F.lit(1)), *[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
-    raw = raw.repartition(max(1, -(-n // rows_a_task)), "_h").sortWithinPartitions("_h", *names)
+    shards = max(1, -(-n // rows_a_shard))
+    tasks = min(shards, max(TASKS, -(-shards // SHARDS_A_TASK)))
+    raw = raw.withColumn("_shard", F.pmod(F.hash("_h"), F.lit(shards)))
+    raw = raw.repartitionById(tasks, F.col("_shard") % tasks).sortWithinPartitions("_shard", "_h", *names)
     # Means and deviations are literals: a join would lose the order.
     scaled = [((c - (stats[2 * k] or 0.0)) / (stats[2 * k + 1] or 1.0)).alias(columns[k]) for k, c in enumerate(names)]
-    return raw.select(*scaled, (F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) / float(1 << 20)).alias("_u"))
+    return raw.select(*scaled, (F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) / float(1 << 20)).alias("_u"), "_shard")
+
+
+class Draws:
+    """Random numbers of several shards, each from its own generator. rows: how many of a batch's rows are a shard's."""
+
+    def __init__(self, of: list[np.random.Generator], rows: list[int]):
+        self.of, self.rows = of, rows
+
+    def uniform(self, low: float, high: float, size: tuple) -> np.ndarray:
+        return np.stack([g.uniform(low, high, size[1:]) for g in self.of])
+
+    def normal(self, size: tuple) -> np.ndarray:
+        out = np.zeros(size)
+        for k, (g, n) in enumerate(zip(self.of, self.rows, strict=True)):
+            out[k, :n] = g.normal(size=(n, *size[2:]))
+        return out
+
+
+def shares(data: np.ndarray, share: np.ndarray | None) -> np.ndarray | float:
+    """What a row counts in the mean over the rows of its batch."""
+    return 1 / data.shape[-2] if share is None else share
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, rows) of each shard of a task, whose rows come in the order of shards; the last column is the number."""
+    at, parts = None, []
+    for b in batches:
+        *columns, numbers = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        data = np.column_stack(columns)
+        cuts = np.flatnonzero(np.diff(numbers)) + 1
+        for part, start in zip(np.split(data, cuts), [0, *cuts], strict=True):
+            if len(part):
+                if parts and numbers[start] != at:
+                    yield at, np.concatenate(parts)
+                    parts = []
+                at = int(numbers[start])
+                parts.append(part)
+    if parts:
+        yield at, np.concatenate(parts)
+
+
+def _batches(n: int, batch: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Row numbers of the batches of n rows, which are shuffled SHARD at a time."""
+    for a in range(0, n, SHARD):
+        m = min(SHARD, n - a)
+        for at in np.array_split(rng.permutation(m), max(1, m // batch)):
+            yield a + at
+
+
+def _steps(shards: list[tuple[int, np.ndarray]], gradient: Step, x: np.ndarray, rho: float, alpha: float, rate: float, batch: int, seed: int) -> np.ndarray:
+    """The parameters of each shard after one pass of Adam steps over its rows, all of which start from x."""
+    draws = getattr(gradient, "draws", False)
+    rngs = [np.random.default_rng([seed, number]) for number, _ in shards]
+    batches = [_batches(len(data), batch, rng) for (_, data), rng in zip(shards, rngs, strict=True)]
+    p = np.tile(x, (len(shards), 1))
+    one, two, t, live = np.zeros_like(p), np.zeros_like(p), 0, list(range(len(shards)))
+    while True:
+        found = [(k, at) for k in live if (at := next(batches[k], None)) is not None]
+        if not found:
+            return p
+        live, sizes = [k for k, _ in found], [len(at) for _, at in found]
+        data = np.zeros((len(live), max(sizes), shards[0][1].shape[1]))
+        share = np.zeros((*data.shape[:2], 1))
+        for row, (k, at) in enumerate(found):
+            data[row, : len(at)] = shards[k][1][at]
+            share[row, : len(at)] = 1 / len(at)
+        which = slice(None) if len(live) == len(shards) else live
+        more = (Draws([rngs[k] for k in live], sizes),) if draws else ()
+        g = gradient(p[which], data, rho, alpha, *more, share=share)
+        t += 1
+        one[which] = 0.9 * one[which] + 0.1 * g
+        two[which] = 0.999 * two[which] + 0.001 * g * g
+        p[which] -= rate * (one[which] / (1 - 0.9**t)) / (np.sqrt(two[which] / (1 - 0.999**t)) + 1e-8)
 
 
 def average_training(rows: DataFrame, gradient: Step, x: np.ndarray, rho: float, alpha: float, rounds: int, rate: float, batch: int, seed: int) -> np.ndarray:
-    """Rounds of local Adam passes and averages of the parameters, over the partitions that rows has.
+    """Rounds of local Adam passes over the shards that rows has (its last column), and averages of their parameters.
 
-    A gradient with a true attribute draws also gets the task's random numbers.
+    A gradient with a true attribute draws also gets the shards' random numbers.
     """
-    draws = getattr(gradient, "draws", False)
     for r in range(rounds):
 
         def train(batches: Iterator[pa.RecordBatch], x: np.ndarray = x, r: int = r) -> Iterator[pa.RecordBatch]:
-            p, one, two, t, n = x.copy(), np.zeros_like(x), np.zeros_like(x), 0, 0
-            task = TaskContext.get().partitionId()
-            rng = np.random.default_rng([seed + r, task])
-            for b in batches:
-                data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
-                n += len(data)
-                for at in np.array_split(rng.permutation(len(data)), max(1, len(data) // batch)):
-                    if len(at):
-                        g = gradient(p, data[at], rho, alpha, rng) if draws else gradient(p, data[at], rho, alpha)
-                        t += 1
-                        one, two = 0.9 * one + 0.1 * g, 0.999 * two + 0.001 * g * g
-                        p -= rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.999**t)) + 1e-8)
+            total, n, shards = np.zeros_like(x), 0.0, _shards(batches)
+            while some := list(islice(shards, TOGETHER)):
+                p, sizes = _steps(some, gradient, x, rho, alpha, rate, batch, seed + r), np.array([float(len(data)) for _, data in some])
+                total, n = total + sizes @ p, n + sizes.sum()
             if n:
-                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "v": [(p * n).tobytes()], "n": [float(n)]})
+                yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "v": [total.tobytes()], "n": [n]})
 
         # Sums in the order of the tasks, so that they are the same in every run.
-        found = rows.mapInArrow(train, "task int, v binary, n double").groupBy(F.col("task") % 64).applyInArrow(_added, "task int, v binary, n double").collect()
+        found = rows.mapInArrow(train, "task int, v binary, n double").groupBy(F.col("task") % 8).applyInArrow(_added, "task int, v binary, n double").collect()
         if not found:
             return x
         found = sorted(found, key=lambda f: f["task"])
@@ -98,7 +171,7 @@ class _Network(Learner):
                 self.mask = chosen if given is None else chosen * given
             preselection = None if self.mask is None else np.array(self.mask)
             train = rows.filter(F.col("_u") >= self.holdout).drop("_u")
-            aside = rows.filter(F.col("_u") < self.holdout).drop("_u") if self.holdout else None
+            aside = rows.filter(F.col("_u") < self.holdout).drop("_u", "_shard") if self.holdout else None
             rho, alpha, last = 1.0, 0.0, np.inf
             x = self.start(d, np.random.default_rng(self.seed))
             for k in range(self.max_iter):
@@ -110,7 +183,7 @@ class _Network(Learner):
                 last = h
                 if h < self.h_tol:
                     break
-            w = self.strengths(rows.drop("_u"), columns, x)
+            w = self.strengths(rows.drop("_u", "_shard"), columns, x)
         finally:
             self.mask = given
             rows.unpersist()
@@ -158,11 +231,11 @@ class NotearsNetwork(_Network):
     """One hidden layer for every variable; an edge's strength is the norm of the weights from cause to layer."""
 
     def _split(self, x: np.ndarray, d: int):
-        m = self.hidden
-        a = x[: d * d * m].reshape(d, d, m)  # cause, variable, unit
-        b = x[d * d * m : d * d * m + d * m].reshape(d, m)
-        c = x[d * d * m + d * m : d * d * m + 2 * d * m].reshape(d, m)
-        return a, b, c, x[-d:]
+        m, many = self.hidden, x.shape[:-1]
+        a = x[..., : d * d * m].reshape(*many, d, d, m)  # cause, variable, unit
+        b = x[..., d * d * m : d * d * m + d * m].reshape(*many, d, m)
+        c = x[..., d * d * m + d * m : d * d * m + 2 * d * m].reshape(*many, d, m)
+        return a, b, c, x[..., -d:]
 
     def start(self, d: int, rng: np.random.Generator) -> np.ndarray:
         m = self.hidden
@@ -176,16 +249,19 @@ class NotearsNetwork(_Network):
         m, lambda1, split = self.hidden, self.lambda1, self._split
         off = (1 - np.eye(d))[:, :, None]
 
-        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float) -> np.ndarray:
+        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, share: np.ndarray | None = None) -> np.ndarray:
+            *many, n, _ = data.shape
             a, b, c, c0 = split(x, d)
-            a = a * off
-            s = 1 / (1 + np.exp(-(np.einsum("ni,ijm->njm", data, a) + b)))
-            slope = (np.einsum("njm,jm->nj", s, c) + c0 - data) / len(data)
-            back = slope[:, :, None] * c * s * (1 - s)
-            w = np.sqrt((a * a).sum(axis=2) + 1e-8)
+            a, each = a * off, c[..., None, :, :]
+            s = 1 / (1 + np.exp(-((data @ a.reshape(*many, d, d * m)).reshape(*many, n, d, m) + b[..., None, :, :])))
+            slope = ((s * each).sum(axis=-1) + c0[..., None, :] - data) * shares(data, share)
+            back = slope[..., None] * each * s * (1 - s)
+            w = np.sqrt((a * a).sum(axis=-1) + 1e-8)
             h, grad_h = acyclicity_power(w * off[:, :, 0])
-            g_a = (np.einsum("ni,njm->ijm", data, back) + ((rho * h + alpha) * grad_h + lambda1)[:, :, None] * a / w[:, :, None]) * off
-            return np.concatenate([g_a.ravel(), back.sum(axis=0).ravel(), (np.einsum("nj,njm->jm", slope, s) + 1e-3 * c).ravel(), slope.sum(axis=0)])
+            penalty = np.asarray(rho * h + alpha)[..., None, None] * grad_h + lambda1
+            g_a = ((np.swapaxes(data, -1, -2) @ back.reshape(*many, n, d * m)).reshape(a.shape) + (penalty / w)[..., None] * a) * off
+            g_c = (slope[..., None] * s).sum(axis=-3) + 1e-3 * c
+            return np.concatenate([v.reshape(*many, -1) for v in (g_a, back.sum(axis=-3), g_c, slope.sum(axis=-2))], axis=-1)
 
         return f
 
@@ -200,7 +276,7 @@ class GraphAutoencoder(_Network):
 
     def _split(self, x: np.ndarray, d: int):
         m = self.hidden
-        return x[: d * d].reshape(d, d), x[d * d : d * d + 3 * m + 1], x[d * d + 3 * m + 1 :]
+        return x[..., : d * d].reshape(*x.shape[:-1], d, d), x[..., d * d : d * d + 3 * m + 1], x[..., d * d + 3 * m + 1 :]
 
     def start(self, d: int, rng: np.random.Generator) -> np.ndarray:
         m = self.hidden
@@ -213,25 +289,30 @@ class GraphAutoencoder(_Network):
     def gradient(self, d: int) -> Step:
         m, lambda1, split, off = self.hidden, self.lambda1, self._split, 1 - np.eye(d)
 
+        def parts(p: np.ndarray) -> list[np.ndarray]:
+            return [p[..., None, None, k * m : (k + 1) * m] for k in range(3)]
+
         def net(p: np.ndarray, v: np.ndarray):
-            t = np.tanh(v[:, :, None] * p[:m] + p[m : 2 * m])
-            return t @ p[2 * m : 3 * m] + p[3 * m], t
+            way, bias, out = parts(p)
+            t = np.tanh(v[..., None] * way + bias)
+            return (t * out).sum(axis=-1) + p[..., None, None, 3 * m], t
 
         def net_back(p: np.ndarray, v: np.ndarray, t: np.ndarray, g: np.ndarray):
-            inner = g[:, :, None] * p[2 * m : 3 * m] * (1 - t * t)
-            own = np.concatenate([(inner * v[:, :, None]).sum(axis=(0, 1)), inner.sum(axis=(0, 1)), (g[:, :, None] * t).sum(axis=(0, 1)), [g.sum()]])
-            return own, inner @ p[:m]
+            way, _, out = parts(p)
+            inner = g[..., None] * out * (1 - t * t)
+            own = np.concatenate([*(u.sum(axis=(-3, -2)) for u in (inner * v[..., None], inner, g[..., None] * t)), g.sum(axis=(-2, -1))[..., None]], axis=-1)
+            return own, (inner * way).sum(axis=-1)
 
-        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float) -> np.ndarray:
+        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, share: np.ndarray | None = None) -> np.ndarray:
             a, enc, dec = split(x, d)
             a = a * off
             code, t1 = net(enc, data)
             mixed = code @ a
             out, t2 = net(dec, mixed)
-            g_dec, g_mixed = net_back(dec, mixed, t2, (out - data) / len(data))
-            g_enc, _ = net_back(enc, data, t1, g_mixed @ a.T)
+            g_dec, g_mixed = net_back(dec, mixed, t2, (out - data) * shares(data, share))
+            g_enc, _ = net_back(enc, data, t1, g_mixed @ np.swapaxes(a, -1, -2))
             h, grad_h = acyclicity(a)
-            g_a = (code.T @ g_mixed + lambda1 * np.sign(a) + (rho * h + alpha) * grad_h) * off
-            return np.concatenate([g_a.ravel(), g_enc, g_dec])
+            g_a = (np.swapaxes(code, -1, -2) @ g_mixed + lambda1 * np.sign(a) + np.asarray(rho * h + alpha)[..., None, None] * grad_h) * off
+            return np.concatenate([g_a.reshape(*a.shape[:-2], -1), g_enc, g_dec], axis=-1)
 
         return f

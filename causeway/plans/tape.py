@@ -11,11 +11,14 @@ from causeway.functions.autodiff import ACTIVATIONS, Parameters, Value, absolute
 from causeway.functions.tails import matrix_exponential
 from causeway.plans.base import Graph, learner
 from causeway.plans.dense import acyclicity, acyclicity_power
-from causeway.plans.neural import Step, _Network
+from causeway.plans.neural import Draws, Step, _Network, shares
 
 
 class _Tape(_Network):
-    """Subclasses give shapes(d), loss(p, data, rho, alpha, rng) and weights(x, d)."""
+    """Subclasses give shapes(d), loss(p, data, rho, alpha, rng, share) and weights(x, d).
+
+    A loss of several shards at once (an axis before the others) is their sum; share: what each row counts in its shard's mean.
+    """
 
     #: Standard deviations of the draws that parameters start from, where they are not their usual ones.
     scale: dict[str, float] = {}
@@ -23,7 +26,7 @@ class _Tape(_Network):
     def shapes(self, d: int) -> dict[str, tuple]:
         raise NotImplementedError
 
-    def loss(self, p: dict[str, Value], data: np.ndarray, rho: float, alpha: float, rng: np.random.Generator) -> Value:
+    def loss(self, p: dict[str, Value], data: np.ndarray, rho: float, alpha: float, rng: np.random.Generator | Draws, share: np.ndarray | None = None) -> Value:
         raise NotImplementedError
 
     def parameters(self, d: int) -> Parameters:
@@ -38,9 +41,9 @@ class _Tape(_Network):
     def gradient(self, d: int) -> Step:
         parameters = self.parameters(d)
 
-        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, rng: np.random.Generator) -> np.ndarray:
+        def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, rng: np.random.Generator | Draws, share: np.ndarray | None = None) -> np.ndarray:
             p = parameters.values(x)
-            return parameters.gradient(self.loss(p, data, rho, alpha, rng), p)
+            return parameters.gradient(self.loss(p, data, rho, alpha, rng, share), p)
 
         f.draws = True
         return f
@@ -51,7 +54,7 @@ class _Tape(_Network):
         return float(self.loss(p, data, 0.0, 0.0, np.random.default_rng(self.seed)).x) * len(data)
 
     def width(self, data: np.ndarray) -> int:
-        return data.shape[1]
+        return data.shape[-1]
 
     def off(self, d: int) -> np.ndarray:
         """Which edges there may be."""
@@ -60,18 +63,24 @@ class _Tape(_Network):
     def penalty(self, w: Value, rho: float, alpha: float) -> Value:
         h, slope = self.constraint(w.x)
         h = from_rule(w, h, slope)
-        return h * h * (0.5 * rho) + h * alpha
+        return (h * h * (0.5 * rho) + h * alpha).sum()
+
+
+def across(v: Value) -> Value:
+    """A vector that is the same for all rows."""
+    return v.reshape(*v.shape[:-1], 1, v.shape[-1])
 
 
 def per_variable(p: dict[str, Value], data: np.ndarray | Value, seen: Value | np.ndarray, layers: int, activation: str) -> Value:
     """(n, d): the output of every variable's own network over the variables that it sees."""
     a = p["a0"] * (seen if isinstance(seen, Value) else Value(seen)).reshape(*np.shape(seen.x if isinstance(seen, Value) else seen), 1)  # cause, variable, unit
-    d, m = a.shape[1], a.shape[2]
-    h = (Value(data) @ a.reshape(d, d * m)).reshape(len(data), d, m).swap(0, 1) + p["b_0"]
+    *many, n, d = data.shape
+    m = a.shape[-1]
+    h = (Value(data) @ a.reshape(*many, d, d * m)).reshape(*many, n, d, m).swap(-3, -2) + p["b_0"]
     act = ACTIVATIONS[activation]
     for k in range(1, layers):
         h = act(h) @ p[f"a{k}"] + p[f"b_{k}"]
-    return ((act(h) @ p["out"]).reshape(d, len(data)) + p["b_out"]).swap()
+    return ((act(h) @ p["out"]).reshape(*many, d, n) + p["b_out"]).swap()
 
 
 def network_shapes(d: int, hidden: int, layers: int) -> dict[str, tuple]:
@@ -106,22 +115,22 @@ class GraNDAG(_Tape):
     @staticmethod
     def constraint(w: np.ndarray) -> tuple[float, np.ndarray]:
         e = matrix_exponential(w)
-        return float(np.trace(e) - len(w)), e.T
+        return np.trace(e, axis1=-2, axis2=-1) - w.shape[-1], np.swapaxes(e, -1, -2)
 
     def paths(self, p: dict[str, Value], d: int) -> Value:
         """(cause, variable)."""
-        way = absolute(p["a0"]).swap(0, 1)
+        way = absolute(p["a0"]).swap(-3, -2)
         for k in range(1, self.layers):
             way = way @ absolute(p[f"a{k}"])
-        every = (way @ absolute(p["out"])).reshape(d, d).swap()
+        every = (way @ absolute(p["out"])).reshape(*way.shape[:-3], d, d).swap()
         if self.normalise:
-            every = every / (every.sum(axis=0, keepdims=True) + 1e-8)
+            every = every / (every.sum(axis=-2, keepdims=True) + 1e-8)
         return every * self.off(d)
 
-    def loss(self, p, data, rho, alpha, rng) -> Value:
-        d = data.shape[1]
+    def loss(self, p, data, rho, alpha, rng, share=None) -> Value:
+        d = data.shape[-1]
         gap = per_variable(p, data, self.off(d), self.layers, self.activation) - data
-        likelihood = (p["b_log"] * len(data) + (gap * gap * 0.5 * exp(p["b_log"] * -2.0)).sum(axis=0)).sum() * (1 / len(data))
+        likelihood = (p["b_log"] + (gap * gap * shares(data, share)).sum(axis=-2) * 0.5 * exp(p["b_log"] * -2.0)).sum()
         w = self.paths(p, d)
         return likelihood + self.penalty(w, rho, alpha) + w.sum() * (self.lambda1 * (rho > 0))
 
@@ -211,17 +220,17 @@ class MCSL(_Tape):
 
     scale = {"logit": 0.01, "line": 0.1, "bow": 0.1}
 
-    def loss(self, p, data, rho, alpha, rng) -> Value:
-        d = data.shape[1]
-        u = rng.uniform(1e-6, 1 - 1e-6, (d, d))
+    def loss(self, p, data, rho, alpha, rng, share=None) -> Value:
+        *many, _, d = data.shape
+        u = rng.uniform(1e-6, 1 - 1e-6, (*many, d, d))
         drawn = sigmoid((p["logit"] + np.log(u / (1 - u))) * (1 / self.heat)) * self.off(d)
         if self.model == "nn":
             out = per_variable(p, data, drawn, self.layers, self.activation)
         else:
-            out = Value(data) @ (p["line"] * drawn) + Value(data**2) @ (p["bow"] * drawn) + p["b_out"]
+            out = Value(data) @ (p["line"] * drawn) + Value(data**2) @ (p["bow"] * drawn) + across(p["b_out"])
         gap = out - data
         chance = sigmoid(p["logit"] * (1 / self.heat)) * self.off(d)
-        return (gap * gap).sum() * (0.5 / len(data)) + self.penalty(chance, rho, alpha) + chance.sum() * (self.lambda1 * (rho > 0))
+        return (gap * gap * shares(data, share)).sum() * 0.5 + self.penalty(chance, rho, alpha) + chance.sum() * (self.lambda1 * (rho > 0))
 
     def weights(self, x: np.ndarray, d: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.part(x, d, "logit") / self.heat, -50, 50))) * self.off(d)
@@ -243,12 +252,12 @@ class NotearsMLP(_Tape):
     def shapes(self, d: int) -> dict[str, tuple]:
         return network_shapes(d, self.hidden, self.layers)
 
-    def loss(self, p, data, rho, alpha, rng) -> Value:
-        d = data.shape[1]
+    def loss(self, p, data, rho, alpha, rng, share=None) -> Value:
+        d = data.shape[-1]
         gap = per_variable(p, data, self.off(d), self.layers, self.activation) - data
-        w = root((p["a0"] * p["a0"]).sum(axis=2)) * self.off(d)
+        w = root((p["a0"] * p["a0"]).sum(axis=-1)) * self.off(d)
         decay = sum(((p[k] * p[k]).sum() for k in p if k[0] == "o" or (k[0] == "a" and k != "a0")), Value(0.0)) * (0.5e-3 * (rho > 0))
-        return (gap * gap).sum() * (0.5 / len(data)) + self.penalty(w, rho, alpha) + w.sum() * (self.lambda1 * (rho > 0)) + decay
+        return (gap * gap * shares(data, share)).sum() * 0.5 + self.penalty(w, rho, alpha) + w.sum() * (self.lambda1 * (rho > 0)) + decay
 
     def weights(self, x: np.ndarray, d: int) -> np.ndarray:
         a = self.part(x, d, "a0")
@@ -256,9 +265,9 @@ class NotearsMLP(_Tape):
 
 
 def shared(p: dict[str, Value], name: str, v: Value) -> Value:
-    """One network for all variables, over the last axis, with a straight way beside its hidden layer."""
-    h = ACTIVATIONS["tanh"](v @ p[f"{name}_in"] + p[f"b_{name}_in"])
-    return h @ p[f"{name}_out"] + v @ p[f"{name}_line"] + p[f"b_{name}_out"]
+    """One network for all variables, which are rows of v, with a straight way beside its hidden layer."""
+    h = ACTIVATIONS["tanh"](v @ p[f"{name}_in"] + across(p[f"b_{name}_in"]))
+    return h @ p[f"{name}_out"] + v @ p[f"{name}_line"] + across(p[f"b_{name}_out"])
 
 
 def shared_shapes(name: str, size: int, hidden: int, to: int) -> dict[str, tuple]:
@@ -296,19 +305,19 @@ class DAGGNN(_Tape):
                 p[name].x[:] = 1.0
         return np.concatenate([v.x.ravel() for v in p.values()])
 
-    def loss(self, p, data, rho, alpha, rng) -> Value:
-        n, d = data.shape
-        a = p["graph"] * self.off(d)
+    def loss(self, p, data, rho, alpha, rng, share=None) -> Value:
+        *many, n, d = data.shape
+        a, share = p["graph"] * self.off(d), shares(data, share)
         less, way = np.eye(d) - a, inverse(np.eye(d) - a)
-        code = Value(data) if self.form == "sem" else shared(p, "code", Value(data[:, :, None])).reshape(n, d)
+        code = Value(data) if self.form == "sem" else shared(p, "code", Value(data.reshape(*many, n * d, 1))).reshape(*many, n, d)
         z = code @ less
         log = p["b_log"] if self.learn_noise else Value(np.full(d, np.log(self.noise)))
-        drawn = z + exp(log) * rng.normal(size=(n, d))
+        drawn = z + across(exp(log)) * rng.normal(size=(*many, n, d))
         mixed = drawn @ way
-        out = mixed if self.form == "sem" else shared(p, "back", mixed.reshape(n, d, 1)).reshape(n, d)
+        out = mixed if self.form == "sem" else shared(p, "back", mixed.reshape(*many, n * d, 1)).reshape(*many, n, d)
         gap = out - data
-        apart = (z * z).sum() * (0.5 / n) + (exp(log * 2.0) * 0.5 - log).sum()
-        return (gap * gap).sum() * (0.5 / n) + apart + self.penalty(a, rho, alpha) + absolute(a).sum() * (self.lambda1 * (rho > 0))
+        apart = (z * z * share).sum() * 0.5 + (exp(log * 2.0) * 0.5 - log).sum()
+        return (gap * gap * share).sum() * 0.5 + apart + self.penalty(a, rho, alpha) + absolute(a).sum() * (self.lambda1 * (rho > 0))
 
     def weights(self, x: np.ndarray, d: int) -> np.ndarray:
         return self.part(x, d, "graph") * self.off(d)
@@ -348,19 +357,19 @@ class VectorAutoencoder(_Tape):
         return len(columns) // self.length
 
     def width(self, data: np.ndarray) -> int:
-        return data.shape[1] // self.length
+        return data.shape[-1] // self.length
 
     def shapes(self, d: int) -> dict[str, tuple]:
         return {"graph": (d, d)} | shared_shapes("code", self.length, self.hidden, self.code) | shared_shapes("back", self.code, self.hidden, self.length)
 
-    def loss(self, p, data, rho, alpha, rng) -> Value:
-        n, d = len(data), self.width(data)
-        x = data.reshape(n, d, self.length)
+    def loss(self, p, data, rho, alpha, rng, share=None) -> Value:
+        *many, n, _ = data.shape
+        d = self.width(data)
         a = p["graph"] * self.off(d)
-        code = shared(p, "code", Value(x))
-        mixed = a.swap() @ code
-        gap = shared(p, "back", mixed) - x
-        return (gap * gap).sum() * (0.5 / n) + self.penalty(a, rho, alpha) + absolute(a).sum() * (self.lambda1 * (rho > 0))
+        code = shared(p, "code", Value(data.reshape(*many, n * d, self.length))).reshape(*many, n, d, self.code)
+        mixed = a.swap().reshape(*many, 1, d, d) @ code
+        gap = shared(p, "back", mixed.reshape(*many, n * d, self.code)).reshape(*data.shape) - data
+        return (gap * gap * shares(data, share)).sum() * 0.5 + self.penalty(a, rho, alpha) + absolute(a).sum() * (self.lambda1 * (rho > 0))
 
     def weights(self, x: np.ndarray, d: int) -> np.ndarray:
         return self.part(x, d, "graph") * self.off(d)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import tails
 from causeway.operators.scores import BIC, BDeu
-from causeway.plans import base, cam, continuous, dense, lingam, score, tape
+from causeway.plans import base, cam, continuous, deep, dense, lingam, neural, score, tape
 from causeway.sources import simulate
 
 NETS = [
@@ -80,6 +80,39 @@ def test_networks_do_not_depend_on_partitions(chain, name, options):
     assert np.array_equal(one.matrix, two.matrix) and np.allclose(one.weights, two.weights, atol=1e-6)
 
 
+@pytest.mark.parametrize("net", [*NETS, lambda: neural.NotearsNetwork(hidden=3), lambda: neural.GraphAutoencoder(hidden=3), lambda: tape.VectorAutoencoder(hidden=3), lambda: deep.PNL(hidden=3)])
+def test_shards_together_are_those_one_by_one(net):
+    """Shards of unlike lengths, one under a batch and one over the rows that are shuffled at a time."""
+    net, rng = net(), np.random.default_rng(4)
+    pairs = [(0, 1), (1, 0), (2, 1)]
+    gradient, x = net.gradient(pairs if isinstance(net, deep.PNL) else 3), net.start(3, rng)
+    shards = [(k, rng.normal(size=(n, 3))) for k, n in ((0, 300), (2, 9), (5, 331))]
+    shards += [(7, rng.normal(size=(neural.SHARD + 20, 3)))] if isinstance(net, neural.NotearsNetwork) else []
+    together = neural._steps(shards, gradient, x, 2.0, 0.7, 0.02, 32, 1)
+    for shard, p in zip(shards, together, strict=True):
+        assert np.allclose(neural._steps([shard], gradient, x, 2.0, 0.7, 0.02, 32, 1)[0], p, atol=1e-7)
+
+
+def test_tasks_of_training_are_bounded(chain, monkeypatch):
+    columns = ["x0", "x1", "x3"]
+    rows = neural.dealt(chain, columns, 10)
+    assert rows.rdd.getNumPartitions() == neural.TASKS and rows.select("_shard").distinct().count() > 100
+    held = [[r._shard for r in part] for part in rows.rdd.glom().collect()]
+    assert all(part == sorted(part) for part in held) and max(map(len, held)) < 2 * 1200 / neural.TASKS
+    assert sum(len(set(part)) for part in held) == len(set(sum(held, [])))  # a shard is in one task
+    net = neural.NotearsNetwork(hidden=3)
+
+    def trained() -> np.ndarray:
+        rows = neural.dealt(chain, columns, 10).drop("_u")
+        return neural.average_training(rows, net.gradient(3), net.start(3, np.random.default_rng(0)), 1.0, 0.0, 2, 0.02, 8, 0)
+
+    first = trained()
+    monkeypatch.setattr(neural, "TASKS", 3)
+    monkeypatch.setattr(neural, "SHARDS_A_TASK", 50)
+    assert np.allclose(trained(), first, atol=1e-9)
+    assert neural.dealt(chain.limit(0), columns).count() == 0 and neural.dealt(chain, columns).rdd.getNumPartitions() == 1
+
+
 def test_vectors_of_numbers(spark):
     w = np.zeros((3, 3))
     w[0, 1] = 1.5
