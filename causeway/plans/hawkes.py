@@ -22,15 +22,22 @@ STRETCH, VANISHED = 300.0, 745.0
 PIECES = 256
 
 
-def decay(events: DataFrame, rings: DataFrame, delta: float) -> DataFrame:
+def decay(events: DataFrame, rings: DataFrame, delta: float, held: list[DataFrame] | None = None) -> DataFrame:
     """(node, timestamp, event, times, hop, cause, decay): exp(-delta * age) summed over earlier events of each type
     at the nodes of each ring. events: node, timestamp, event, times; rings: node, hop, neighbour.
 
     The exponential factors, so a time needs a running sum over earlier times and not its pairs with them. Time is
     cut into pieces, and pieces are put together in stretches: sums run within a piece, over the pieces of a stretch,
     and over the last stretches, always from the start of each, where no factor overflows. Rows are in proportion to
-    events and to results, and a busy node is sorted a piece at a time.
+    events and to results, and a busy node is sorted a piece at a time. With a list for held, tables that several steps
+    read are persisted and put there, for the caller to give up; without one they are computed for each.
     """
+
+    def kept(df: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(df.persist())
+        return df
+
     keys = ["node", "hop", "cause"]
     earlier = events.groupBy("node", "timestamp", "event").agg(F.sum("times").alias("k")).select(F.col("node").alias("neighbour"), F.col("timestamp").alias("at"), F.col("event").alias("cause"), "k")
     low, high = events.agg(F.min("timestamp").cast("double"), F.max("timestamp").cast("double")).first()
@@ -40,16 +47,17 @@ def decay(events: DataFrame, rings: DataFrame, delta: float) -> DataFrame:
     per = int(STRETCH / x) if x > STRETCH / 1e9 else 10**9
     reach = int(VANISHED / (x * per)) + 2 if x * per > 1 else 1
 
-    sent = earlier.join(rings, "neighbour").groupBy(*keys, "at").agg(F.sum("k").alias("k"))
+    sent = kept(earlier.join(rings, "neighbour").groupBy(*keys, "at").agg(F.sum("k").alias("k")))
     asked = events.select("node", F.col("timestamp").alias("at")).distinct().join(sent.select(*keys).distinct(), "node")
     marks = sent.select(*keys, "at", "k", F.lit(False).alias("asked")).unionByName(asked.select(*keys, "at", F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked")))
     since = F.col("at").cast("double") - F.lit(low or 0.0)
-    marks = marks.groupBy(*keys, "at").agg(F.sum("k").alias("k"), F.max("asked").alias("asked")).withColumn("piece", F.floor(since / width)).withColumn("into", since - F.col("piece") * width)
+    # Dealt by piece, in which times are put together, sorted, and met by what came before: one shuffle for all.
+    marks = marks.withColumn("piece", F.floor(since / width)).repartition(*keys, "piece").groupBy(*keys, "piece", "at").agg(F.sum("k").alias("k"), F.max("asked").alias("asked")).withColumn("into", since - F.col("piece") * width)
 
     before = W.Window.partitionBy(*keys, "piece").orderBy("at").rowsBetween(W.Window.unboundedPreceding, -1)
-    marks = marks.withColumn("near", F.coalesce(F.sum(F.col("k") * F.exp(delta * F.col("into"))).over(before), F.lit(0.0)) * F.exp(-delta * F.col("into")))
+    marks = kept(marks.withColumn("near", F.coalesce(F.sum(F.col("k") * F.exp(delta * F.col("into"))).over(before), F.lit(0.0)) * F.exp(-delta * F.col("into"))))
     pieces = marks.groupBy(*keys, "piece").agg(F.sum(F.col("k") * F.exp(-delta * (width - F.col("into")))).alias("left"), F.min(F.when(F.col("k") > 0, F.col("at"))).alias("first"))
-    pieces = pieces.withColumn("stretch", F.floor(F.col("piece") / per)).withColumn("place", F.col("piece") - F.col("stretch") * per)
+    pieces = kept(pieces.withColumn("stretch", F.floor(F.col("piece") / per)).withColumn("place", F.col("piece") - F.col("stretch") * per))
     stretches = pieces.groupBy(*keys, "stretch").agg(F.sum(F.col("left") * F.exp(-x * (per - F.col("place") - 1))).alias("left"))
     onward = stretches.select(*keys, "left", "stretch", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("j"))
     onward = onward.select(*keys, (F.col("stretch") + F.col("j") + 1).alias("stretch"), (F.col("left") * F.exp(-x * per * F.col("j"))).alias("far")).groupBy(*keys, "stretch").agg(F.sum("far").alias("far"))
@@ -104,13 +112,17 @@ class TTPM(Learner):
         masses = np.zeros((hops, d))
         for r in mass(events, rings, self.delta).collect():
             masses[r["hop"], names.index(r["cause"])] = r["mass"]
-        sums = decay(events.select("node", "timestamp", "event", "times"), rings, self.delta).select("node", "timestamp", "event", "hop", "cause", "decay")
+        held: list[DataFrame] = []
+        sums = decay(events.select("node", "timestamp", "event", "times"), rings, self.delta, held).select("node", "timestamp", "event", "hop", "cause", "decay")
         packed = sums.groupBy("node", "timestamp", "event").agg(F.map_from_entries(F.collect_list(F.struct((F.col("hop") * d + code[F.col("cause")]).alias("k"), F.col("decay").alias("v")))).alias("m"))
         vector = F.transform(F.sequence(F.lit(0), F.lit(hops * d - 1)), lambda k: F.coalesce(F.element_at(F.col("m"), k), F.lit(0.0)))
         rows = events.join(packed, ["node", "timestamp", "event"], "left").select("e", F.col("times").cast("double").alias("times"), F.coalesce(vector, F.array_repeat(F.lit(0.0), F.lit(hops * d))).alias("decay")).persist()
         counts = np.zeros(d)
         for r in rows.groupBy("e").agg(F.sum("times").alias("n")).collect():
             counts[r["e"]] = r["n"]
+        # The rows are there now, with all that EM needs.
+        for df in held:
+            df.unpersist()
 
         at = {n: i for i, n in enumerate(names)}
         must = {(at[a], at[b]) for a, b in self.required}

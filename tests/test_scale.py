@@ -33,6 +33,24 @@ def test_decay_of_nothing_and_of_one_time(spark):
     assert hawkes.decay(spark.createDataFrame([(1, 5.0, "a", 2), (1, 5.0, "b", 1)], schema), rings, 0.1).count() == 0
 
 
+def test_tables_of_the_decay_are_read_once(spark):
+    """What several steps read is held, with the same results; TTPM gives it up again."""
+    rng = np.random.default_rng(4)
+    log = pd.DataFrame({"node": rng.choice([0, 0, 1], 80), "timestamp": np.round(rng.uniform(0, 90, 80), 1), "event": rng.choice(["a", "b"], 80)})
+    events = spark.createDataFrame(log.groupby(["node", "timestamp", "event"]).size().rename("times").reset_index())
+    rings = spark.createDataFrame([(0, 0, 0), (1, 0, 1)], "node long, hop int, neighbour long")
+    held = []
+    together, apart = (sorted(map(tuple, hawkes.decay(events, rings, 3.0, h).collect())) for h in (held, None))
+    assert len(held) == 3 and all(df.is_cached for df in held)
+    assert [r[:-1] for r in together] == [r[:-1] for r in apart]
+    assert [r[-1] for r in together] == pytest.approx([r[-1] for r in apart], rel=1e-12)
+    for df in held:
+        df.unpersist()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    base.make("ttpm", delta=0.5, max_iter=2).learn(spark.createDataFrame(log))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_gap_medians_and_small_tables(spark):
     rng = np.random.default_rng(0)
     x, y = np.round(rng.normal(size=140), 1), rng.normal(size=140)  # x has ties
