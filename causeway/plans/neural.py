@@ -8,7 +8,8 @@ the steps of TOGETHER of them at once and sends one sum back. The penalties (spa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions.layers import networks, one_network
 from causeway.operators.lowrank import batch_totals
 from causeway.plans.base import Graph, Learner, learner
 from causeway.plans.dense import acyclicity, acyclicity_power, cut_to_dag
@@ -28,7 +30,7 @@ Step = Callable[..., np.ndarray]
 
 
 #: Rows of a shard; shards that a task trains at once; tasks there are at least, if there are so many shards, and shards of a task beyond.
-SHARD, TOGETHER, TASKS, SHARDS_A_TASK = 10_000, 16, 32, 64
+SHARD, TOGETHER, TASKS, SHARDS_A_TASK = 10_000, 32, 32, 64
 
 
 def dealt(df: DataFrame, columns: list[str], rows_a_shard: int = SHARD) -> DataFrame:
@@ -70,6 +72,26 @@ def shares(data: np.ndarray, share: np.ndarray | None) -> np.ndarray | float:
     return 1 / data.shape[-2] if share is None else share
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The same rows as arrays of doubles, 2 * SHARD rows in one at most, beside their _shard: every round reads them again."""
+    width = len(rows.columns) - 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, data in _shards(batches):
+            for a in range(0, len(data), 2 * SHARD):
+                yield pa.RecordBatch.from_pydict({"_rows": [data[a : a + 2 * SHARD].tobytes()], "_width": pa.array([width], pa.int32()), "_shard": pa.array([number], pa.int32())})
+
+    return rows.mapInArrow(pack, "_rows binary, _width int, _shard int")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, rows) of each shard of a task, from what packed() gives."""
+    pieces = ((number.as_py(), np.frombuffer(v.as_buffer()).reshape(-1, width.as_py())) for b in batches for v, width, number in zip(*b.columns, strict=True))
+    for number, parts in groupby(pieces, itemgetter(0)):
+        data = [part for _, part in parts]
+        yield number, data[0] if len(data) == 1 else np.concatenate(data)
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     """(number, rows) of each shard of a task, whose rows come in the order of shards; the last column is the number."""
     at, parts = None, []
@@ -88,49 +110,54 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield at, np.concatenate(parts)
 
 
-def _batches(n: int, batch: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Row numbers of the batches of n rows, which are shuffled SHARD at a time."""
-    for a in range(0, n, SHARD):
-        m = min(SHARD, n - a)
-        for at in np.array_split(rng.permutation(m), max(1, m // batch)):
-            yield a + at
+def _batches(shards: list[np.ndarray], batch: int, rngs: list[np.random.Generator]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each shard, at most SHARD, shuffled: (shard, step, row, column), and the length of each batch: (shard, step).
+
+    Batches of a shard differ by a row at most; what is beyond a batch is 0, and shards with fewer steps have batches of no rows.
+    """
+    steps = [max(1, len(data) // batch) for data in shards]
+    sizes = np.zeros((len(shards), max(steps)), dtype=int)
+    for k, (data, m) in enumerate(zip(shards, steps, strict=True)):
+        sizes[k, :m] = len(data) // m + (np.arange(m) < len(data) % m)
+    rows = np.zeros((*sizes.shape, sizes.max(), shards[0].shape[1]))
+    for k, (data, rng) in enumerate(zip(shards, rngs, strict=True)):
+        rows[k][np.arange(rows.shape[2]) < sizes[k][:, None]] = data[rng.permutation(len(data))]
+    return rows, sizes
 
 
 def _steps(shards: list[tuple[int, np.ndarray]], gradient: Step, x: np.ndarray, rho: float, alpha: float, rate: float, batch: int, seed: int) -> np.ndarray:
     """The parameters of each shard after one pass of Adam steps over its rows, all of which start from x."""
     draws = getattr(gradient, "draws", False)
     rngs = [np.random.default_rng([seed, number]) for number, _ in shards]
-    batches = [_batches(len(data), batch, rng) for (_, data), rng in zip(shards, rngs, strict=True)]
     p = np.tile(x, (len(shards), 1))
-    one, two, t, live = np.zeros_like(p), np.zeros_like(p), 0, list(range(len(shards)))
-    while True:
-        found = [(k, at) for k in live if (at := next(batches[k], None)) is not None]
-        if not found:
-            return p
-        live, sizes = [k for k, _ in found], [len(at) for _, at in found]
-        data = np.zeros((len(live), max(sizes), shards[0][1].shape[1]))
-        share = np.zeros((*data.shape[:2], 1))
-        for row, (k, at) in enumerate(found):
-            data[row, : len(at)] = shards[k][1][at]
-            share[row, : len(at)] = 1 / len(at)
-        which = slice(None) if len(live) == len(shards) else live
-        more = (Draws([rngs[k] for k in live], sizes),) if draws else ()
-        g = gradient(p[which], data, rho, alpha, *more, share=share)
-        t += 1
-        one[which] = 0.9 * one[which] + 0.1 * g
-        two[which] = 0.999 * two[which] + 0.001 * g * g
-        p[which] -= rate * (one[which] / (1 - 0.9**t)) / (np.sqrt(two[which] / (1 - 0.999**t)) + 1e-8)
+    one, two, t = np.zeros_like(p), np.zeros_like(p), 0
+    for a in range(0, max(len(data) for _, data in shards), SHARD):
+        there = [k for k, (_, data) in enumerate(shards) if len(data) > a]
+        rows, sizes = _batches([shards[k][1][a : a + SHARD] for k in there], batch, [rngs[k] for k in there])
+        share = (np.arange(rows.shape[2]) < sizes[..., None])[..., None] / np.maximum(sizes, 1)[..., None, None]
+        for step in range(sizes.shape[1]):
+            live = np.flatnonzero(sizes[:, step])
+            which = slice(None) if len(live) == len(shards) else [there[k] for k in live]
+            of = slice(None) if len(live) == len(there) else live
+            more = (Draws([rngs[there[k]] for k in live], sizes[live, step].tolist()),) if draws else ()
+            g = gradient(p[which], rows[of, step], rho, alpha, *more, share=share[of, step])
+            t += 1
+            one[which] = 0.9 * one[which] + 0.1 * g
+            two[which] = 0.999 * two[which] + 0.001 * g * g
+            p[which] -= rate * (one[which] / (1 - 0.9**t)) / (np.sqrt(two[which] / (1 - 0.999**t)) + 1e-8)
+    return p
 
 
 def average_training(rows: DataFrame, gradient: Step, x: np.ndarray, rho: float, alpha: float, rounds: int, rate: float, batch: int, seed: int) -> np.ndarray:
     """Rounds of local Adam passes over the shards that rows has (its last column), and averages of their parameters.
 
-    A gradient with a true attribute draws also gets the shards' random numbers.
+    rows may be packed. A gradient with a true attribute draws also gets the shards' random numbers.
     """
+    shards_of = _unpacked if rows.columns[0] == "_rows" else _shards
     for r in range(rounds):
 
         def train(batches: Iterator[pa.RecordBatch], x: np.ndarray = x, r: int = r) -> Iterator[pa.RecordBatch]:
-            total, n, shards = np.zeros_like(x), 0.0, _shards(batches)
+            total, n, shards = np.zeros_like(x), 0.0, shards_of(batches)
             while some := list(islice(shards, TOGETHER)):
                 p, sizes = _steps(some, gradient, x, rho, alpha, rate, batch, seed + r), np.array([float(len(data)) for _, data in some])
                 total, n = total + sizes @ p, n + sizes.sum()
@@ -163,14 +190,14 @@ class _Network(Learner):
         self.h_tol, self.rho_max, self.threshold, self.seed = h_tol, rho_max, threshold, seed
 
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
-        rows = dealt(df, columns).persist()
+        rows, train = dealt(df, columns).persist(), None
         given, d = self.mask, self.variables(columns)
         try:
             chosen = self.allowed(rows, columns)
             if chosen is not None:
                 self.mask = chosen if given is None else chosen * given
             preselection = None if self.mask is None else np.array(self.mask)
-            train = rows.filter(F.col("_u") >= self.holdout).drop("_u")
+            train = packed(rows.filter(F.col("_u") >= self.holdout).drop("_u")).persist()
             aside = rows.filter(F.col("_u") < self.holdout).drop("_u", "_shard") if self.holdout else None
             rho, alpha, last = 1.0, 0.0, np.inf
             x = self.start(d, np.random.default_rng(self.seed))
@@ -187,6 +214,8 @@ class _Network(Learner):
         finally:
             self.mask = given
             rows.unpersist()
+            if train is not None:
+                train.unpersist()
         w = w / max(np.abs(w).max(), LEAST_WEIGHT) if self.relative else w
         w = cut_to_dag(w, self.threshold)
         matrix = self.pruned(df, columns, (w != 0).astype(int))
@@ -250,18 +279,15 @@ class NotearsNetwork(_Network):
         off = (1 - np.eye(d))[:, :, None]
 
         def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, share: np.ndarray | None = None) -> np.ndarray:
-            *many, n, _ = data.shape
             a, b, c, c0 = split(x, d)
-            a, each = a * off, c[..., None, :, :]
-            s = 1 / (1 + np.exp(-((data @ a.reshape(*many, d, d * m)).reshape(*many, n, d, m) + b[..., None, :, :])))
-            slope = ((s * each).sum(axis=-1) + c0[..., None, :] - data) * shares(data, share)
-            back = slope[..., None] * each * s * (1 - s)
+            a = a * off
+            y, back = networks(data, a, b, [], c, c0, "sigmoid")
+            g_a, g_b, _, g_c, g_c0 = back((y - data) * shares(data, share))
             w = np.sqrt((a * a).sum(axis=-1) + 1e-8)
             h, grad_h = acyclicity_power(w * off[:, :, 0])
             penalty = np.asarray(rho * h + alpha)[..., None, None] * grad_h + lambda1
-            g_a = ((np.swapaxes(data, -1, -2) @ back.reshape(*many, n, d * m)).reshape(a.shape) + (penalty / w)[..., None] * a) * off
-            g_c = (slope[..., None] * s).sum(axis=-3) + 1e-3 * c
-            return np.concatenate([v.reshape(*many, -1) for v in (g_a, back.sum(axis=-3), g_c, slope.sum(axis=-2))], axis=-1)
+            g_a = (g_a + (penalty / w)[..., None] * a) * off
+            return np.concatenate([v.reshape(*x.shape[:-1], -1) for v in (g_a, g_b, g_c + 1e-3 * c, g_c0)], axis=-1)
 
         return f
 
@@ -289,28 +315,26 @@ class GraphAutoencoder(_Network):
     def gradient(self, d: int) -> Step:
         m, lambda1, split, off = self.hidden, self.lambda1, self._split, 1 - np.eye(d)
 
-        def parts(p: np.ndarray) -> list[np.ndarray]:
-            return [p[..., None, None, k * m : (k + 1) * m] for k in range(3)]
-
         def net(p: np.ndarray, v: np.ndarray):
-            way, bias, out = parts(p)
-            t = np.tanh(v[..., None] * way + bias)
-            return (t * out).sum(axis=-1) + p[..., None, None, 3 * m], t
+            """The network at all numbers of v, and what gives the derivatives by p and v."""
+            way, bias, out = (p[..., k * m : (k + 1) * m] for k in range(3))
+            last = np.concatenate([out, 0 * p[..., -1:], p[..., -1:]], axis=-1)[..., None, :]
+            y, back = one_network(np.stack([way, bias], axis=-1), last, v.reshape(*v.shape[:-2], 1, -1))
+
+            def own(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                first, last, g_v = back(g.reshape(*v.shape[:-2], 1, -1))
+                return np.concatenate([first[..., 0], first[..., 1], last[..., 0, :m], last[..., 0, -1:]], axis=-1), g_v.reshape(v.shape)
 
-        def net_back(p: np.ndarray, v: np.ndarray, t: np.ndarray, g: np.ndarray):
-            way, _, out = parts(p)
-            inner = g[..., None] * out * (1 - t * t)
-            own = np.concatenate([*(u.sum(axis=(-3, -2)) for u in (inner * v[..., None], inner, g[..., None] * t)), g.sum(axis=(-2, -1))[..., None]], axis=-1)
-            return own, (inner * way).sum(axis=-1)
+            return y.reshape(v.shape), own
 
         def f(x: np.ndarray, data: np.ndarray, rho: float, alpha: float, share: np.ndarray | None = None) -> np.ndarray:
             a, enc, dec = split(x, d)
             a = a * off
-            code, t1 = net(enc, data)
+            code, enc_back = net(enc, data)
             mixed = code @ a
-            out, t2 = net(dec, mixed)
-            g_dec, g_mixed = net_back(dec, mixed, t2, (out - data) * shares(data, share))
-            g_enc, _ = net_back(enc, data, t1, g_mixed @ np.swapaxes(a, -1, -2))
+            out, dec_back = net(dec, mixed)
+            g_dec, g_mixed = dec_back((out - data) * shares(data, share))
+            g_enc, _ = enc_back(g_mixed @ np.swapaxes(a, -1, -2))
             h, grad_h = acyclicity(a)
             g_a = (np.swapaxes(code, -1, -2) @ g_mixed + lambda1 * np.sign(a) + np.asarray(rho * h + alpha)[..., None, None] * grad_h) * off
             return np.concatenate([g_a.reshape(*a.shape[:-2], -1), g_enc, g_dec], axis=-1)

@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.autodiff import ACTIVATIONS, Parameters, Value, absolute, exp, from_rule, inverse, root, sigmoid
+from causeway.functions.autodiff import ACTIVATIONS, Parameters, Value, absolute, exp, from_rule, inverse, root, sigmoid, together
+from causeway.functions.layers import networks, one_network, turned
 from causeway.functions.tails import matrix_exponential
 from causeway.plans.base import Graph, learner
 from causeway.plans.dense import acyclicity, acyclicity_power
@@ -71,16 +72,19 @@ def across(v: Value) -> Value:
     return v.reshape(*v.shape[:-1], 1, v.shape[-1])
 
 
-def per_variable(p: dict[str, Value], data: np.ndarray | Value, seen: Value | np.ndarray, layers: int, activation: str) -> Value:
+def per_variable(p: dict[str, Value], data: np.ndarray, seen: Value | np.ndarray, layers: int, activation: str) -> Value:
     """(n, d): the output of every variable's own network over the variables that it sees."""
     a = p["a0"] * (seen if isinstance(seen, Value) else Value(seen)).reshape(*np.shape(seen.x if isinstance(seen, Value) else seen), 1)  # cause, variable, unit
-    *many, n, d = data.shape
-    m = a.shape[-1]
-    h = (Value(data) @ a.reshape(*many, d, d * m)).reshape(*many, n, d, m).swap(-3, -2) + p["b_0"]
-    act = ACTIVATIONS[activation]
-    for k in range(1, layers):
-        h = act(h) @ p[f"a{k}"] + p[f"b_{k}"]
-    return ((act(h) @ p["out"]).reshape(*many, d, n) + p["b_out"]).swap()
+    inner = [v for k in range(1, layers) for v in (p[f"a{k}"], p[f"b_{k}"])]
+    x = [v.x for v in inner]
+    deeper = [(w, b[..., 0, :]) for w, b in zip(x[::2], x[1::2], strict=True)]
+    y, back = networks(data, a.x, p["b_0"].x[..., 0, :], deeper, p["out"].x[..., 0], p["b_out"].x[..., 0], activation)
+
+    def each(g: np.ndarray) -> list[np.ndarray]:
+        g_a, g_b, found, g_out, g_b_out = back(g)
+        return [g_a, g_b[..., None, :], *(v for w, b in found for v in (w, b[..., None, :])), g_out[..., None], g_b_out[..., None]]
+
+    return together(y, [a, p["b_0"], *inner, p["out"], p["b_out"]], each)
 
 
 def network_shapes(d: int, hidden: int, layers: int) -> dict[str, tuple]:
@@ -266,8 +270,18 @@ class NotearsMLP(_Tape):
 
 def shared(p: dict[str, Value], name: str, v: Value) -> Value:
     """One network for all variables, which are rows of v, with a straight way beside its hidden layer."""
-    h = ACTIVATIONS["tanh"](v @ p[f"{name}_in"] + across(p[f"b_{name}_in"]))
-    return h @ p[f"{name}_out"] + v @ p[f"{name}_line"] + across(p[f"b_{name}_out"])
+    parts = [p[f"{name}_in"], p[f"b_{name}_in"], p[f"{name}_out"], p[f"{name}_line"], p[f"b_{name}_out"]]
+    into, b_in, out, line, b_out = (part.x for part in parts)
+    m, size = out.shape[-2], into.shape[-2]
+    first = np.concatenate([turned(into), b_in[..., None]], axis=-1)
+    last = np.concatenate([turned(out), turned(line), b_out[..., None]], axis=-1)
+    y, back = one_network(first, last, turned(v.x))
+
+    def each(g: np.ndarray) -> list[np.ndarray]:
+        f, t, g_v = back(turned(g))
+        return [turned(f[..., :size]), f[..., size], turned(t[..., :m]), turned(t[..., m:-1]), t[..., -1], turned(g_v)]
+
+    return together(turned(y), [*parts, v], each)
 
 
 def shared_shapes(name: str, size: int, hidden: int, to: int) -> dict[str, tuple]:

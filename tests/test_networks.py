@@ -113,6 +113,47 @@ def test_tasks_of_training_are_bounded(chain, monkeypatch):
     assert neural.dealt(chain.limit(0), columns).count() == 0 and neural.dealt(chain, columns).rdd.getNumPartitions() == 1
 
 
+def test_rounds_read_packed_rows(chain, monkeypatch):
+    """A record a shard, not one a row; shards of several records and unlike lengths give the same parameters."""
+    columns = ["x0", "x1", "x3"]
+    rows, net = neural.dealt(chain, columns, 100).drop("_u"), neural.NotearsNetwork(hidden=3)
+    shards = rows.select("_shard").distinct().count()
+    assert neural.packed(rows).count() == shards > 5
+    start = net.start(3, np.random.default_rng(0))
+    plain = neural.average_training(rows, net.gradient(3), start, 1.0, 0.0, 2, 0.02, 8, 0)
+    assert np.array_equal(neural.average_training(neural.packed(rows), net.gradient(3), start, 1.0, 0.0, 2, 0.02, 8, 0), plain)
+    monkeypatch.setattr(neural, "SHARD", 20)
+    held = rows.toPandas()
+    batches = neural.packed(rows).toArrow().to_batches()
+    found = {k: np.array(v) for k, v in neural._unpacked(iter(batches))}
+    assert all(np.array_equal(found[k], part[columns].to_numpy()) for k, part in held.groupby("_shard")) and len(found) == shards < sum(map(len, batches))
+
+
+def test_derivatives_that_nobody_asks_for():
+    """Those by constants, as the data and the rows' shares, are not worked out."""
+    from causeway.functions.autodiff import Value, gradient
+
+    def never(g):
+        raise AssertionError
+
+    x = Value([1.0, 2.0])
+    constant = Value([3.0, 4.0], [(Value([3.0, 4.0]), never)])
+    assert np.array_equal(gradient((x * constant).sum(), [x])[0], [3.0, 4.0])
+
+
+@pytest.mark.parametrize("units", ["tanh", "sigmoid", "relu", "leaky_relu"])
+def test_layers_in_place(units):
+    from causeway.functions import layers
+
+    v = np.concatenate([np.random.default_rng(1).normal(size=200) * 3, [0.0, 800.0, -800.0]])
+    want = {"tanh": np.tanh, "sigmoid": lambda x: 0.5 * (1 + np.tanh(x / 2)), "relu": lambda x: np.maximum(x, 0), "leaky_relu": lambda x: np.where(x > 0, x, 0.25 * x)}[units]
+    act, slope = layers.UNITS[units]
+    y = act(v.copy())
+    assert np.allclose(y, want(v), rtol=0, atol=1e-15 * max(1, np.abs(want(v)).max()))
+    inner = np.abs(v) > 1e-3
+    assert np.allclose(slope(y)[inner], (want(v + 1e-6) - want(v - 1e-6))[inner] / 2e-6, atol=1e-6)
+
+
 def test_vectors_of_numbers(spark):
     w = np.zeros((3, 3))
     w[0, 1] = 1.5
