@@ -30,7 +30,7 @@ Step = Callable[..., np.ndarray]
 
 
 #: Rows of a shard; shards that a task trains at once; tasks there are at least, if there are so many shards, and shards of a task beyond.
-SHARD, TOGETHER, TASKS, SHARDS_A_TASK = 10_000, 32, 32, 64
+SHARD, TOGETHER, TASKS, SHARDS_A_TASK = 10_000, 64, 32, 64
 
 
 def dealt(df: DataFrame, columns: list[str], rows_a_shard: int = SHARD) -> DataFrame:
@@ -119,9 +119,14 @@ def _batches(shards: list[np.ndarray], batch: int, rngs: list[np.random.Generato
     sizes = np.zeros((len(shards), max(steps)), dtype=int)
     for k, (data, m) in enumerate(zip(shards, steps, strict=True)):
         sizes[k, :m] = len(data) // m + (np.arange(m) < len(data) % m)
-    rows = np.zeros((*sizes.shape, sizes.max(), shards[0].shape[1]))
-    for k, (data, rng) in enumerate(zip(shards, rngs, strict=True)):
-        rows[k][np.arange(rows.shape[2]) < sizes[k][:, None]] = data[rng.permutation(len(data))]
+    width = shards[0].shape[1]
+    rows = np.zeros((*sizes.shape, sizes.max(), width))
+    for k, (data, m, rng) in enumerate(zip(shards, steps, rngs, strict=True)):
+        size, longer = divmod(len(data), m)
+        mixed, cut = data[rng.permutation(len(data))], longer * (size + 1)
+        if longer:
+            rows[k, :longer, : size + 1] = mixed[:cut].reshape(longer, size + 1, width)
+        rows[k, longer:m, :size] = mixed[cut:].reshape(m - longer, size, width)
     return rows, sizes
 
 
@@ -190,7 +195,9 @@ class _Network(Learner):
         self.h_tol, self.rho_max, self.threshold, self.seed = h_tol, rho_max, threshold, seed
 
     def learn(self, df: DataFrame, columns: list[str]) -> Graph:
-        rows, train = dealt(df, columns).persist(), None
+        # Means, deviations and the shards are all of these rows; what df is made by may be costly and runs once.
+        own = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop("any").persist()
+        rows, train = dealt(own, columns).persist(), None
         given, d = self.mask, self.variables(columns)
         try:
             chosen = self.allowed(rows, columns)
@@ -213,6 +220,7 @@ class _Network(Learner):
             w = self.strengths(rows.drop("_u", "_shard"), columns, x)
         finally:
             self.mask = given
+            own.unpersist()
             rows.unpersist()
             if train is not None:
                 train.unpersist()

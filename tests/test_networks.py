@@ -129,6 +129,43 @@ def test_rounds_read_packed_rows(chain, monkeypatch):
     assert all(np.array_equal(found[k], part[columns].to_numpy()) for k, part in held.groupby("_shard")) and len(found) == shards < sum(map(len, batches))
 
 
+def test_rows_are_made_once(spark, chain):
+    """What the rows are derived by runs once, not again for means and deviations."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    neural.GraphAutoencoder(max_iter=1, rounds=2).learn(chain.mapInArrow(count, chain.schema), ["x0", "x1"])
+    assert made.value == 1200
+
+
+def test_batches_of_even_and_uneven_shards():
+    shards = [np.arange(2.0 * n).reshape(n, 2) for n in (320, 331, 9, 300)]
+    rows, sizes = neural._batches(shards, 32, [np.random.default_rng(k) for k in range(4)])
+    assert sizes.sum(axis=1).tolist() == [320, 331, 9, 300] and sizes.max() - sizes[[0, 1, 3]][sizes[[0, 1, 3]] > 0].min() <= 2
+    for k, data in enumerate(shards):
+        there = np.arange(rows.shape[2]) < sizes[k][:, None]
+        assert np.array_equal(rows[k][there], data[np.random.default_rng(k).permutation(len(data))]) and not rows[k][~there].any()
+
+
+def test_codes_of_several_numbers():
+    """The mix along the edges is one product a shard."""
+    rng, net = np.random.default_rng(1), tape.VectorAutoencoder(hidden=3, code=2)
+    net.length = 2
+    data, x = rng.normal(size=(12, 6)), net.start(3, rng)
+    p = net.parameters(3).values(x)
+    a, code = p["graph"].x * net.off(3), tape.shared(p, "code", data.reshape(36, 2)).x.reshape(12, 3, 2)
+    out = tape.shared(p, "back", np.einsum("ij,nic->njc", a, code).reshape(36, 2)).x.reshape(12, 6)
+    assert float(net.loss(p, data, 0.0, 0.0, rng).x) == pytest.approx(0.5 * ((out - data) ** 2).sum() / 12, rel=1e-12)
+    g, loss = net.gradient(3)(x, data, 2.0, 0.7, rng), lambda x: float(net.loss(net.parameters(3).values(x), data, 2.0, 0.7, rng).x)
+    for k in rng.choice(len(x), 25, replace=False):
+        e = np.eye(len(x))[k] * 1e-5
+        assert (loss(x + e) - loss(x - e)) / 2e-5 == pytest.approx(g[k], rel=1e-3, abs=1e-5)
+
+
 def test_derivatives_that_nobody_asks_for():
     """Those by constants, as the data and the rows' shares, are not worked out."""
     from causeway.functions.autodiff import Value, gradient
