@@ -53,19 +53,19 @@ def turned(x: np.ndarray) -> np.ndarray:
 
 
 def one_network(first: np.ndarray, last: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, Callable]:
-    """last @ [tanh(first @ [v; 1]); v; 1], and what gives, for its derivative, those by first, last and v."""
+    """last @ [tanh(first @ [v; 1]); v; 1], and what gives, for its derivative, those by first, last and (None if not asked for) v."""
     m, k = first.shape[-2], v.shape[-2]
     seen = np.empty((*v.shape[:-2], k + 1, v.shape[-1]))
     seen[..., :k, :], seen[..., k, :] = v, 1
     hidden = tanh(first @ seen)
     out, line = last[..., :m], last[..., m:]
 
-    def back(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def back(g: np.ndarray, by_v: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         inner = hidden * hidden
         np.subtract(1, inner, out=inner)
         inner *= turned(out) * g if g.shape[-2] == 1 else turned(out) @ g
         by_last = np.concatenate([g @ turned(hidden), g @ turned(seen)], axis=-1)
-        return inner @ turned(seen), by_last, turned(first[..., :k]) @ inner + turned(line[..., :k]) @ g
+        return inner @ turned(seen), by_last, turned(first[..., :k]) @ inner + turned(line[..., :k]) @ g if by_v else None
 
     return out @ hidden + line @ seen, back
 

@@ -268,20 +268,21 @@ class NotearsMLP(_Tape):
         return np.sqrt((a * a).sum(axis=2)) * self.off(d)
 
 
-def shared(p: dict[str, Value], name: str, v: Value) -> Value:
-    """One network for all variables, which are rows of v, with a straight way beside its hidden layer."""
+def shared(p: dict[str, Value], name: str, v: Value | np.ndarray) -> Value:
+    """One network for all variables, which are rows of v, with a straight way beside its hidden layer. No derivatives by an array."""
+    by_v = isinstance(v, Value)
     parts = [p[f"{name}_in"], p[f"b_{name}_in"], p[f"{name}_out"], p[f"{name}_line"], p[f"b_{name}_out"]]
     into, b_in, out, line, b_out = (part.x for part in parts)
     m, size = out.shape[-2], into.shape[-2]
     first = np.concatenate([turned(into), b_in[..., None]], axis=-1)
     last = np.concatenate([turned(out), turned(line), b_out[..., None]], axis=-1)
-    y, back = one_network(first, last, turned(v.x))
+    y, back = one_network(first, last, turned(v.x if by_v else v))
 
     def each(g: np.ndarray) -> list[np.ndarray]:
-        f, t, g_v = back(turned(g))
-        return [turned(f[..., :size]), f[..., size], turned(t[..., :m]), turned(t[..., m:-1]), t[..., -1], turned(g_v)]
+        f, t, g_v = back(turned(g), by_v)
+        return [turned(f[..., :size]), f[..., size], turned(t[..., :m]), turned(t[..., m:-1]), t[..., -1], *([turned(g_v)] if by_v else [])]
 
-    return together(turned(y), [*parts, v], each)
+    return together(turned(y), [*parts, *([v] if by_v else [])], each)
 
 
 def shared_shapes(name: str, size: int, hidden: int, to: int) -> dict[str, tuple]:
@@ -323,7 +324,7 @@ class DAGGNN(_Tape):
         *many, n, d = data.shape
         a, share = p["graph"] * self.off(d), shares(data, share)
         less, way = np.eye(d) - a, inverse(np.eye(d) - a)
-        code = Value(data) if self.form == "sem" else shared(p, "code", Value(data.reshape(*many, n * d, 1))).reshape(*many, n, d)
+        code = Value(data) if self.form == "sem" else shared(p, "code", data.reshape(*many, n * d, 1)).reshape(*many, n, d)
         z = code @ less
         log = p["b_log"] if self.learn_noise else Value(np.full(d, np.log(self.noise)))
         drawn = z + across(exp(log)) * rng.normal(size=(*many, n, d))
@@ -380,9 +381,10 @@ class VectorAutoencoder(_Tape):
         *many, n, _ = data.shape
         d = self.width(data)
         a = p["graph"] * self.off(d)
-        code = shared(p, "code", Value(data.reshape(*many, n * d, self.length))).reshape(*many, n, d, self.code)
-        mixed = a.swap().reshape(*many, 1, d, d) @ code
-        gap = shared(p, "back", mixed.reshape(*many, n * d, self.code)).reshape(*data.shape) - data
+        code = shared(p, "code", data.reshape(*many, n * d, self.length)).reshape(*many, n, d, self.code)
+        mixed = code.swap().reshape(*many, n * self.code, d) @ a  # one product a shard, not one a row
+        mixed = mixed.reshape(*many, n, self.code, d).swap().reshape(*many, n * d, self.code)
+        gap = shared(p, "back", mixed).reshape(*data.shape) - data
         return (gap * gap * shares(data, share)).sum() * 0.5 + self.penalty(a, rho, alpha) + absolute(a).sum() * (self.lambda1 * (rho > 0))
 
     def weights(self, x: np.ndarray, d: int) -> np.ndarray:
